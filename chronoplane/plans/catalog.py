@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoplane.plans import pipeline, pipeline_sql
+from chronoplane.plans import pipeline, pipeline_sql, registry, window_queries  # noqa: F401  (the modules register their queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(pipeline.QUERIES)
+    return pipeline.QUERIES | registry.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(pipeline_sql.SQL)
+    return pipeline_sql.SQL | registry.SQL
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -155,9 +155,9 @@ f AS (SELECT a.source_id, a.date, b.i - a.i AS k, product(1 + coalesce(CASE WHEN
       FROM n a JOIN n b ON a.source_id = b.source_id AND b.i BETWEEN a.i + 1 AND a.i + 21),
 d AS (SELECT source_id, date, k, eq / max(eq) OVER (PARTITION BY source_id, date ORDER BY k) - 1 AS dd FROM f),
 m AS (SELECT source_id, date, min(dd) AS dd FROM d GROUP BY ALL HAVING count(*) = 21)
-SELECT p.source_id, p.date, {s6('least(m.dd, 0)')} AS next_drawdown FROM p LEFT JOIN m USING (source_id, date)""")
+SELECT p.source_id, p.date, {s6('CASE WHEN m.dd IS NOT NULL THEN least(m.dd, 0) END', 11)} AS next_drawdown FROM p LEFT JOIN m USING (source_id, date)""")
 def w17_forward_drawdown(spark: SparkSession, folder: str) -> DataFrame:
-    return daily(spark, folder, "mkt_ret").select(*KEYS, r6(A.forward_drawdown(plausible(F.col("mkt_ret")), 21)).alias("next_drawdown"))
+    return daily(spark, folder, "mkt_ret").select(*KEYS, r6(A.forward_drawdown(plausible(F.col("mkt_ret")), 21), 11).alias("next_drawdown"))
 
 
 _EQUITY = f"e AS (SELECT source_id, date, product(1 + coalesce(CASE WHEN mkt_ret > -1 AND mkt_ret < 1 THEN mkt_ret END, 0)) {EVER} AS eq FROM p)"

@@ -23,8 +23,9 @@ LEVELS = 2
 
 
 def canonical_digest(text: Column) -> Column:
-    """Letter case and outer blanks of a digest make no difference; empty text is null."""
-    return F.nullif(F.lower(F.trim(text)), F.lit(""))
+    """Letter case and outer blanks of a digest make no difference; empty text is null. Half the bytes where it is hexadecimal."""
+    text = F.nullif(F.lower(F.trim(text)), F.lit(""))
+    return F.when(text.rlike(r"^([0-9a-f]{2})+\z"), F.unhex(text)).otherwise(F.encode(text, "UTF-8"))
 
 
 def canonical_day(text: Column) -> Column:
@@ -75,7 +76,7 @@ def snapshot_changes(
     rows = rows.groupBy("entity", "leaf", "snapshot", "delivered", "key").agg(F.max(F.struct(*cells)).alias("v")).select(
         "entity", "leaf", "snapshot", "delivered", "key", *[F.col(f"v.{c}").alias(c) for c in cells]
     )
-    marked = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ["key", *cells]]
+    marked = [x for c in ["key", *cells] for x in (F.col(c).isNull(), F.col(c))]
     leaves = rows.groupBy("entity", "leaf", "snapshot", "delivered").agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(F.lit(1), *marked)).alias("x1"), F.bit_xor(F.xxhash64(F.lit(2), *marked)).alias("x2")
     )
@@ -98,11 +99,14 @@ def snapshot_changes(
     open_nodes = _differ(pairs, nodes, ["entity"], "node")
     open_leaves = _differ(open_nodes, leaves.withColumn("node", F.shiftright("leaf", fanout_bits)), ["entity", "node"], "leaf").drop("node")
 
-    sides = open_leaves.select("entity", "leaf", "snap", F.explode(F.array(
-        F.struct(F.lit(True).alias("new"), F.col("snap").alias("s"), F.col("delivery").alias("d")),
-        F.struct(F.lit(False).alias("new"), F.col("prior").alias("s"), F.col("prior_delivery").alias("d")),
-    )).alias("x")).select("entity", "leaf", "snap", "x.new", F.col("x.s").alias("snapshot"), F.col("x.d").alias("delivered"))
-    met = rows.join(sides, ["entity", "leaf", "snapshot", "delivered"])
+    # what to compare in a leaf: two entries per open pair, so at most twice the entity's snapshots; joined by the rows' own
+    # partitioning, the rows don't move again
+    sides = open_leaves.groupBy("entity", "leaf").agg(F.flatten(F.collect_list(F.array(
+        F.struct(F.col("snap"), F.lit(True).alias("new"), F.col("snap").alias("s"), F.col("delivery").alias("d")),
+        F.struct(F.col("snap"), F.lit(False).alias("new"), F.col("prior").alias("s"), F.col("prior_delivery").alias("d")),
+    ))).alias("sides"))
+    mine = F.filter("sides", lambda x: (x["s"] == F.col("snapshot")) & x["d"].eqNullSafe(F.col("delivered")))
+    met = rows.join(sides, ["entity", "leaf"]).select("entity", "leaf", "key", *cells, F.inline(mine))
     found = met.groupBy("entity", "leaf", "snap", "key").agg(
         F.max(F.when(F.col("new"), F.struct(F.lit(1).alias("is"), *cells))).alias("now"),
         F.max(F.when(~F.col("new"), F.struct(F.lit(1).alias("is"), *cells))).alias("was"),

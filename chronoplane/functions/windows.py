@@ -63,7 +63,12 @@ class Along:
         return self.std(r, k) * F.sqrt(F.lit(float(ANNUAL)))
 
     def correlation(self, a: Column, b: Column, k: int) -> Column:
-        return finite(self.rolling(F.corr, [a, b], k))
+        return self._correlation(a, b, k, self.last(k), k)
+
+    def _correlation(self, a: Column, b: Column, k: int, frame: object, at_least: int) -> Column:
+        part = lambda f: self.rolling(f, [a, b], k, frame, at_least)
+        spread = part(lambda x, y: F.stddev_pop(x)) * part(lambda x, y: F.stddev_pop(y))
+        return part(F.covar_pop) / F.nullif(spread, F.lit(0.0))
 
     def range_vol(self, high: Column, low: Column, k: int = 21) -> Column:
         """Range-based volatility of Parkinson."""
@@ -117,7 +122,7 @@ class Along:
         return self.rolling(F.stddev_samp, [r], h, self.ahead(h))
 
     def forward_correlation(self, a: Column, b: Column, h: int, share: float = 0.8) -> Column:
-        return finite(self.rolling(F.corr, [a, b], h, self.ahead(h), int(share * h)))
+        return self._correlation(a, b, h, self.ahead(h), int(share * h))
 
     def forward_drawdown(self, r: Column, h: int) -> Column:
         """Deepest fall of equity from its running peak over the next ``h`` rows; the peak starts at the first of them."""
@@ -132,6 +137,13 @@ class Along:
         return F.when(F.size(path) == h, F.aggregate(path, start, step, lambda s: s["dd"]))
 
 
+def corr(a: Column, b: Column) -> Column:
+    """Pearson correlation of a group; null without spread, where the built-in one divides by zero."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def finite(x: Column) -> Column:
     """NaN and infinities to null."""
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def month_grid(df: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
     """Every month end between a key's first and last date."""
     ends = df.groupBy(*keys).agg(F.min(date).alias("a"), F.max(date).alias("b"))
-    return ends.select(*keys, F.last_day(F.explode(F.sequence(F.trunc("a", "month"), F.trunc("b", "month"), F.expr("interval 1 month")))).alias("month"))
+    return ends.select(*keys, F.explode(F.sequence(F.trunc("a", "month"), F.trunc("b", "month"), F.expr("interval 1 month"))).alias("month")).withColumn("month", F.last_day("month"))
 
 
 def compound_months(df: DataFrame, keys: Sequence[str], date: str, ret: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoplane.plans import aggregate_queries, pipeline, pipeline_sql, registry, relational_queries, sequential_queries, window_queries  # noqa: F401  (the modules register their queries)
+from chronoplane.plans import aggregate_queries, bitemporal_queries, pipeline, pipeline_sql, registry, relational_queries, sequential_queries, signal_queries, stream_queries, window_queries  # noqa: F401  (the modules register their queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

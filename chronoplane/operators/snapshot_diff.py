@@ -2,7 +2,7 @@
 
 1. Every row gets the leaf (hash range) of its key and a 128-bit digest of its canonical values.
 2. Leaf digests (count, two xors) are built per entity, snapshot and delivery; xor makes them independent of row order.
-   Trees are rolled up from the leaves: leaf, inner node (``FANOUT`` leaves each), root.
+   Trees are rolled up from the leaves: leaf, inner node (its share of the leaves), root.
 3. The entity's consecutive snapshots are paired on their roots, then compared top-down: roots, the inner nodes under
    differing roots, the leaves under differing nodes.
 4. Only rows in leaves that differ are compared with one another.
@@ -12,14 +12,16 @@ The rows are shuffled once, by entity and leaf: a hot entity is spread over its
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FANOUT_BITS = 4
 LEVELS = 2
+#: Rows a leaf may hold if one entity had all rows; sets the fan-out of the trees from a count of the input.
+LEAF_ROWS = 8_192
 
 
 def canonical_digest(text: Column) -> Column:
@@ -53,7 +55,7 @@ def _differ(pairs: DataFrame, digests: DataFrame, on: Sequence[str], node: str)
 
 
 def snapshot_changes(
-    df: DataFrame, entity: str, snapshot: str, delivered: str, key: str, values: dict[str, Column], fanout_bits: int = FANOUT_BITS
+    df: DataFrame, entity: str, snapshot: str, delivered: str, key: str, values: dict[str, Column], fanout_bits: int | None = None
 ) -> DataFrame:
     """One row per key that was added, removed or changed between an entity's snapshot and its previous one.
 
@@ -64,6 +66,8 @@ def snapshot_changes(
     of the two (by value order); rows without entity or snapshot belong to no series and are left out; a null key is a
     key of its own; an empty table gives no rows. Further columns of the input are ignored, whatever their names.
     """
+    if fanout_bits is None:  # a count of Parquet rows reads footers only
+        fanout_bits = min(10, max(4, math.ceil(math.log2(max(1, df.count() / LEAF_ROWS)) / LEVELS)))
     names = list(values)
     rows = df.select(
         F.col(entity).alias("entity"), F.col(snapshot).alias("snapshot"), F.col(delivered).alias("delivered"), F.col(key).alias("key"),

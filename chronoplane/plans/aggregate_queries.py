@@ -295,7 +295,7 @@ def x5_log_vol_panel(spark: SparkSession, folder: str) -> DataFrame:
     return daily(spark, folder, *FOUR).select("source_id", "date", *[r6(v).alias(c) for c, v in xs.log_vol(A, FOUR).items()])
 
 
-@query("SELECT i.range AS i, j.range AS j, n.n, r.r AS rho, CASE WHEN i.range = j.range THEN 1.0 ELSE r.r END AS x FROM (VALUES (3), (5)) n(n), (VALUES (-0.05), (0.0), (0.5)) r(r), range(5) i, range(5) j WHERE i.range < n.n AND j.range < n.n")
+@query("SELECT i.range AS i, j.range AS j, n.n, r.r::DOUBLE AS rho, CASE WHEN i.range = j.range THEN 1.0 ELSE r.r END::DOUBLE AS x FROM (VALUES (3), (5)) n(n), (VALUES (-0.05), (0.0), (0.5)) r(r), range(5) i, range(5) j WHERE i.range < n.n AND j.range < n.n")
 def x6_equicorrelation(spark: SparkSession, folder: str) -> DataFrame:
     """Matrices with ones on the diagonal and one correlation elsewhere, for fixed sizes and correlations."""
     grid = spark.sql("SELECT i, j, n, rho FROM VALUES (3), (5) AS n(n) LATERAL VIEW explode(array(-0.05d, 0.0d, 0.5d)) AS rho LATERAL VIEW explode(sequence(0L, n - 1L)) AS i LATERAL VIEW explode(sequence(0L, n - 1L)) AS j")

@@ -246,7 +246,7 @@ def sc4_preamble_text(spark: SparkSession, folder: str) -> DataFrame:
 _DOC = "First title\n\n,A,B\n200001, 1.0, 2\n200002, -99.99, 3\n\n2000, 5, 5\nSecond title\n\n,A,B\n200001, 7, 8\n200002, 9, -999\n\nThird title\n,A,B\n2000, 1, 1\n"
 
 
-@query("SELECT * FROM (VALUES (DATE '2000-01-31', 7.0, 8.0), (DATE '2000-02-29', 9.0, NULL)) t(month, a, b)")
+@query("SELECT month, a::DOUBLE AS a, b::DOUBLE AS b FROM (VALUES (DATE '2000-01-31', 7.0, 8.0), (DATE '2000-02-29', 9.0, NULL)) t(month, a, b)")
 def sc5_titled_block(spark: SparkSession, folder: str) -> DataFrame:
     """One titled block of a file with several (a fixed made-up text)."""
     lines = spark.createDataFrame([("f", _DOC)], "file string, value string").select("file", F.posexplode(F.split("value", "\n")).alias("n", "line"))
@@ -256,7 +256,7 @@ def sc5_titled_block(spark: SparkSession, folder: str) -> DataFrame:
 _DAT = "x\nValue Weight Dollar Returns  All 4 Data Items Not Reqd\nnames\n197501 1.5 2.5\n197502 3 -99.99\n\nValue Weight Dollar Returns\nnames\n197501 4 5\n197502 6 7\n\nRatios\n1975 8 9\n"
 
 
-@query("SELECT * FROM (VALUES ('197501', 4.0, 5.0), ('197502', 6.0, 7.0)) t(key, a, b)")
+@query("SELECT key, a::DOUBLE AS a, b::DOUBLE AS b FROM (VALUES ('197501', 4.0, 5.0), ('197502', 6.0, 7.0)) t(key, a, b)")
 def sc6_stacked_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """A block picked by kind, frequency and requirement (a fixed made-up text)."""
     lines = spark.createDataFrame([("f", _DAT)], "file string, value string").select("file", F.posexplode(F.split("value", "\n")).alias("n", "line"))

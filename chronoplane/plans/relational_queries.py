@@ -64,7 +64,7 @@ def pf7_ohlc_integrity(spark: SparkSession, folder: str) -> DataFrame:
     return ohlc(spark, folder).where((F.col("high") >= F.greatest("open", "close", "low")) & (F.col("low") <= F.least("open", "close", "high")) & (F.col("low") > 0))
 
 
-@query("SELECT load_id, count(*) AS n, sum(rows) AS rows FROM panel_manifest WHERE rows > -99 GROUP BY load_id")
+@query("SELECT load_id, count(*) AS n, sum(rows)::BIGINT AS rows FROM panel_manifest WHERE rows > -99 GROUP BY load_id")
 def pf8_sentinel_range_filter(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "panel_manifest").where("rows > -99").groupBy("load_id").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"))
 

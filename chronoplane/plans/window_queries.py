@@ -189,7 +189,7 @@ def w19_trend(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH {daily_sql('mkt_ret')}, v AS (SELECT * FROM p WHERE mkt_ret IS NOT NULL)
-SELECT source_id, date, sum((mkt_ret >= 0.02)::INT) {EVER} AS above, {s6(f'avg((mkt_ret >= 0.02)::INT) {EVER}')} AS share, max(CASE WHEN mkt_ret >= 0.02 THEN date END) {EVER} AS last_date FROM v""")
+SELECT source_id, date, (sum((mkt_ret >= 0.02)::INT) {EVER})::BIGINT AS above, {s6(f'avg((mkt_ret >= 0.02)::INT) {EVER}')} AS share, max(CASE WHEN mkt_ret >= 0.02 THEN date END) {EVER} AS last_date FROM v""")
 def w20_extremes_to_date(spark: SparkSession, folder: str) -> DataFrame:
     hot = F.col("mkt_ret") >= 0.02
     return daily(spark, folder, "mkt_ret").where("mkt_ret is not null").select(*KEYS, A.count_true(hot).cast("long").alias("above"), r6(A.share_true(hot)).alias("share"), A.last_true(hot).alias("last_date"))

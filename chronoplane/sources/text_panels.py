@@ -33,7 +33,7 @@ def daily_table(lines: DataFrame, columns: Sequence[str], percent: bool = True)
 def header(lines: DataFrame) -> DataFrame:
     """``file`` and ``names``: the first line that begins with an empty cell followed by names."""
     head = lines.where(F.col("line").rlike(r"^\s*,\s*\S")).groupBy("file").agg(F.min_by("line", "n").alias("line"))
-    return head.select("file", F.transform(F.slice(F.split("line", ","), 2, 999), F.trim).alias("names"))
+    return head.select("file", F.transform(F.slice(F.split("line", ","), 2, 999), lambda x: F.trim(x)).alias("names"))
 
 
 def titled_block(lines: DataFrame, title: str, columns: Sequence[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import bisect
 import math
 from collections.abc import Callable, Sequence
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -234,13 +235,10 @@ def nelder_mead(f: Callable[[np.ndarray], float], start: Sequence[float], scale:
 # -- conditional variance ----------------------------------------------------------------------------------------------
 def conditional_variance(e: np.ndarray, omega: float, alpha: float, beta: float, gamma: float = 0.0, start: float | None = None) -> np.ndarray:
     """Variance of each row given the rows before; ``gamma`` adds to ``alpha`` after falls."""
-    out = np.empty(len(e))
     rest = 1 - alpha - gamma / 2 - beta
     level = start if start is not None else (omega / rest if rest > 1e-6 else float(np.var(e)))
-    for t in range(len(e)):
-        out[t] = level
-        level = omega + (alpha + (gamma if e[t] < 0 else 0.0)) * e[t] * e[t] + beta * level
-    return out
+    news = omega + (alpha + gamma * (e[:-1] < 0)) * e[:-1] ** 2
+    return np.fromiter(accumulate(news.tolist(), lambda s, x: x + beta * s, initial=level), float, len(news) + 1)[: len(e)]
 
 
 def fit_garch_t(r: np.ndarray, asymmetric: bool = False) -> dict[str, float]:
@@ -282,8 +280,18 @@ def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((x[:, None, :] - centres[None]) ** 2).sum(-1)
 
 
+def _gaps(cost: np.ndarray, penalty: float, start: float = 0.0) -> np.ndarray:
+    """Of two states, how much dearer the second is at each row: the new difference plus the old one, which is never worth more than a jump."""
+    steps = (cost[:, 1] - cost[:, 0]).tolist()
+    walk = accumulate(steps, lambda d, x: x + (penalty if d > penalty else -penalty if d < -penalty else d), initial=start)
+    return np.fromiter(walk, float, len(steps) + 1)[1:]
+
+
 def forward_values(cost: np.ndarray, penalty: float, start: np.ndarray | None = None) -> np.ndarray:
     """Value of each state at each row given the past: cost plus the cheaper of staying and jumping from the best state."""
+    if cost.shape[1] == 2:
+        d = _gaps(cost, penalty, 0.0 if start is None else float(start[1] - start[0]))
+        return np.column_stack([np.maximum(-d, 0), np.maximum(d, 0)])
     v = np.empty_like(cost)
     last = np.zeros(cost.shape[1]) if start is None else np.asarray(start, float)
     for t in range(len(cost)):
@@ -294,8 +302,19 @@ def forward_values(cost: np.ndarray, penalty: float, start: np.ndarray | None =
 
 
 def best_path(cost: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
-    """States of least total cost where every change of state costs ``penalty``."""
+    """States of least total cost where every change of state costs ``penalty``.
+
+    Of two states only their difference matters: where it is beyond the penalty the row's state is settled, elsewhere it
+    is that of the next row; so the way back is one backward fill.
+    """
     n, k = cost.shape
+    if k == 2:
+        d = _gaps(cost, penalty)
+        settled = np.where(d > penalty, 0, np.where(d < -penalty, 1, -1))
+        settled[-1] = int(d[-1] < 0)
+        at = np.where(settled >= 0, np.arange(n), n - 1)
+        path = settled[np.minimum.accumulate(at[::-1])[::-1]]
+        return path, float(cost[np.arange(n), path].sum() + penalty * np.count_nonzero(np.diff(path)))
     came = np.zeros((n, k), dtype=int)
     value = cost[0].astype(float)
     own = np.arange(k)

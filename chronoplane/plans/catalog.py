@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoplane.functions import windows
 from chronoplane.operators import sequential
-from chronoplane.plans import aggregate_queries, bitemporal_queries, panels, pipeline, pipeline_sql, registry, relational_queries, sequential_queries, signal_queries, stream_queries, window_queries  # noqa: F401  (the modules register their queries)
+from chronoplane.plans import aggregate_queries, bitemporal_queries, function_queries, panels, pipeline, pipeline_sql, registry, relational_queries, sequential_queries, signal_queries, stream_queries, window_queries  # noqa: F401  (the modules register their queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

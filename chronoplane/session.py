@@ -15,6 +15,8 @@ def build(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "chr
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.sql.adaptive.enabled": "true",
+        # windows and grouped Python cost far more time a byte than a scan: keep small shuffles on all cores
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
         "spark.ui.enabled": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     } | {k.replace("__", "."): v for k, v in conf.items()}

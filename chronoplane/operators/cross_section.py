@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoplane.functions.windows import Along, log
+from chronoplane.operators.rolling import rolling_correlations
 
 
 def to_long(df: DataFrame, keys: Sequence[str], columns: Sequence[str], entity: str = "entity", value: str = "x") -> DataFrame:
@@ -30,14 +31,11 @@ def log_vol(along: Along, columns: Sequence[str], k: int = 21) -> dict[str, Colu
 def pairwise_correlation(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], k: int) -> DataFrame:
     """Rolling correlation matrices in long form: keys, order, ``i``, ``j`` (i before j), ``rho``. A window with any null row gives nulls.
 
-    The pairs of a fixed list of columns are expressions over one window, so a row is read once whatever their number.
+    The pairs of a fixed list of columns share their sums, so a row is read once whatever their number.
     """
-    along = Along(keys, order)
-    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
-    full = F.count(F.when(whole, 1)).over(along.last(k)) == k
-    pairs = [(a, b) for n, a in enumerate(columns) for b in columns[n + 1 :]]
-    wide = df.select(*keys, order, *[F.when(full, along.correlation(F.col(a), F.col(b), k)).alias(f"_{n}") for n, (a, b) in enumerate(pairs)])
-    return wide.select(*keys, order, F.inline(F.array(*[F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.col(f"_{n}").alias("rho")) for n, (a, b) in enumerate(pairs)])))
+    pairs = {f"_{n}": p for n, p in enumerate((a, b) for i, a in enumerate(columns) for b in columns[i + 1 :])}
+    wide = rolling_correlations(df, keys, order, pairs, k)
+    return wide.select(*keys, order, F.inline(F.array(*[F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.col(n).alias("rho")) for n, (a, b) in pairs.items()])))
 
 
 def matrix_measures(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:

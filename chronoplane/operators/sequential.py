@@ -73,6 +73,21 @@ def expanding_rank(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def expanding_quantile(x: np.ndarray, p: float, at_least: int = 1) -> np.ndarray:
+    """Interpolated quantile of the values so far, from one sorted list that grows; missing until ``at_least`` were seen."""
+    seen: list[float] = []
+    out = np.full(len(x), np.nan)
+    for t, v in enumerate(x):
+        if v == v:
+            bisect.insort(seen, v)
+        if len(seen) >= max(1, at_least):
+            at = p * (len(seen) - 1)
+            low = int(at)
+            top = seen[min(low + 1, len(seen) - 1)]
+            out[t] = seen[low] + (at - low) * (top - seen[low])
+    return out
+
+
 # -- exponentially weighted --------------------------------------------------------------------------------------------
 def ewma_vol(r: np.ndarray, lam: float = 0.94, burn_in: int = YEAR) -> np.ndarray:
     """Annualised volatility of exponentially weighted squares, seeded by the population variance of the burn-in.

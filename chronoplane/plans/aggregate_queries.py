@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoplane.functions import stats
 from chronoplane.functions import windows as w
-from chronoplane.operators import calendar, runs
+from chronoplane.operators import calendar, rolling, runs
 from chronoplane.operators import cross_section as xs
 from chronoplane.plans.panels import INDUSTRIES, NATION_MONTHS_SQL, bonds, bonds_sql, daily, daily_sql, nation_months
 from chronoplane.plans.registry import query, r6, s6
@@ -85,8 +85,8 @@ _SB = f"""{daily_sql(*_ASSETS)}, {_STATE_SQL}, sb AS (SELECT s.*, mkt_ret, bond1
 
 
 def state_rows(spark: SparkSession, folder: str) -> DataFrame:
-    rows = daily(spark, folder, *_ASSETS)
-    return rows.withColumn("state", w.sign_state(A.correlation(R(), B(), 63))).where("state is not null")
+    rows = rolling.rolling_correlations(daily(spark, folder, *_ASSETS), ["source_id"], "date", {"c": ("mkt_ret", "bond10_ret")}, 63)
+    return rows.withColumn("state", w.sign_state(F.col("c"))).where("state is not null")
 
 
 @query("WITH " + _SB + ", l AS (" + " UNION ALL ".join(f"SELECT state, '{a}' AS asset, {a} AS r FROM sb WHERE {a} IS NOT NULL" for a in _ASSETS) + f") SELECT state, asset, count(*) AS n, {s6('avg(r) * 252')} AS ann_ret, {s6('stddev_samp(r) * sqrt(252)')} AS ann_vol, {s6('avg(r) / nullif(stddev_pop(r), 0) * sqrt(252)')} AS sharpe FROM l GROUP BY ALL HAVING count(*) >= 120")

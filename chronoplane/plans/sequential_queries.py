@@ -446,7 +446,9 @@ SELECT source_id, count(*) AS crossings, count(*) FILTER (worst <= -0.03) AS fol
 def i13_event_study(spark: SparkSession, folder: str) -> DataFrame:
     """Volatility crossing its expanding 80 per cent quantile: how often a fall of 3 per cent follows within 21 rows."""
     r = F.col("mkt_ret")
-    rows = returns(spark, folder).withColumn("v", F.round(A.std(r, 21), 12)).withColumns({"k": F.count("v").over(A.ever()), "q": F.percentile("v", F.lit(0.8)).over(A.ever()), "worst": A.rolling(F.min, [r], 21, A.ahead(21))})
+    rows = returns(spark, folder).withColumn("v", F.round(A.std(r, 21), 12)).withColumns({"k": F.count("v").over(A.ever()), "worst": A.rolling(F.min, [r], 21, A.ahead(21))})
+    level = q.along_series(rows, ["source_id"], "date", ["v"], lambda g: {"q": q.expanding_quantile(g["v"].to_numpy(float), 0.8)}, "q double")
+    rows = rows.join(level, ["source_id", "date"])
     rows = rows.withColumn("above", F.col("v") > F.col("q")).withColumn("crossing", (F.col("k") >= 63) & F.col("above") & ~F.coalesce(A.lag(F.col("above")), F.lit(True)))
     hit = F.count_if(F.col("worst") <= -0.03)
     return rows.where("crossing and worst is not null").groupBy("source_id").agg(F.count(F.lit(1)).alias("crossings"), hit.alias("followed"), F.round(1 - hit / F.count(F.lit(1)), 6).alias("false_alarm_rate"))

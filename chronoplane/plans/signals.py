@@ -11,6 +11,7 @@ from chronoplane.functions import windows as w
 from chronoplane.operators import calendar
 from chronoplane.operators import cross_section as xs
 from chronoplane.operators import sequential as seq
+from chronoplane.operators.rolling import rolling_correlations
 
 
 def _percentile(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
@@ -38,8 +39,9 @@ def volatility(panel: DataFrame, lam: float = 0.94, burn_in: int = 252, window:
 def stock_bond_daily(panel: DataFrame, at_least: int = 252) -> DataFrame:
     """series, date, eq, bond -> corr_126, corr_63, corr_252, level_z, state, eq_vol; rows without corr_126 dropped."""
     a = w.Along("series", "date")
-    e, b = F.col("eq"), F.col("bond")
-    rows = panel.where("eq is not null and bond is not null").select("series", "date", "eq", "bond", *[a.correlation(e, b, k).alias(f"corr_{k}") for k in (126, 63, 252)])
+    rows = panel.where("eq is not null and bond is not null").select("series", "date", "eq", "bond")
+    for k in (126, 63, 252):
+        rows = rolling_correlations(rows, ["series"], "date", {f"corr_{k}": ("eq", "bond")}, k)
     rows = rows.withColumns({"level_z": a.expanding_z(F.col("corr_126"), at_least), "state": w.sign_state(F.col("corr_126"))})
     vol = seq.along_series(rows, ["series"], "date", ["eq"], lambda g: {"eq_vol": seq.ewma_vol(g["eq"].to_numpy(float))}, "eq_vol double")
     return rows.join(vol, ["series", "date"]).withColumn("eq_vol", w.finite(F.col("eq_vol"))).where("corr_126 is not null")

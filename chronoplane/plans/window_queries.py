@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoplane.functions import windows as w
-from chronoplane.operators import runs
+from chronoplane.operators import rolling, runs
+from chronoplane.operators import sequential as seq
 from chronoplane.plans.panels import bonds, bonds_sql, daily, daily_sql
 from chronoplane.plans.registry import query, r6, s6
 
@@ -52,8 +53,10 @@ def _corr_sql(k: int) -> str:
 
 @query(f"WITH {daily_sql('mkt_ret', 'bond10_ret')} SELECT source_id, date, {s6(_corr_sql(63), 5)} AS corr_63, {s6(_corr_sql(126), 5)} AS corr_126 FROM p")
 def w3_rolling_corr(spark: SparkSession, folder: str) -> DataFrame:
-    a, b = F.col("mkt_ret"), F.col("bond10_ret")
-    return daily(spark, folder, "mkt_ret", "bond10_ret").select(*KEYS, *[r6(A.correlation(a, b, k), 5).alias(f"corr_{k}") for k in (63, 126)])
+    rows = daily(spark, folder, "mkt_ret", "bond10_ret")
+    for k in (63, 126):
+        rows = rolling.rolling_correlations(rows, ["source_id"], "date", {f"corr_{k}": ("mkt_ret", "bond10_ret")}, k)
+    return rows.select(*KEYS, *[r6(F.col(f"corr_{k}"), 5).alias(f"corr_{k}") for k in (63, 126)])
 
 
 @query(f"WITH {daily_sql('mkt_ret')} SELECT source_id, date, {s6(f'CASE WHEN count(mkt_ret) {EVER} >= 252 THEN (mkt_ret - avg(mkt_ret) {EVER}) / nullif(stddev_samp(mkt_ret) {EVER}, 0) END')} AS z FROM p")
@@ -71,8 +74,8 @@ def w6_full_sample_rank(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {bonds_sql('jp_bond10_ret')} SELECT source_id, month, CASE WHEN count(jp_bond10_ret) OVER w >= 24 THEN round(quantile_cont(jp_bond10_ret, 0.8) OVER w, 6) + 0.0 END AS q80 FROM b WINDOW w AS (PARTITION BY source_id ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 def w7_expanding_quantile(spark: SparkSession, folder: str) -> DataFrame:
-    m = w.Along("source_id", "month")
-    return bonds(spark, folder, "jp_bond10_ret").select("source_id", "month", r6(m.expanding_quantile(F.col("jp_bond10_ret"), 0.8, 24)).alias("q80"))
+    out = seq.along_series(bonds(spark, folder, "jp_bond10_ret"), ["source_id"], "month", ["jp_bond10_ret"], lambda g: {"q80": seq.expanding_quantile(g["jp_bond10_ret"].to_numpy(float), 0.8, 24)}, "q80 double")
+    return out.withColumn("q80", r6(F.col("q80")))
 
 
 @query(f"WITH {daily_sql('mkt_ret')} SELECT source_id, date, {s6(f'avg((mkt_ret < 0)::INT) {EVER}')} AS share_down FROM p")
@@ -106,9 +109,8 @@ u AS (SELECT source_id, run, state, min(date) AS start, max(date) AS "end", coun
 
 
 def states(spark: SparkSession, folder: str) -> DataFrame:
-    rows = daily(spark, folder, "mkt_ret", "bond10_ret")
-    c = A.correlation(F.col("mkt_ret"), F.col("bond10_ret"), 63)
-    return rows.withColumn("c", c).withColumn("state", w.sign_state(F.col("c"))).where("state is not null")
+    rows = rolling.rolling_correlations(daily(spark, folder, "mkt_ret", "bond10_ret"), ["source_id"], "date", {"c": ("mkt_ret", "bond10_ret")}, 63)
+    return rows.withColumn("state", w.sign_state(F.col("c"))).where("state is not null")
 
 
 @query(f"WITH {daily_sql('mkt_ret', 'bond10_ret')}, {_RUNS_SQL} SELECT source_id, run::INT AS run, state, start, \"end\", length FROM u")

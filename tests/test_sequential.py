@@ -190,3 +190,32 @@ def test_regressions(spark):
     assert h.t_hac == pytest.approx(b[1] / math.sqrt((bread @ meat @ bread)[1, 1]))
     singular = inference.normal_equations(df.withColumn("z", df.x * 2), ["k"], "y", ["x", "z"]).first()
     assert singular.beta is None
+
+
+def test_expanding_quantile():
+    x = holes(RNG.normal(size=120))
+    np.testing.assert_allclose(q.expanding_quantile(x, 0.8, 5), pd.Series(x).expanding(5).quantile(0.8).to_numpy())
+
+
+def test_block_sums_and_correlations(spark):
+    from chronoplane.operators import rolling
+
+    rng = np.random.default_rng(11)
+    frames = []
+    for k, n in (("a", 100), ("b", 7), ("c", 1)):
+        d = pd.DataFrame({"k": k, "t": range(n), "x": rng.normal(5, 0.01, n), "y": rng.normal(size=n)})
+        if k == "a":
+            d.loc[30, "x"] = 1e9  # leaves no trace in later windows
+            d.loc[50, "y"] = np.nan
+            d.loc[70:80, "x"] = 5.0
+        frames.append(d)
+    whole = pd.concat(frames)
+    df = spark.createDataFrame([(r.k, int(r.t), float(r.x), None if np.isnan(r.y) else float(r.y)) for r in whole.itertuples()], "k string, t int, x double, y double")
+    for w in (1, 2, 5, 8, 64):
+        got = {(r.k, r.t): (r.s, r.c) for r in rolling.rolling_correlations(rolling.rolling_sums(df, ["k"], "t", {"s": df.y}, w), ["k"], "t", {"c": ("x", "y")}, w).collect()}
+        for d in frames:
+            s, c = d.y.fillna(0).rolling(w).sum(), [d.x[i - w + 1 : i + 1].corr(d.y[i - w + 1 : i + 1]) if i + 1 >= w and d.y[i - w + 1 : i + 1].notna().all() and np.ptp(d.x[i - w + 1 : i + 1]) > 0 else None for i in range(len(d))]
+            for i in range(len(d)):
+                a, b = got[(d.k[0], i)]
+                assert (a is None) == np.isnan(s[i]) and (a is None or a == pytest.approx(s[i], abs=1e-9))
+                assert (b is None) == (c[i] is None or w < 2) and (b is None or b == pytest.approx(c[i], abs=1e-6))

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NULL, GOOD, MALFORMED, IMPOSSIBLE = 0, 1, 2, 3
@@ -58,6 +58,36 @@ def apply_delta(state: DataFrame, delta: DataFrame) -> DataFrame:
     return state.unionByName(delta).groupBy(*keys).agg(F.sum("n").alias("n")).where("n <> 0")
 
 
+class CountStore:
+    """The persistent count table: one folder of signed deltas, merged when read, folded into one part by ``compact``.
+
+    A delta is written under its tag, over what an earlier try left there, so applying a load twice changes nothing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def tags(self) -> list[str]:
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/counts")
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted(f.getPath().getName().partition("=")[2] for f in fs.listStatus(root) if f.isDirectory()) if fs.exists(root) else []
+
+    def apply(self, delta: DataFrame, tag: str) -> None:
+        delta.write.mode("overwrite").parquet(f"{self.path}/counts/tag={tag}")
+
+    def state(self) -> DataFrame:
+        """Current counts. A single delta has every value once already; several are summed."""
+        rows = self.spark.read.option("basePath", f"{self.path}/counts").parquet(f"{self.path}/counts").drop("tag")
+        return rows if len(self.tags()) == 1 else apply_delta(rows, rows.limit(0))
+
+    def compact(self, tag: str) -> None:
+        """Fold all deltas into one part of a new folder and use that from now on."""
+        fresh = f"{self.path}-{tag}"
+        self.state().write.mode("overwrite").parquet(f"{fresh}/counts/tag={tag}")
+        self.path = fresh
+
+
 def profile(state: DataFrame) -> DataFrame:
     """Per part and column: rows, nulls, malformed, impossible, distinct, lowest, highest, entropy (nats) and exact median of the good measures."""
     here = F.col("n")

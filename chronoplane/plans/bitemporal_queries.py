@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from chronoplane.operators import bitemporal as bi
 from chronoplane.operators import sequential as seq
 from chronoplane.plans.panels import bonds, bonds_sql, daily, daily_sql
 from chronoplane.plans.registry import query, r6, s6
-from chronoplane.session import shared_folder
+from chronoplane.session import scratch_folder as scratch
 from chronoplane.sources import files, text_panels
 from chronoplane.tables import table
 
@@ -28,10 +26,6 @@ def log(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "observation_log")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/chronoplane/{name}-{uuid.uuid4().hex}"
-
-
 _VIEW = "v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY region, signal, as_of ORDER BY available_at::TIMESTAMPTZ DESC, record_id DESC) AS n FROM observation_log {where}) WHERE n = 1)"
 
 

@@ -9,7 +9,7 @@ from chronoplane.functions.instants import day_number, instant_micros, nan_to_nu
 from chronoplane.operators import late_windows, phase_space, regular_grid, value_counts
 from chronoplane.operators.known_state import as_known_at
 from chronoplane.operators.snapshot_diff import canonical_day, canonical_digest, snapshot_changes
-from chronoplane.session import materialise
+from chronoplane.session import scratch_folder
 from chronoplane.tables import table
 
 
@@ -46,7 +46,9 @@ def manifest_columns() -> list[value_counts.Profiled]:
 def _manifest_profile(spark: SparkSession, folder: str) -> tuple[DataFrame, list[value_counts.Profiled]]:
     columns = manifest_columns()
     counts = value_counts.load_delta(table(spark, folder, "panel_manifest"), "load_id", columns)
-    return value_counts.profile(materialise(counts, "manifest-counts")), columns
+    store = value_counts.CountStore(spark, scratch_folder(spark, "manifest-counts"))
+    store.apply(counts, "all-loads")
+    return value_counts.profile(store.state()), columns
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

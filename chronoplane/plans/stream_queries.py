@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from chronoplane.functions.instants import day_number, instant_micros
 from chronoplane.operators import late_windows
-from chronoplane.plans.bitemporal_queries import scratch
 from chronoplane.plans.pipeline_sql import _LATE_AGG
 from chronoplane.plans.registry import query
+from chronoplane.session import scratch_folder as scratch
 from chronoplane.streaming import windows as sw
 from chronoplane.streaming.late_upsert import LateUpsert
 

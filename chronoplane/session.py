@@ -40,15 +40,21 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     removed when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/chronoplane/{name}-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, name)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one, removed when the driver ends."""
+    path = f"{shared_folder(spark)}/chronoplane/{name}-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    return path
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -127,6 +127,22 @@ def test_value_counts_profile_and_deltas(spark):
     assert value_counts.profile(value_counts.load_delta(df.where("false"), "part", columns())).count() == 0
 
 
+def test_count_store(spark, tmp_path):
+    rows = [(p, t, n) for p in (1, 2) for t in ("a", "b", None) for n in (1, 5)]
+    df = spark.createDataFrame(rows, "part int, t string, n long")
+    store = value_counts.CountStore(spark, str(tmp_path / "s"))
+    whole = sorted(map(str, value_counts.load_delta(df, "part", columns()).collect()))
+    assert store.tags() == []
+    for p in (1, 2):
+        for _ in range(2):  # a load that is applied again
+            store.apply(value_counts.load_delta(df.where(f"part = {p}"), "part", columns()), f"load{p}")
+    assert sorted(map(str, store.state().collect())) == whole and store.tags() == ["load1", "load2"]
+    store.apply(value_counts.load_delta(df.where("part = 2"), "part", columns(), sign=-1), "back2")
+    assert {r.part for r in store.state().collect()} == {1}
+    store.compact("c")
+    assert {r.part for r in store.state().collect()} == {1} and store.tags() == ["c"]
+
+
 def test_out_of_order_issues(spark):
     rows = []
     for p in range(1, 8):

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -44,6 +45,15 @@ SHAPES = [
     re.compile(r"^\s*@?\w+\(.*\):?\s*$"),
     re.compile(r"^\s*</?\w[^>]*>"),  # markup
 ]
+ALNUM = re.compile(r"[^\W_]")
+DIGIT = re.compile(r"\d")
+#: No line of code or of a listing is longer; of longer lines only the shapes that are found in one pass are sought.
+LONG_LINE = 1_000
+LONG_SHAPES = [SHAPES[0], SHAPES[2], SHAPES[4]]
+MARKUP = re.compile(r"<[^<>]*>|&\w+;")
+VOWEL = re.compile(r"[aeiouy]")
+CLUSTER = re.compile(r"[^aeiouy\W]{6,}")
+MIXED_CASE = re.compile(r"[a-z][A-Z].*[a-z][A-Z]|[A-Z]{2,}[a-z]+[A-Z]")
 NOISE = re.compile(r"<\|[a-z_]+\|>|\[UNK\]|</?s>|[­​-‏  ⁠﻿]")
 JUNK_SYMBOL = re.compile(r"[#@&*^~|$§¦�<>{}\[\]\\=_`¤¢£¥¬±×÷º¹²³¼½¾°¶¨¸´ªžœ™Ÿ¿Þßâ�€\u0080-\u009f]")
 # ----------------------------------------------------------------------------------------------------------------------
@@ -54,7 +64,7 @@ def lines_of(text: str) -> list[str]:
 
 
 def visible(text: str) -> int:
-    return len(text) - sum(map(str.isspace, text))
+    return sum(map(len, text.split()))
 
 
 def _signature(line: str) -> dict[str, int]:
@@ -169,18 +179,19 @@ def _disorder(words: list[str]) -> float:
 def _odd_words(words: list[str]) -> float:
     """Share of Latin words that can't be pronounced: long ones with hardly a vowel, or case and digits mixed."""
     long = [w for w in words if len(w) >= 4 and w.isascii()]
-    if not long:
-        return 0.0
-    odd = 0
-    for w in long:
-        v = len(re.findall(r"[aeiouy]", w.lower()))
-        odd += v <= len(w) / 6 or bool(re.search(r"[^aeiouy\W]{6,}", w.lower())) or bool(re.search(r"[a-z][A-Z].*[a-z][A-Z]|[A-Z]{2,}[a-z]+[A-Z]", w))
-    return odd / len(long)
+    return sum(map(_odd_word, long)) / len(long) if long else 0.0
+
+
+@lru_cache(maxsize=200_000)
+def _odd_word(w: str) -> bool:
+    low = w.lower()
+    vowels = len(VOWEL.findall(low))
+    return vowels <= len(w) / 6 or CLUSTER.search(low) is not None or MIXED_CASE.search(w) is not None
 
 
 def judge_paragraph(text: str, common: frozenset) -> bool:
     """True for running sentences, false for junk and strings of words."""
-    clean = NOISE.sub("", text)
+    clean = " ".join(NOISE.sub("", text).split())  # long runs of blanks would cost the patterns below their square
     seen = visible(clean)
     if not seen:
         return True
@@ -224,8 +235,8 @@ def assess(text: str | None, common: frozenset) -> dict | None:
         if not s:
             continue
         words = WORD.findall(s)
-        shaped = any(p.match(line) for p in SHAPES) and not (SENTENCE_END.search(s) and len(words) > 8 and s[0] not in "{[<")
-        marks = len(re.findall(r"<[^>]*>|&\w+;", s))
+        shaped = any(p.match(line) for p in (SHAPES if len(line) <= LONG_LINE else LONG_SHAPES)) and not (SENTENCE_END.search(s) and len(words) > 8 and s[0] not in "{[<")
+        marks = len(MARKUP.findall(s))
         if aligned[i] or shaped or marks >= 2 or _pairs(s):
             other[i] = True
         elif bullets[i] and (listed or sum(bullets) >= 1):
@@ -243,7 +254,7 @@ def assess(text: str | None, common: frozenset) -> dict | None:
         nonlocal prose, rest, paragraph
         if not paragraph:
             return
-        whole = " ".join(x.strip() for x in paragraph)
+        whole = " ".join(" ".join(paragraph).split())
         n = visible(whole)
         counts = [len(WORD.findall(x)) for x in paragraph]
         stub = len(paragraph) >= 3 and sum(counts) / len(counts) <= 4.5 and not SENTENCE_END.search(whole) and len(INNER_END.findall(whole)) < len(paragraph) / 3
@@ -273,8 +284,8 @@ def assess(text: str | None, common: frozenset) -> dict | None:
     return {
         "words": len(words),
         "mean_word_length": sum(map(len, words)) / len(words) if words else 0.0,
-        "symbol_ratio": sum(not (c.isalnum() or c.isspace()) for c in text) / max(1, seen),
-        "digit_ratio": sum(map(str.isdigit, text)) / max(1, seen),
+        "symbol_ratio": (seen - len(ALNUM.findall(text))) / max(1, seen),
+        "digit_ratio": len(DIGIT.findall(text)) / max(1, seen),
         "punctuated_lines": sum(bool(SENTENCE_END.search(x)) for x in full) / max(1, len(full)),
         "common_words": sum(w in common for w in low) / len(low) if low else 0.0,
         "distinct_words": len(set(low)) / len(low) if low else 0.0,

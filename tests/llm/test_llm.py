@@ -169,3 +169,16 @@ def test_queries_on_tables(spark, encoder, reference):
         totals[r.doc_id] = totals.get(r.doc_id, 0) + r.tokens
     assert totals == {k: len(v) for k, v in ids.items() if v}
     assert len({r.container for r in packed}) <= 1.02 * -(-sum(totals.values()) // 2048) + 1
+
+
+@pytest.mark.parametrize("unit", ["<", "x ", ".", "a=", "(", " ", "\n", "a\n", "- a b\n", "a,", "a, ", "{", "_", "a-", "&a", "[x] ", "a  b  ", "0", "|", "for (", "\t"])
+def test_long_texts_take_linear_time(unit):
+    import time
+
+    seconds = []
+    for n in (20_000, 160_000):
+        text = "x" + unit * (n // len(unit)) + "y"
+        began = time.perf_counter()
+        quality.assess(text, COMMON)
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 20 * seconds[0] + 1.0

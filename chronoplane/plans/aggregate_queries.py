@@ -151,9 +151,9 @@ def a21_effective_number(spark: SparkSession, folder: str) -> DataFrame:
     return xs.concentration(nation_months(spark, folder), ["month"], "revenue").select("month", r6(F.col("eff_n")).alias("eff_n"), r6(F.col("top_share")).alias("top_share"), "entities")
 
 
-@query(f"WITH {daily_sql('mkt_ret')}, c AS (SELECT source_id, date, avg((mkt_ret > 0)::INT) {EVER} AS s, count(mkt_ret) {EVER} AS n FROM p WHERE mkt_ret IS NOT NULL) SELECT source_id, date, CASE WHEN n >= 63 THEN round(s, 6) END AS share_up FROM c")
+@query(f"WITH {daily_sql('mkt_ret')}, c AS (SELECT source_id, date, avg((mkt_ret > 0)::INT) {EVER} AS s, count(mkt_ret) {EVER} AS n FROM p WHERE mkt_ret IS NOT NULL) SELECT source_id, date, CASE WHEN n >= 63 THEN round(s, 12) END AS share_up FROM c")
 def a22_share_with_minimum(spark: SparkSession, folder: str) -> DataFrame:
-    return daily(spark, folder, "mkt_ret").where("mkt_ret is not null").select("source_id", "date", r6(A.expanding(F.avg, (R() > 0).cast("double"), 63)).alias("share_up"))
+    return daily(spark, folder, "mkt_ret").where("mkt_ret is not null").select("source_id", "date", r6(A.expanding(F.avg, (R() > 0).cast("double"), 63), 12).alias("share_up"))
 
 
 @query(f"WITH {_SB}, g AS (SELECT state, count(*) AS n, avg(gold_ret) AS m FROM sb WHERE gold_ret IS NOT NULL GROUP BY ALL), t AS (SELECT avg(gold_ret) AS m, var_pop(gold_ret) * count(*) AS ss FROM sb WHERE gold_ret IS NOT NULL) SELECT {s6('sum(g.n * (g.m - t.m) * (g.m - t.m)) / max(t.ss)', 8)} AS eta2 FROM g, t")

@@ -63,14 +63,14 @@ v AS (SELECT *, round(real_price / real_earn, 9) AS cape FROM e),
 z AS (SELECT *, CASE WHEN count(cape) OVER w >= 24 THEN (cape - avg(cape) OVER w) / nullif(stddev_samp(cape) OVER w, 0) END AS z FROM v WINDOW w AS (PARTITION BY series ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
 
-@query(f"WITH {_VAL}, {rank_sql('z', 'series', 'month', 'cape')} SELECT z.series, z.month, round(real_price, 6) AS real_price, round(real_earn, 6) AS real_earn, round(cape, 6) AS cape, pctile AS cape_pctile, {s6('z', 4)} AS cape_z FROM z JOIN rk USING (series, month)")
+@query(f"WITH {_VAL}, {rank_sql('z', 'series', 'month', 'cape')} SELECT z.series, z.month, round(real_price, 6) AS real_price, round(real_earn, 6) AS real_earn, round(cape, 9) AS cape, pctile AS cape_pctile, {s6('z', 4)} AS cape_z FROM z JOIN rk USING (series, month)")
 def sig_valuation(spark: SparkSession, folder: str) -> DataFrame:
     """Order value against trailing mean order size, per nation, with both publication lags (windows of 12 and 24 months)."""
     o, c, n = (table(spark, folder, t) for t in ("orders", "customer", "nation"))
     rows = o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     panel = rows.groupBy(F.col("n_name").alias("series"), F.last_day(F.to_date("o_orderdate")).alias("month")).agg(F.sum("o_totalprice").alias("price"), F.avg("o_totalprice").alias("earnings"), F.count(F.lit(1)).cast("double").alias("cpi"))
     out = signals.valuation(panel, 12, 24)
-    return out.select("series", "month", F.round("real_price", 6).alias("real_price"), F.round("real_earn", 6).alias("real_earn"), F.round("cape", 6).alias("cape"), r6(F.col("cape_pctile"), 9).alias("cape_pctile"), r6(F.col("cape_z"), 4).alias("cape_z"))
+    return out.select("series", "month", F.round("real_price", 6).alias("real_price"), F.round("real_earn", 6).alias("real_earn"), F.round("cape", 9).alias("cape"), r6(F.col("cape_pctile"), 9).alias("cape_pctile"), r6(F.col("cape_z"), 4).alias("cape_z"))
 
 
 _CON = f"""{NATION_MONTHS_SQL}, s AS (SELECT month, revenue / sum(revenue) OVER (PARTITION BY month) AS s FROM nm), c AS (SELECT 'all' AS series, month, 1 / sum(s * s) AS eff_n, max(s) AS top_share FROM s GROUP BY month),

@@ -78,9 +78,9 @@ def w7_expanding_quantile(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("q80", r6(F.col("q80")))
 
 
-@query(f"WITH {daily_sql('mkt_ret')} SELECT source_id, date, {s6(f'avg((mkt_ret < 0)::INT) {EVER}')} AS share_down FROM p")
+@query(f"WITH {daily_sql('mkt_ret')} SELECT source_id, date, {s6(f'avg((mkt_ret < 0)::INT) {EVER}', 12)} AS share_down FROM p")
 def w8_expanding_share(spark: SparkSession, folder: str) -> DataFrame:
-    return daily(spark, folder, "mkt_ret").select(*KEYS, r6(A.share_true(F.col("mkt_ret") < 0)).alias("share_down"))
+    return daily(spark, folder, "mkt_ret").select(*KEYS, r6(A.share_true(F.col("mkt_ret") < 0), 12).alias("share_down"))
 
 
 @query(f"""WITH {daily_sql('mkt_ret', 'gold_ret')} SELECT source_id, date, lag(mkt_ret) {SEQ} AS lag_1, lead(mkt_ret) {SEQ} AS lead_1, {s6(f'mkt_ret - lag(mkt_ret, 5) {SEQ}')} AS diff_5,
@@ -175,10 +175,10 @@ def equity(rows: DataFrame) -> DataFrame:
     return rows.withColumn("eq", F.product(1 + F.coalesce(plausible(F.col("mkt_ret")), F.lit(0.0))).over(A.ever()))
 
 
-@query(f"WITH {daily_sql('mkt_ret')}, {_EQUITY} SELECT source_id, date, {s6(f'eq / max(eq) {EVER} - 1')} AS drawdown FROM e")
+@query(f"WITH {daily_sql('mkt_ret')}, {_EQUITY} SELECT source_id, date, {s6(f'eq / max(eq) {EVER} - 1', 10)} AS drawdown FROM e")
 def w18_drawdown_path(spark: SparkSession, folder: str) -> DataFrame:
     e = equity(daily(spark, folder, "mkt_ret"))
-    return e.select(*KEYS, r6(F.col("eq") / F.max("eq").over(A.ever()) - 1).alias("drawdown"))
+    return e.select(*KEYS, r6(F.col("eq") / F.max("eq").over(A.ever()) - 1, 10).alias("drawdown"))
 
 
 @query(f"""WITH {daily_sql('mkt_ret')}, v AS (SELECT source_id, date, {guarded('avg', 'mkt_ret', 21)} * 100 AS x FROM p), n AS (SELECT * FROM v WHERE x IS NOT NULL),
@@ -191,10 +191,10 @@ def w19_trend(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH {daily_sql('mkt_ret')}, v AS (SELECT * FROM p WHERE mkt_ret IS NOT NULL)
-SELECT source_id, date, (sum((mkt_ret >= 0.02)::INT) {EVER})::BIGINT AS above, {s6(f'avg((mkt_ret >= 0.02)::INT) {EVER}')} AS share, max(CASE WHEN mkt_ret >= 0.02 THEN date END) {EVER} AS last_date FROM v""")
+SELECT source_id, date, (sum((mkt_ret >= 0.02)::INT) {EVER})::BIGINT AS above, {s6(f'avg((mkt_ret >= 0.02)::INT) {EVER}', 12)} AS share, max(CASE WHEN mkt_ret >= 0.02 THEN date END) {EVER} AS last_date FROM v""")
 def w20_extremes_to_date(spark: SparkSession, folder: str) -> DataFrame:
     hot = F.col("mkt_ret") >= 0.02
-    return daily(spark, folder, "mkt_ret").where("mkt_ret is not null").select(*KEYS, A.count_true(hot).cast("long").alias("above"), r6(A.share_true(hot)).alias("share"), A.last_true(hot).alias("last_date"))
+    return daily(spark, folder, "mkt_ret").where("mkt_ret is not null").select(*KEYS, A.count_true(hot).cast("long").alias("above"), r6(A.share_true(hot), 12).alias("share"), A.last_true(hot).alias("last_date"))
 
 
 @query(f"""WITH {daily_sql('mkt_ret', 'bond10_ret')}, {_RUNS_SQL}, k AS (SELECT g.source_id, g.date, g.run, row_number() OVER (PARTITION BY g.source_id, g.run ORDER BY date) AS sofar FROM g),

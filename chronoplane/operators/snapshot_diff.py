@@ -54,6 +54,12 @@ def _differ(pairs: DataFrame, digests: DataFrame, on: Sequence[str], node: str)
     ).where("n <> 0 or x1 <> 0 or x2 <> 0").drop("n", "x1", "x2")
 
 
+def _never_null(df: DataFrame, delivered: str) -> Column:
+    """No delivery instant counts as the earliest. Without nulls no branch of the plan gets a filter of its own, so all share one shuffle of the rows."""
+    kind = df.schema[delivered].dataType
+    return F.coalesce(F.col(delivered), F.lit("0001-01-01").cast(kind)) if kind.typeName() in ("timestamp", "timestamp_ntz", "date", "string") else F.coalesce(F.col(delivered), F.lit(-(2**31)).cast(kind))
+
+
 def snapshot_changes(
     df: DataFrame, entity: str, snapshot: str, delivered: str, key: str, values: dict[str, Column], fanout_bits: int | None = None
 ) -> DataFrame:
@@ -70,7 +76,7 @@ def snapshot_changes(
         fanout_bits = min(10, max(4, math.ceil(math.log2(max(1, df.count() / LEAF_ROWS)) / LEVELS)))
     names = list(values)
     rows = df.select(
-        F.col(entity).alias("entity"), F.col(snapshot).alias("snapshot"), F.col(delivered).alias("delivered"), F.col(key).alias("key"),
+        F.col(entity).alias("entity"), F.col(snapshot).alias("snapshot"), _never_null(df, delivered).alias("delivered"), F.col(key).alias("key"),
         *[v.alias(f"v{i}") for i, v in enumerate(values.values())],
     ).where("entity is not null and snapshot is not null")
     cells = [f"v{i}" for i in range(len(names))]
@@ -93,7 +99,7 @@ def snapshot_changes(
     # per entity at most one row per delivery: the number of snapshots bounds these windows
     deliveries = Window.partitionBy("entity", "snapshot")
     in_turn = Window.partitionBy("entity").orderBy("snapshot")
-    latest = roots.withColumn("last", F.max("delivered").over(deliveries)).where(F.col("delivered").eqNullSafe(F.col("last"))).drop("last")
+    latest = roots.withColumn("last", F.max("delivered").over(deliveries)).where("delivered = last").drop("last")
     pairs = latest.select(
         "entity", F.col("snapshot").alias("snap"), F.col("delivered").alias("delivery"),
         F.lag("snapshot").over(in_turn).alias("prior"), F.lag("delivered").over(in_turn).alias("prior_delivery"),
@@ -109,7 +115,7 @@ def snapshot_changes(
         F.struct(F.col("snap"), F.lit(True).alias("new"), F.col("snap").alias("s"), F.col("delivery").alias("d")),
         F.struct(F.col("snap"), F.lit(False).alias("new"), F.col("prior").alias("s"), F.col("prior_delivery").alias("d")),
     ))).alias("sides"))
-    mine = F.filter("sides", lambda x: (x["s"] == F.col("snapshot")) & x["d"].eqNullSafe(F.col("delivered")))
+    mine = F.filter("sides", lambda x: (x["s"] == F.col("snapshot")) & (x["d"] == F.col("delivered")))
     met = rows.join(sides, ["entity", "leaf"]).select("entity", "leaf", "key", *cells, F.inline(mine))
     found = met.groupBy("entity", "leaf", "snap", "key").agg(
         F.max(F.when(F.col("new"), F.struct(F.lit(1).alias("is"), *cells))).alias("now"),

@@ -50,18 +50,22 @@ def _inner(h0: Column, h1: Column, s0: Column, s1: Column) -> Column:
     return F.when(s0 * s1 <= 0, F.lit(0.0)).otherwise((w0 + w1) / (w0 / s0 + w1 / s1))
 
 
-def onto_grid(readings: DataFrame, keys: Sequence[str], position: str, value: str, shard_length: int, max_fill: int) -> DataFrame:
+def onto_grid(readings: DataFrame, keys: Sequence[str], position: str, value: str, shard_length: int, max_fill: int, latest: str | None = None) -> DataFrame:
     """Keys, ``position`` (whole number of the period), ``value`` and ``status`` (observed, filled, gap).
 
-    ``readings`` has one row per keys and position, no null or NaN values. A position is a double: a whole number is a
+    ``readings`` has no null or NaN values and one row per keys and position; with ``latest`` it may have several, and the
+    one greatest in that column stands. A position is a double: a whole number is a
     period of the grid, a fraction lies between two (it bounds the source and shapes the curve, but fills no period).
     A gap of more than ``max_fill`` missing periods is left marked and splits the source into segments. Every period
     between a source's first and last reading comes out exactly once; a source with one reading gives that period only.
     A value of infinity counts as a reading, its neighbourhood is filled with null values.
     """
     keys = list(keys)
-    df = readings.select(*keys, F.col(position).alias("p"), F.col(value).alias("v")).withColumn("_shard", F.floor(F.col("p") / shard_length).cast("int"))
-    near = exchange_halo(df, keys, "_shard", "p", ["v"], 1, 2)
+    more = [F.col(latest).alias("_l")] if latest else []
+    df = readings.select(*keys, F.col(position).alias("p"), F.col(value).alias("v"), *more).withColumn("_shard", F.floor(F.col("p") / shard_length).cast("int")).repartition(*keys, "_shard")
+    if latest:  # partitioned by shard already: folds without a shuffle
+        df = df.groupBy(*keys, "_shard", "p").agg(F.max_by("v", "_l").alias("v"))
+    near = exchange_halo(df, keys, "_shard", "p", ["v"], 1, 2, repartition=False)
     at = lambda field, k: neighbour(keys, "_shard", "p", field, k)
     near = near.withColumns({f"{f}{n}": at(f, k) for n, k in (("b", -1), ("a", 1), ("c", 2)) for f in ("p", "v")})
     # secants of the three intervals around [p, pa]; an interval across a long gap belongs to no segment

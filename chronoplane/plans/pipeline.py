@@ -110,8 +110,7 @@ def p6_grid(spark: SparkSession, folder: str) -> DataFrame:
     """Weekday grid of ``mkt_ret`` and month grid of the two bond returns; a month's reading is that of its latest day with one."""
     daily = daily_readings(spark, folder, ["mkt_ret"]).select("source_id", "field", regular_grid.weekday_number(F.unix_date("date")).alias("p"), "value", "date")
     # both days of a weekend share a half position; the later one stands for it
-    daily = daily.groupBy("source_id", "field", "p").agg(F.max_by("value", "date").alias("value"))
-    days = regular_grid.onto_grid(daily, ["source_id", "field"], "p", "value", 262, MAX_FILL_DAYS)
+    days = regular_grid.onto_grid(daily, ["source_id", "field"], "p", "value", 262, MAX_FILL_DAYS, latest="date")
     days = days.withColumn("period", F.date_format(regular_grid.weekday_date(F.col("p")), "yyyy-MM-dd"))
 
     bonds = table(spark, folder, "intl_bonds_monthly").where("source_id is not null and date is not null")

@@ -217,9 +217,11 @@ def r15_r16_strategy_returns(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("source_id", "date", F.col("w").alias("weight"), r6(F.col("held") * r - F.abs(F.col("held") - F.coalesce(A.lag(F.col("held")), F.lit(0.0))) * 0.001, 9).alias("strategy_ret"))
 
 
-@query()
+@query(f"""WITH {daily_sql('mkt_ret')}, {ORDERED}, m AS (SELECT a.source_id, a.date, a.i, sum({_W.format(h=20)}) AS w1, sum(pow({_W.format(h=20)}, 2)) AS w2, sum({_W.format(h=20)} * b.mkt_ret) AS s, sum({_W.format(h=20)} * b.mkt_ret * b.mkt_ret) AS q
+FROM n a JOIN n b ON a.source_id = b.source_id AND b.i <= a.i GROUP BY ALL), v AS (SELECT source_id, date, CASE WHEN i > 1 THEN sqrt(greatest(q / w1 - pow(s / w1, 2), 0) * w1 * w1 / (w1 * w1 - w2) * 252) END AS v FROM m)
+SELECT source_id, date, {s6('CASE WHEN v > 1e-9 THEN greatest(least(0.1 / v, 1), 0) ELSE 1 END', 5)} AS weight FROM v""")
 def r16_vol_target(spark: SparkSession, folder: str) -> DataFrame:
-    return _nan_to_null(q.along_series(returns(spark, folder), ["source_id"], "date", ["mkt_ret"], lambda g: {"weight": q.vol_target(g["mkt_ret"].to_numpy(float))}, "weight double"), "weight")
+    return _nan_to_null(q.along_series(returns(spark, folder), ["source_id"], "date", ["mkt_ret"], lambda g: {"weight": q.vol_target(g["mkt_ret"].to_numpy(float))}, "weight double"), "weight", digits=5)
 
 
 @query()

@@ -124,7 +124,7 @@ def fn_bond_total_return(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("source_id", "month", r6(signals.bond_total_return(F.col("jp_y10"), F.col("y"), 12), 8).alias("total_return"))
 
 
-@query()
+@query(f"WITH {daily_sql('mkt_ret')}, v AS (SELECT source_id, date, {guarded('stddev_samp', 'mkt_ret', 21)} * sqrt(252) AS vol FROM p WHERE mkt_ret > -1 AND mkt_ret < 1) SELECT source_id AS series, max(date) AS date, round(max_by(vol, date), 6) AS vol FROM v WHERE vol IS NOT NULL GROUP BY ALL")
 def run_out_of_sample(spark: SparkSession, folder: str) -> DataFrame:
     """One build over the feeds of every region at once: the latest reading of each."""
     build = lambda p: p.select("series", "date", w.Along("series", "date").realized_vol(F.col("mkt_ret")).alias("vol"))

@@ -27,6 +27,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a local one only where none is named (tests, single machine)."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", "") or sc.getCheckpointDir() or ""
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="chronoplane-")
         sc.setCheckpointDir(named)

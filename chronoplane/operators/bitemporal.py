@@ -192,6 +192,25 @@ RULES: list[tuple[str, Callable[[dict], bool]]] = [
 ]
 
 
+def json_schema() -> dict:
+    """The contract as a JSON Schema, from the same constants the rules use; what only a rule can say is left to the rules."""
+    text, some = {"type": "string"}, {"type": "string", "pattern": r"\S"}
+    number, share = {"type": ["number", "null"]}, {"type": ["number", "null"], "minimum": 0, "maximum": 1}
+    choice = lambda k: {"enum": sorted(CHOICES[k])}
+    closed = lambda required, **fields: {"type": "object", "additionalProperties": False, "required": sorted(required), "properties": fields}
+    leaf = {"value": number, "units": some, "estimator": text, "undefined_reason": {"type": ["string", "null"]}}
+    parts = {
+        "spec_version": {"const": SPEC_VERSION}, "signal": {"type": "string", "pattern": "^[a-z][a-z0-9_]*$"}, "as_of": {"type": "string", "pattern": r"^\d{4}-\d{2}-\d{2}$"}, "available_at": {"type": "string", "pattern": "T"},
+        "supersedes": {"type": ["string", "null"]}, "clock": choice("clock"), "assumption_monitored": some, "maturity": choice("maturity"),
+        "assumption_state": {"anyOf": [{"type": "null"}, closed(["status", "derivation"], status=choice("status"), derivation=some)]},
+        "reading": closed(["value", "units", "estimator"], **leaf, context_band=text, secondary_readings={"type": "array", "items": closed(["name", "value", "units", "estimator"], name=text, **leaf)}),
+        "rarity": closed(["level_percentile", "basis", "window"], level_percentile=share, basis=choice("basis"), window={"type": ["integer", "null"]}, calibration=text, secondary_percentiles={"type": "array"}),
+        "trend": {"type": ["object", "null"]}, "extreme_conditions": {"type": ["object", "null"]}, "cross_signal_relationships": {"type": "array", "items": text},
+        "assessment": closed(ASSESSMENT, **{k: choice(k) for k in sorted(ASSESSMENT)}),
+    }
+    return {"$schema": "https://json-schema.org/draft/2020-12/schema"} | closed(REQUIRED, **parts)
+
+
 def violations(text: str | None) -> list[str]:
     """Names of the rules a record (as JSON text, so that unknown keys are seen) breaks."""
     try:

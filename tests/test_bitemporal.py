@@ -201,3 +201,21 @@ def test_reindexed_names(spark):
     a = spark.createDataFrame([("f", "1"), ("g", "2"), ("h", None)], "file string, sha string")
     b = spark.createDataFrame([("f", "1"), ("g", "3"), ("i", "4"), ("h", None)], "file string, sha string")
     assert {(r.file, r.change) for r in files.manifest_changes(a, b, ["file"], "sha").collect()} == {("g", "changed"), ("i", "added")}
+
+
+def test_schema_agrees_with_rules():
+    schema = bi.json_schema()
+    assert set(schema["properties"]) == bi.TOP_LEVEL and set(schema["required"]) == bi.REQUIRED
+    assert set(schema["properties"]["assessment"]["required"]) == bi.ASSESSMENT and json.dumps(schema)
+    for key in schema["required"]:
+        assert "missing_field" in bi.violations(json.dumps({k: v for k, v in GOOD.items() if k != key}))
+
+
+def test_presentation(spark):
+    from chronoplane.plans import present
+
+    rows = present.rows_of(spark.createDataFrame([("b", None), ("a", "<x> & y")], "k string, v string"), ["k"])
+    assert [r["k"] for r in rows] == ["a", "b"] and json.loads(present.to_json(rows)) == rows
+    assert present.to_text(rows).splitlines() == ["k  v", "a  <x> & y", "b"] and present.to_text([]) == "(nothing)\n"
+    page = present.to_html(rows, "a < b")
+    assert "<td>&lt;x&gt; &amp; y</td>" in page and "<title>a &lt; b</title>" in page

@@ -239,7 +239,7 @@ def assess(text: str | None, common: frozenset) -> dict | None:
         marks = len(MARKUP.findall(s))
         if aligned[i] or shaped or marks >= 2 or _pairs(s):
             other[i] = True
-        elif bullets[i] and (listed or sum(bullets) >= 1):
+        elif bullets[i] and listed:
             body = BULLET.sub("", line).strip()
             other[i] = _fragment(body)
     # a nested list: its headings carry no mark of their own but the period of the indents

@@ -159,6 +159,14 @@ def b14_manifest_changes(spark: SparkSession, folder: str) -> DataFrame:
     return files.manifest_changes(side(1), side(2), ["file"], "sha256")
 
 
+@query("""WITH m AS (SELECT load_id, file, max(sha256) AS s FROM panel_manifest WHERE load_id IS NOT NULL GROUP BY ALL), l AS (SELECT load_id AS prior, lead(load_id) OVER (ORDER BY load_id) AS load_id FROM (SELECT DISTINCT load_id FROM m)),
+a AS (SELECT l.load_id, file, s FROM m JOIN l ON m.load_id = l.prior WHERE l.load_id IS NOT NULL), b AS (SELECT m.load_id, file, s FROM m JOIN l ON m.load_id = l.load_id)
+SELECT coalesce(a.load_id, b.load_id) AS load_id, coalesce(a.file, b.file) AS file, CASE WHEN a.load_id IS NULL THEN 'added' WHEN b.load_id IS NULL THEN 'gone' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.load_id = b.load_id AND a.file IS NOT DISTINCT FROM b.file WHERE a.load_id IS NULL OR b.load_id IS NULL OR a.s IS DISTINCT FROM b.s""")
+def b14_manifest_changes_by_load(spark: SparkSession, folder: str) -> DataFrame:
+    """Every load against the one before it (``b14_manifest_changes`` is the pair of its SQL, loads 1 and 2)."""
+    return files.manifest_changes_by_load(table(spark, folder, "panel_manifest"), "load_id", ["file"], "sha256")
+
+
 @query("SELECT snapshot_no, count(*) AS rows, count(*) FILTER (try_cast(last_obs AS DATE) IS NULL) AS dateless_rows, min(try_cast(last_obs AS DATE)) AS first_obs, max(try_cast(last_obs AS DATE)) AS last_obs FROM (SELECT snapshot_no, CASE WHEN regexp_full_match(last_obs, '\\d{4}-\\d{2}-\\d{2}') THEN last_obs END AS last_obs FROM vintage_manifest) GROUP BY ALL")
 def b15_vintage_coverage(spark: SparkSession, folder: str) -> DataFrame:
     day = F.date_from_unix_date(day_number(F.col("last_obs")))
@@ -293,7 +301,8 @@ def sc12_vintage_folder(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def sc13_file_digests(spark: SparkSession, folder: str) -> DataFrame:
-    return files.file_digests(spark, f"{folder}/nation.parquet")
+    """Digests of all files of the folder."""
+    return files.file_digests(spark, folder)
 
 
 @query("WITH c AS (SELECT lower(trim(sha256)) AS sha256, wayback_timestamp, series FROM vintage_manifest WHERE sha256 IS NOT NULL), k AS (SELECT sha256, min(struct_pack(wayback_timestamp := wayback_timestamp, series := series)) AS r FROM c GROUP BY ALL) SELECT sha256, r.wayback_timestamp, r.series FROM k")

@@ -11,6 +11,7 @@ from chronoplane.functions import windows as w
 from chronoplane.operators import calendar
 from chronoplane.plans.panels import ASSETS, INDUSTRIES, bonds, bonds_sql, daily, daily_sql
 from chronoplane.plans.registry import query, r6, s6
+from chronoplane.sources.files import consecutive_loads
 from chronoplane.tables import table
 
 SEQ = "OVER (PARTITION BY source_id ORDER BY date)"
@@ -225,6 +226,13 @@ def s1_s4_order(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "region").select("r_regionkey", "r_name").orderBy("r_name")
 
 
+@query("SELECT region, signal, as_of, available_at, record_id FROM observation_log ORDER BY ALL")
+def s1_s4_log_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole log in one order."""
+    columns = ["region", "signal", "as_of", "available_at", "record_id"]
+    return table(spark, folder, "observation_log").select(*columns).orderBy(*columns)
+
+
 @query(f"WITH {daily_sql('mkt_ret')}, n AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY date DESC) AS i FROM p) SELECT source_id, date, mkt_ret FROM n WHERE i <= 13")
 def s2_tail_rows(spark: SparkSession, folder: str) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("source_id").orderBy(F.col("date").desc()))
@@ -247,6 +255,15 @@ def s6_difference(spark: SparkSession, folder: str) -> DataFrame:
     return p.where("load_id = 1").select("file").exceptAll(p.where("load_id = 2").select("file")).distinct().join(p.where("load_id = 2").select("file"), "file", "left_anti")
 
 
+@query("""WITH l AS (SELECT load_id AS prior, lead(load_id) OVER (ORDER BY load_id) AS load_id FROM (SELECT DISTINCT load_id FROM panel_manifest WHERE load_id IS NOT NULL))
+SELECT l.load_id, file FROM panel_manifest p JOIN l ON p.load_id = l.prior WHERE l.load_id IS NOT NULL EXCEPT SELECT load_id, file FROM panel_manifest""")
+def s6_difference_by_load(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that the load before each load had and it hasn't (``s6_difference`` is the pair of its SQL, loads 1 and 2)."""
+    p = table(spark, folder, "panel_manifest").select("load_id", "file")
+    had = p.join(consecutive_loads(p, "load_id"), "load_id").where("following is not null").select(F.col("following").alias("load_id"), "file")
+    return had.subtract(p)
+
+
 @query("SELECT region, signal, 'log' AS kind, count(*) AS n FROM observation_log GROUP BY ALL UNION ALL SELECT region, signal, 'capture', count(*) FROM vintage_capture GROUP BY ALL")
 def s7_union(spark: SparkSession, folder: str) -> DataFrame:
     count = lambda t, k: table(spark, folder, t).groupBy("region", "signal").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(k))

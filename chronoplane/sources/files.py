@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,8 +40,16 @@ def vintage_coverage(raw: DataFrame, vintage: str, date: Column) -> DataFrame:
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """Name, size and SHA-256 of files."""
-    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """Name, size and SHA-256 of a file, or of all files of a folder and the folders in it: there the name is the path below the folder.
+
+    A file is read whole, so each must be under 2 GB.
+    """
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = system.makeQualified(base)
+    at = base.toString() if system.getFileStatus(base).isDirectory() else base.getParent().toString()
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return rows.select(F.substring("path", len(at) + 2, 2**31 - 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def manifest_changes(old: DataFrame, new: DataFrame, key: Sequence[str], digest: str) -> DataFrame:
@@ -51,6 +59,30 @@ def manifest_changes(old: DataFrame, new: DataFrame, key: Sequence[str], digest:
     return a.join(b, list(key), "full").withColumn("change", change).where("change is not null").select(*key, "change")
 
 
+def consecutive_loads(manifest: DataFrame, load: str) -> DataFrame:
+    """Each load with its ``prior`` and ``following`` one (null at the ends). The number of loads bounds the window."""
+    in_turn = Window.orderBy(load)
+    return manifest.where(F.col(load).isNotNull()).select(load).distinct().withColumns({"prior": F.lag(load).over(in_turn), "following": F.lead(load).over(in_turn)})
+
+
+def manifest_changes_by_load(manifest: DataFrame, load: str, key: Sequence[str], digest: str) -> DataFrame:
+    """Files added, gone or changed between every load and the one before it: load, key, ``change``.
+
+    Every row stands once for its own load and once for the following one, so all loads meet in one shuffle by load and
+    key. The first load has no changes; a file named twice in a load has the greatest of its digests.
+    """
+    rows = manifest.where(F.col(load).isNotNull()).groupBy(load, *key).agg(F.max(digest).alias("_d")).join(consecutive_loads(manifest, load), load)
+    sides = F.array(
+        F.struct(F.when(F.col("prior").isNotNull(), F.col(load)).alias("_at"), F.lit(True).alias("_new")),
+        F.struct(F.col("following").alias("_at"), F.lit(False).alias("_new")),
+    )
+    met = rows.select(*key, "_d", F.inline(sides)).where("_at is not null").groupBy("_at", *key).agg(
+        F.max(F.when(F.col("_new"), F.struct("_d"))).alias("_now"), F.max(F.when(~F.col("_new"), F.struct("_d"))).alias("_was")
+    )
+    change = F.when(F.col("_was").isNull(), "added").when(F.col("_now").isNull(), "gone").when(~F.col("_now._d").eqNullSafe(F.col("_was._d")), "changed")
+    return met.withColumn("change", change).where("change is not null").select(F.col("_at").alias(load), *key, "change")
+
+
 def archive_index(rows: DataFrame, digest: str, stamp: str, columns: Sequence[str]) -> DataFrame:
     """Of every digest the earliest capture: the moment that content was first seen."""
     return rows.where(F.col(digest).isNotNull()).groupBy(digest).agg(F.min_by(F.struct(stamp, *columns), F.struct(stamp, *columns)).alias("r")).select(digest, "r.*")

@@ -20,8 +20,11 @@ YEAR = 252
 
 
 # -- running on Spark --------------------------------------------------------------------------------------------------
-def along_series(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], function: Callable[[pd.DataFrame], dict], result: str) -> DataFrame:
-    """Keys, order and the columns of ``result`` ("name type, ..."): ``function`` gets a series in order and returns arrays of its length."""
+def along_series(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], function: Callable[[pd.DataFrame], dict], result: str, spread: bool = False) -> DataFrame:
+    """Keys, order and the columns of ``result`` ("name type, ..."): ``function`` gets a series in order and returns arrays of its length.
+
+    ``spread``: small rows but long work, so the partitions are kept as many as shuffles have, instead of being merged by size.
+    """
     keys = list(keys)
     names = [x.strip().split()[0] for x in result.split(",")]
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in [*keys, order])
@@ -33,7 +36,10 @@ def along_series(df: DataFrame, keys: Sequence[str], order: str, columns: Sequen
             out[name] = value
         return out[[*keys, order, *names]]
 
-    return df.select(*keys, order, *columns).groupBy(*keys).applyInPandas(run, f"{kinds}, {result}")
+    rows = df.select(*keys, order, *columns)
+    if spread:
+        rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, {result}")
 
 
 def windowed_refits(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], window: int, step: int, function: Callable[[pd.DataFrame], dict], result: str) -> DataFrame:
@@ -454,12 +460,42 @@ def kalman(z: np.ndarray, phi: float, q: float, noise: float) -> tuple[np.ndarra
 
 
 def fit_kalman(z: np.ndarray) -> tuple[float, float, float]:
-    """Persistence, level noise and observation noise of greatest likelihood."""
+    """Persistence, level noise and observation noise of greatest likelihood; ``z`` has no missing rows."""
+    rows = np.asarray(z, float).tolist()
     free = lambda p: (1 / (1 + math.exp(-min(max(p[0], -30), 30))), math.exp(min(max(p[1], -30), 10)), math.exp(min(max(p[2], -30), 10)))
-    best, _ = nelder_mead(lambda p: -kalman(z, *free(p))[1], [2.0, -3.0, -3.0], steps=400, close=1e-6)
+
+    def loss(params: np.ndarray) -> float:
+        phi, q, noise = free(params)
+        x, p, total = rows[0], 1.0, 0.0
+        for v in rows[1:]:
+            x, p = phi * x, phi * phi * p + q
+            s, gap = p + noise, v - x
+            total += math.log(2 * math.pi * s) + gap * gap / s
+            x, p = x + p / s * gap, p * noise / s
+        return 0.5 * total
+
+    best, _ = nelder_mead(loss, [2.0, -3.0, -3.0], steps=2000, close=1e-6)
     return free(best)
 
 
+def kalman_refits(z: np.ndarray, first: int, step: int) -> np.ndarray:
+    """Filtered level with parameters refitted on all values so far: after the first ``first`` values, then every ``step`` rows.
+
+    Each segment is filtered, from the start of the series on, with the parameters fitted strictly before it; the rows
+    before the first segment have those of the first fit. Missing rows stay missing; fewer than ``first`` values give none.
+    """
+    out = np.full(len(z), np.nan)
+    seen = np.flatnonzero(np.isfinite(z))
+    if len(seen) < first:
+        return out
+    for begin in range(burn := int(seen[first - 1]) + 1, max(len(z), burn + 1), step):
+        past = z[:begin]
+        level = kalman(z[: begin + step], *fit_kalman(past[np.isfinite(past)]))[0]
+        low = 0 if begin == burn else begin
+        out[low : begin + step] = level[low:]
+    return out
+
+
 def hmm_log_likelihood(log_emission: np.ndarray, transition: np.ndarray, initial: np.ndarray) -> float:
     """Log probability of a sequence under a hidden Markov model, scaled row by row."""
     total, belief = 0.0, np.asarray(initial, float)

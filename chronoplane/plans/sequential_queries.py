@@ -132,17 +132,11 @@ def r8_bull_bear(spark: SparkSession, folder: str) -> DataFrame:
     return q.along_series(returns(spark, folder), ["source_id"], "date", ["mkt_ret"], lambda g: {"phase": q.bull_bear(np.cumprod(1 + g["mkt_ret"].to_numpy(float)))}, "phase int")
 
 
-def _kalman(g: pd.DataFrame) -> dict:
-    z = g["jp_y10"].to_numpy(float)
-    if np.isfinite(z).sum() < 24:
-        return {"level": np.full(len(z), np.nan)}
-    return {"level": q.kalman(z, *q.fit_kalman(z[np.isfinite(z)][:240]))[0]}
-
-
 @query()
 def r9_kalman_level(spark: SparkSession, folder: str) -> DataFrame:
-    """Filtered yield level per feed; parameters from its first 240 months."""
-    return _nan_to_null(q.along_series(bonds(spark, folder, "jp_y10"), ["source_id"], "month", ["jp_y10"], _kalman, "level double"), "level")
+    """Filtered yield level per feed; parameters refitted on the expanding history, after 24 months and then every 12 rows."""
+    out = q.along_series(bonds(spark, folder, "jp_y10"), ["source_id"], "month", ["jp_y10"], lambda g: {"level": q.kalman_refits(g["jp_y10"].to_numpy(float), 24, 12)}, "level double", spread=True)
+    return _nan_to_null(out, "level")
 
 
 @query(f"""WITH RECURSIVE {daily_sql('mkt_ret')}, {ORDERED}, h AS (SELECT source_id, i, (mkt_ret < -0.02)::INT::DOUBLE AS h FROM n WHERE i = 1

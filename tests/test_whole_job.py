@@ -2,7 +2,12 @@
 
 import hashlib
 
+import datetime as dt
+
+import numpy as np
+
 import __spark_entry__ as entry
+from chronoplane.operators import sequential as q
 from chronoplane.sources import files
 
 FOLDER = "/root/testdata/sf0.001"
@@ -40,3 +45,36 @@ def test_all_files_of_a_folder_are_digested(spark, tmp_path):
     import os
 
     assert {r.file for r in entry.queries()["sc13_file_digests"](spark, FOLDER).collect()} == set(os.listdir(FOLDER))
+
+
+# -- refits on the expanding history -----------------------------------------------------------------------------------
+def monthly(n):
+    rng = np.random.default_rng(3)
+    z = np.cumsum(rng.normal(0, 0.1, n)) + 2
+    z[250:] += np.cumsum(rng.normal(0, 1.0, n - 250))  # another level noise
+    z[[5, 100, 260]] = np.nan
+    return z
+
+
+def test_kalman_level_uses_all_of_the_past_and_no_future():
+    z = monthly(310)
+    out = q.kalman_refits(z, 24, 12)
+    assert (np.isnan(out) == np.isnan(z)).all()
+    begin = 25 + 12 * ((300 - 25) // 12)  # one value among the first 24 rows is missing, so the first fit is at row 25
+    past = z[:begin]
+    assert np.allclose(out[begin : begin + 12], q.kalman(z[: begin + 12], *q.fit_kalman(past[np.isfinite(past)]))[0][begin:], equal_nan=True)
+    later = z.copy()
+    later[300:] += 50
+    assert np.allclose(out[25:300], q.kalman_refits(later, 24, 12)[25:300], equal_nan=True)
+    assert np.isnan(q.kalman_refits(z[:24], 24, 12)).all() and np.isfinite(q.kalman_refits(z[:25], 24, 12)).sum() == 24
+
+
+def test_kalman_query_refits_after_240_months(spark, tmp_path):
+    z = monthly(310)
+    rows = [("f", dt.date(1990 + i // 12, i % 12 + 1, 28), None if np.isnan(v) else float(v)) for i, v in enumerate(z)]
+    spark.createDataFrame(rows, "source_id string, date date, jp_y10 double").write.parquet(f"{tmp_path}/intl_bonds_monthly.parquet")
+    got = [r.level for r in entry.queries()["r9_kalman_level"](spark, str(tmp_path)).orderBy("month").collect()]
+    want = q.kalman_refits(z, 24, 12)
+    assert np.allclose(np.array(got, float), want, atol=1e-6, equal_nan=True)
+    prefix = q.kalman(z, *q.fit_kalman(z[np.isfinite(z)][:240]))[0]
+    assert np.nanmax(np.abs(prefix[250:] - want[250:])) > 0.01

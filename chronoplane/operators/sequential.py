@@ -42,17 +42,19 @@ def along_series(df: DataFrame, keys: Sequence[str], order: str, columns: Sequen
     return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, {result}")
 
 
-def windowed_refits(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], window: int, step: int, function: Callable[[pd.DataFrame], dict], result: str) -> DataFrame:
+def windowed_refits(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], window: int, step: int, function: Callable[[pd.DataFrame], dict], result: str, spread: bool = False) -> DataFrame:
     """One group per series and refit: the ``window`` rows before row ``window + k * step``. Keys, ``refit`` (k), order of that row, and the result.
 
-    A row is copied to the refits whose window holds it: ``window / step`` copies.
+    A row is copied to the refits whose window holds it: ``window / step`` copies. ``spread`` as in ``along_series``.
     """
     keys = list(keys)
     along = Window.partitionBy(*keys).orderBy(order)
     rows = df.select(*keys, order, *columns).withColumn("_i", F.row_number().over(along) - 1)
     at = rows.where((F.col("_i") >= window) & ((F.col("_i") - window) % step == 0)).select(*keys, ((F.col("_i") - window) / step).cast("int").alias("refit"), F.col(order).alias("_at"))
     first = F.greatest(F.ceil((F.col("_i") - window + 1) / step), F.lit(0))
-    spread = rows.withColumn("refit", F.explode(F.sequence(first.cast("int"), F.floor(F.col("_i") / step).cast("int"))))
+    copies = rows.withColumn("refit", F.explode(F.sequence(first.cast("int"), F.floor(F.col("_i") / step).cast("int"))))
+    if spread:
+        copies = copies.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "refit")
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keys)
     names = [x.strip().split()[0] for x in result.split(",")]
 
@@ -62,7 +64,7 @@ def windowed_refits(df: DataFrame, keys: Sequence[str], order: str, columns: Seq
             return pd.DataFrame(columns=[*keys, "refit", *names])
         return pd.DataFrame([{**{k: group[k].iloc[0] for k in keys}, "refit": group["refit"].iloc[0], **function(group)}])
 
-    fits = spread.groupBy(*keys, "refit").applyInPandas(run, f"{kinds}, refit int, {result}")
+    fits = copies.groupBy(*keys, "refit").applyInPandas(run, f"{kinds}, refit int, {result}")
     return at.join(fits, [*keys, "refit"]).withColumnRenamed("_at", order)
 
 
@@ -262,8 +264,11 @@ def conditional_variance(e: np.ndarray, omega: float, alpha: float, beta: float,
     return np.fromiter(accumulate(news.tolist(), lambda s, x: x + beta * s, initial=level), float, len(news) + 1)[: len(e)]
 
 
-def fit_garch_t(r: np.ndarray, asymmetric: bool = False) -> dict[str, float]:
-    """GARCH(1,1) with Student-t innovations by maximum likelihood on returns in per cent; NaN where it can't be fitted."""
+def fit_garch_t(r: np.ndarray, asymmetric: bool = False, begin: dict[str, float] | None = None) -> dict[str, float]:
+    """GARCH(1,1) with Student-t innovations by maximum likelihood on returns in per cent; NaN where it can't be fitted.
+
+    ``begin``: an earlier fit whose point (``at``) the search starts from.
+    """
     x = 100 * np.asarray(r, float)
     x = x[~np.isnan(x)]
     nan = dict.fromkeys(("mu", "omega", "alpha", "gamma", "beta", "nu"), math.nan)
@@ -285,9 +290,27 @@ def fit_garch_t(r: np.ndarray, asymmetric: bool = False) -> dict[str, float]:
         const = math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(math.pi * (nu - 2))
         return -float(len(x) * const - 0.5 * np.log(s2).sum() - (nu + 1) / 2 * np.log1p(z).sum())
 
-    p, _ = nelder_mead(loss, [mu0, math.log(0.05), 3.0, 2.5, 1.8, *([0.0] if asymmetric else [])], steps=500, close=1e-5)
+    p, _ = nelder_mead(loss, begin["at"] if begin and "at" in begin else [mu0, math.log(0.05), 3.0, 2.5, 1.8, *([0.0] if asymmetric else [])], steps=500, close=1e-5)
     mu, omega, alpha, beta, gamma, nu = unpack(p)
-    return {"mu": mu, "omega": omega, "alpha": alpha, "gamma": gamma, "beta": beta, "nu": nu}
+    return {"mu": mu, "omega": omega, "alpha": alpha, "gamma": gamma, "beta": beta, "nu": nu, "at": p}
+
+
+def asymmetric_refits(r: np.ndarray, years: np.ndarray, first: int = YEAR) -> dict[str, np.ndarray]:
+    """Conditional volatility (``vol``) and asymmetry (``gamma``) of every row: each year's rows are filtered with the parameters fitted on all rows of the years before.
+
+    Missing while fewer than ``first`` rows lie before a year. The search of each fit starts from the fit before. ``r`` has no missing values.
+    """
+    vol, gamma = np.full(len(r), np.nan), np.full(len(r), np.nan)
+    fit: dict | None = None
+    for year in np.unique(years):
+        begin, end = np.searchsorted(years, [year, year + 1])
+        if begin < first:
+            continue
+        fit = fit_garch_t(r[:begin], asymmetric=True, begin=fit)
+        if fit["mu"] == fit["mu"]:
+            s2 = conditional_variance(100 * r[:end] - fit["mu"], fit["omega"], fit["alpha"], fit["beta"], fit["gamma"])
+            vol[begin:end], gamma[begin:end] = np.sqrt(s2[begin:]) / 100, fit["gamma"]
+    return {"gamma": gamma, "vol": vol}
 
 
 def half_life(alpha: float, beta: float) -> float:

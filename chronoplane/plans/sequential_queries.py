@@ -69,24 +69,32 @@ def _garch(g: pd.DataFrame) -> dict:
 
 @query()
 def r4_shock_half_life(spark: SparkSession, folder: str) -> DataFrame:
-    """Half-life of a volatility shock from trailing fits of 252 rows, every 126; each fit is a group of its own."""
-    out = q.windowed_refits(returns(spark, folder), ["source_id"], "date", ["mkt_ret"], 252, 126, _garch, "persistence double, half_life double")
+    """Half-life of a volatility shock from trailing fits of 1,260 rows, every 63; each fit is a group of its own."""
+    out = q.windowed_refits(returns(spark, folder), ["source_id"], "date", ["mkt_ret"], 1260, 63, _garch, "persistence double, half_life double", spread=True)
     return _nan_to_null(out, "persistence", "half_life")
 
 
 def _gjr(g: pd.DataFrame) -> dict:
-    r = g["mkt_ret"].to_numpy(float)
-    fit = q.fit_garch_t(r, asymmetric=True)
-    e = 100 * r - fit["mu"]
-    s2 = q.conditional_variance(e, fit["omega"], fit["alpha"], fit["beta"], fit["gamma"]) if fit["mu"] == fit["mu"] else np.full(len(r), np.nan)
-    return {"gamma": fit["gamma"], "next_vol": float(np.sqrt(fit["omega"] + (fit["alpha"] + (fit["gamma"] if e[-1] < 0 else 0)) * e[-1] ** 2 + fit["beta"] * s2[-1]) / 100)}
+    return q.asymmetric_refits(g["mkt_ret"].to_numpy(float), pd.to_datetime(g["date"]).dt.year.to_numpy())
 
 
 @query()
 def r5_asymmetric_refits(spark: SparkSession, folder: str) -> DataFrame:
-    """Asymmetric conditional variance, refits on trailing 252 rows every 126: the asymmetry and the volatility expected for the next row."""
-    out = q.windowed_refits(returns(spark, folder), ["source_id"], "date", ["mkt_ret"], 252, 126, _gjr, "gamma double, next_vol double")
-    return _nan_to_null(out, "gamma", "next_vol")
+    """Asymmetric conditional volatility of every day, parameters refitted on all rows up to the end of the year before; null while these are under 252."""
+    out = q.along_series(returns(spark, folder), ["source_id"], "date", ["mkt_ret"], _gjr, "gamma double, vol double", spread=True)
+    return _nan_to_null(out, "gamma", "vol")
+
+
+@query()
+def r5_full_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """One symmetric fit on all rows of each feed: news, persistence and half-life of a shock (of the whole span, on purpose not causal)."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        fit = q.fit_garch_t(g.sort_values("date")["mkt_ret"].to_numpy(float))
+        return pd.DataFrame([{"source_id": g["source_id"].iloc[0], "n": len(g), "alpha": fit["alpha"], "beta": fit["beta"], "half_life": q.half_life(fit["alpha"], fit["beta"])}])
+
+    rows = returns(spark, folder).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source_id")
+    return _nan_to_null(rows.groupBy("source_id").applyInPandas(run, "source_id string, n long, alpha double, beta double, half_life double"), "alpha", "beta", "half_life")
 
 
 def _features(r: np.ndarray) -> np.ndarray:

@@ -21,7 +21,7 @@ def _percentile(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
     return df.join(p, ["series", order], "left")
 
 
-def volatility(panel: DataFrame, lam: float = 0.94, burn_in: int = 252, window: int = 252, step: int = 63) -> DataFrame:
+def volatility(panel: DataFrame, lam: float = 0.94, burn_in: int = 252, window: int = 1260, step: int = 63) -> DataFrame:
     """series, date, mkt_ret -> vol_annual, vol_pctile, half_life, half_life_pctile (half-life by trailing fits, carried forward)."""
     ret = panel.where("mkt_ret is not null")
     vol = seq.along_series(ret, ["series"], "date", ["mkt_ret"], lambda g: {"vol_annual": seq.ewma_vol(g["mkt_ret"].to_numpy(float), lam, burn_in)}, "vol_annual double").withColumn("vol_annual", w.finite(F.col("vol_annual")))
@@ -30,7 +30,7 @@ def volatility(panel: DataFrame, lam: float = 0.94, burn_in: int = 252, window:
         f = seq.fit_garch_t(g["mkt_ret"].to_numpy(float))
         return {"half_life": seq.half_life(f["alpha"], f["beta"])}
 
-    fits = seq.windowed_refits(ret, ["series"], "date", ["mkt_ret"], window, step, fit, "half_life double").select("series", "date", w.finite(F.col("half_life")).alias("half_life"))
+    fits = seq.windowed_refits(ret, ["series"], "date", ["mkt_ret"], window, step, fit, "half_life double", spread=True).select("series", "date", w.finite(F.col("half_life")).alias("half_life"))
     a = w.Along("series", "date")
     out = ret.select("series", "date", "mkt_ret").join(vol, ["series", "date"]).join(fits, ["series", "date"], "left").withColumn("half_life", a.fill(F.col("half_life")))
     return _percentile(_percentile(out, "date", "vol_annual", "vol_pctile"), "date", "half_life", "half_life_pctile")

@@ -78,3 +78,39 @@ def test_kalman_query_refits_after_240_months(spark, tmp_path):
     assert np.allclose(np.array(got, float), want, atol=1e-6, equal_nan=True)
     prefix = q.kalman(z, *q.fit_kalman(z[np.isfinite(z)][:240]))[0]
     assert np.nanmax(np.abs(prefix[250:] - want[250:])) > 0.01
+
+
+def daily_feed(spark, path, n, start=dt.date(2000, 1, 3)):
+    rng = np.random.default_rng(5)
+    r = rng.standard_t(6, n) * 0.008 * (1 + (np.arange(n) % 400 > 300))
+    rows = [("f", start + dt.timedelta(days=i), float(v)) for i, v in enumerate(r)]
+    spark.createDataFrame(rows, "source_id string, date date, mkt_ret double").write.parquet(f"{path}/assets_daily.parquet")
+    return rows, r
+
+
+def test_variance_has_a_value_for_every_day_after_the_first_years(spark, tmp_path):
+    rows, r = daily_feed(spark, tmp_path, 1100)
+    out = entry.queries()["r5_asymmetric_refits"](spark, str(tmp_path)).orderBy("date").collect()
+    assert [x.date for x in out] == [x[1] for x in rows]
+    years = np.array([x[1].year for x in rows])
+    assert [x.vol is not None for x in out] == [y > 2000 for y in years]  # the feed begins on 3 January: over 252 rows before 2001
+    first = q.fit_garch_t(r[years < 2001], asymmetric=True)
+    s2 = q.conditional_variance(100 * r[years < 2002] - first["mu"], first["omega"], first["alpha"], first["beta"], first["gamma"])
+    assert np.allclose([x.vol for x in out if x.date.year == 2001], np.sqrt(s2[years[years < 2002] == 2001]) / 100, atol=2e-6)
+    later = r.copy()
+    later[years == 2002] *= 9
+    again = q.asymmetric_refits(later, years)
+    assert np.allclose(again["vol"][years == 2001], [x.vol for x in out if x.date.year == 2001], atol=2e-6)
+    whole = entry.queries()["r5_full_sample"](spark, str(tmp_path)).collect()
+    assert len(whole) == 1 and whole[0].n == 1100 and abs(whole[0].alpha - q.fit_garch_t(r)["alpha"]) < 1e-5
+
+
+def test_half_lives_come_from_1260_rows_every_63(spark, tmp_path):
+    rows, r = daily_feed(spark, tmp_path, 1260 + 64)
+    for name in ("r4_shock_half_life", "sig_volatility"):
+        out = [x for x in entry.queries()[name](spark, str(tmp_path)).orderBy("date").collect() if x.half_life is not None]
+        if name == "r4_shock_half_life":
+            assert [x.date for x in out] == [rows[1260][1], rows[1323][1]]
+        assert out[0].date == rows[1260][1]
+        fit = q.fit_garch_t(r[:1260])
+        assert abs(out[0].half_life / q.half_life(fit["alpha"], fit["beta"]) - 1) < 1e-3

@@ -123,6 +123,40 @@ def block_permutation(rng: np.random.Generator, n: int, block: int) -> np.ndarra
     return np.concatenate([blocks[i] for i in rng.permutation(len(blocks))]) if n else np.arange(0)
 
 
+def null_slope_p(level: np.ndarray, r: np.ndarray, paths: int, block: int, rng: np.random.Generator) -> tuple[float, float]:
+    """Slope of the next return on the level, and how often paths without predictability reach it in its direction: (hits + 1) / (paths + 1).
+
+    Blocks of joint residuals are drawn; the level is rebuilt from its own recursion. Missing under 27 rows or without spread.
+    """
+    n = len(r)
+    if n < 27 or np.ptp(level[:-1]) == 0:
+        return math.nan, math.nan
+    slope = float(np.polyfit(level[:-1], r[1:], 1)[0])
+    rho, c = np.polyfit(level[:-1], level[1:], 1)
+    v, mean = level[1:] - c - rho * level[:-1], r[1:].mean()
+    u = r[1:] - mean
+    starts = rng.integers(0, max(1, len(u) - block + 1), (paths, -(-n // min(block, len(u))), 1))
+    draws = (starts + np.arange(min(block, len(u)))).reshape(paths, -1)[:, :n]
+    x = np.empty((paths, n))
+    x[:, 0] = level[0]
+    for t in range(1, n):
+        x[:, t] = c + rho * x[:, t - 1] + v[draws[:, t]]
+    x = x[:, :-1] - x[:, :-1].mean(1, keepdims=True)
+    found = (x * (mean + u[draws[:, 1:]])).sum(1) / np.maximum((x * x).sum(1), 1e-300)
+    hits = int((found <= slope).sum() if slope < 0 else (found >= slope).sum())
+    return slope, (hits + 1) / (paths + 1)
+
+
+def permutation_p(x: np.ndarray, y: np.ndarray, times: int, block: int, rng: np.random.Generator) -> tuple[float, float]:
+    """Correlation of two series, and how often it is as far from zero with the blocks of ``y`` in random order: (hits + 1) / (times + 1)."""
+    if len(x) < 2 * block or np.ptp(x) == 0 or np.ptp(y) == 0:
+        return math.nan, math.nan
+    a, b = (x - x.mean()) / x.std(), (y - y.mean()) / y.std()
+    rho = float(a @ b) / len(a)
+    hits = sum(abs(float(a @ b[block_permutation(rng, len(b), block)])) / len(a) >= abs(rho) for _ in range(times))
+    return rho, (hits + 1) / (times + 1)
+
+
 def phase_surrogate(rng: np.random.Generator, x: np.ndarray) -> np.ndarray:
     """Series of the same spectrum with random phases."""
     f = np.fft.rfft(x - x.mean())

@@ -556,3 +556,29 @@ def fit_logit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50
         if np.abs(step).max() < 1e-10:
             break
     return b
+
+
+def blocked_ridge(x: np.ndarray, y: np.ndarray, grid: Sequence[float], folds: int = 5) -> float:
+    """Ridge of the logistic regression with the least loss over contiguous folds, each left out in turn."""
+    edges = np.linspace(0, len(y), folds + 1).astype(int)
+    loss = dict.fromkeys(grid, 0.0)
+    for ridge in grid:
+        for low, high in zip(edges[:-1], edges[1:]):
+            b = fit_logit(np.delete(x, slice(low, high), 0), np.delete(y, slice(low, high)), ridge)
+            loss[ridge] += bernoulli_loss(b[0] + x[low:high] @ b[1:], y[low:high])
+    return min(grid, key=lambda ridge: loss[ridge])
+
+
+def rolling_event_logit(e: np.ndarray, window: int, step: int, beta: float, grid: Sequence[float]) -> list[dict[str, float]]:
+    """Logistic regression of an event on the excitation a row before: each fit on ``window`` rows is scored on the up to ``step`` rows after them.
+
+    The ridge is chosen by blocked cross-validation within the window. ``at`` is the first row scored.
+    """
+    h = np.concatenate([[np.nan], excitation(e, beta)[:-1]])
+    out = []
+    for k, at in enumerate(range(window, len(e), step)):
+        past, rest = slice(max(at - window, 1), at), slice(at, min(at + step, len(e)))
+        ridge = blocked_ridge(h[past, None], e[past], grid)
+        b = fit_logit(h[past, None], e[past], ridge)
+        out.append({"refit": k, "at": at, "a": float(b[0]), "b": float(b[1]), "ridge": ridge, "scored": rest.stop - at, "loss": bernoulli_loss(b[0] + b[1] * h[rest], e[rest])})
+    return out

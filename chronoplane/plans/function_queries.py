@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoplane.functions import windows as w
 from chronoplane.operators import cross_section as xs
-from chronoplane.plans.panels import bonds, bonds_sql, daily, daily_sql
+from chronoplane.plans.panels import INDUSTRIES, bonds, bonds_sql, daily, daily_sql
 from chronoplane.plans.registry import query, r6, s6
 from chronoplane.plans.window_queries import A, EVER, guarded
 from chronoplane.tables import table
@@ -96,6 +98,25 @@ def w29_realized_corr_z(spark: SparkSession, folder: str) -> DataFrame:
     return daily(spark, folder, *_FOUR[:2]).select("source_id", "date", r6(F.atanh(A._correlation(a, b, 63, A.past(63), 63)), 4).alias("corr_z"))
 
 
+_ALL_OK = " AND ".join(f"{c} IS NOT NULL" for c in INDUSTRIES)
+_MEAN_RHO = "(" + " + ".join(f"corr({a}, {b}) {_PAST}" for i, a in enumerate(INDUSTRIES) for b in INDUSTRIES[i + 1 :]) + ") / 45"
+
+
+@query(f"""WITH {daily_sql(*INDUSTRIES)}, o AS (SELECT source_id, date, {_ALL_OK} AS ok, {', '.join(f'CASE WHEN {_ALL_OK} THEN {c} END AS {c}' for c in INDUSTRIES)} FROM p),
+m AS (SELECT source_id, date, CASE WHEN count(CASE WHEN ok THEN 1 END) {_PAST} = 63 THEN {_MEAN_RHO} END AS rho FROM o) SELECT source_id, date, {s6('CASE WHEN isfinite(rho) THEN atanh(greatest(least(rho, 0.999), -0.999)) END', 4)} AS corr_z FROM m""")
+def w29_mean_corr_z(spark: SparkSession, folder: str) -> DataFrame:
+    """Fisher z of the mean correlation of all pairs of the ten industries over the 63 rows before each row (``w29_realized_corr_z`` is the one pair of its SQL)."""
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in INDUSTRIES])
+    rows = daily(spark, folder, *INDUSTRIES).select("source_id", "date", *[F.when(whole, F.col(c)).alias(c) for c in INDUSTRIES])
+    past = A.past(63)
+    parts = [F.count(INDUSTRIES[0]).over(past).alias("k"), *[F.stddev_pop(c).over(past).alias(f"s_{c}") for c in INDUSTRIES]]
+    pairs = [(a, b) for i, a in enumerate(INDUSTRIES) for b in INDUSTRIES[i + 1 :]]
+    parts += [F.covar_pop(a, b).over(past).alias(f"c_{a}_{b}") for a, b in pairs]
+    rho = reduce(lambda x, y: x + y, [F.col(f"c_{a}_{b}") / F.nullif(F.col(f"s_{a}") * F.col(f"s_{b}"), F.lit(0.0)) for a, b in pairs]) / len(pairs)
+    z = F.when((F.col("k") == 63) & F.col("rho").isNotNull(), F.atanh(F.greatest(F.least("rho", F.lit(0.999)), F.lit(-0.999))))
+    return rows.select("source_id", "date", *parts).select("source_id", "date", "k", rho.alias("rho")).select("source_id", "date", r6(z, 4).alias("corr_z"))
+
+
 
 
 @query(f"WITH {daily_sql('mkt_ret')}, v AS (SELECT source_id, date, mkt_ret, {guarded('stddev_samp', 'mkt_ret', 21)} AS v FROM p), s AS (SELECT source_id, date, CASE WHEN v > 0.02 THEN 'stressed' WHEN v > 0.008 THEN 'normal' WHEN v IS NOT NULL THEN 'calm' END AS b, mkt_ret FROM v) SELECT b AS bucket, count(*) AS n, {s6('avg(greatest(-mkt_ret, 0))')} AS mean_loss, {s6('avg((mkt_ret < -0.02)::INT)')} AS fall_share FROM s WHERE b IS NOT NULL AND mkt_ret IS NOT NULL GROUP BY ALL")

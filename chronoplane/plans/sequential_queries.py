@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,6 +25,11 @@ def returns(spark: SparkSession, folder: str) -> DataFrame:
     return daily(spark, folder, "mkt_ret").where("mkt_ret > -1 and mkt_ret < 1")
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """By key into as many partitions as shuffles have: small rows, long work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _nan_to_null(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: r6(F.col(c), digits) for c in columns})
 
@@ -93,8 +100,7 @@ def r5_full_sample(spark: SparkSession, folder: str) -> DataFrame:
         fit = q.fit_garch_t(g.sort_values("date")["mkt_ret"].to_numpy(float))
         return pd.DataFrame([{"source_id": g["source_id"].iloc[0], "n": len(g), "alpha": fit["alpha"], "beta": fit["beta"], "half_life": q.half_life(fit["alpha"], fit["beta"])}])
 
-    rows = returns(spark, folder).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source_id")
-    return _nan_to_null(rows.groupBy("source_id").applyInPandas(run, "source_id string, n long, alpha double, beta double, half_life double"), "alpha", "beta", "half_life")
+    return _nan_to_null(_spread(returns(spark, folder), "source_id").groupBy("source_id").applyInPandas(run, "source_id string, n long, alpha double, beta double, half_life double"), "alpha", "beta", "half_life")
 
 
 def _features(r: np.ndarray) -> np.ndarray:
@@ -154,18 +160,18 @@ def r10_excitation(spark: SparkSession, folder: str) -> DataFrame:
     return _nan_to_null(out, "excitation")
 
 
-def _logit(g: pd.DataFrame) -> dict:
-    r = g["mkt_ret"].to_numpy(float)
-    e = (r < -0.02).astype(float)
-    h = q.excitation(e, 0.1)[:-1]
-    b = q.fit_logit(h[:, None], e[1:])
-    return {"a": float(b[0]), "b": float(b[1]), "loss": q.bernoulli_loss(b[0] + b[1] * h, e[1:])}
-
-
 @query()
 def r11_event_logit(spark: SparkSession, folder: str) -> DataFrame:
-    """Probability of a fall given excitation, rolling-origin refits of 252 rows every 63."""
-    return _nan_to_null(q.windowed_refits(returns(spark, folder), ["source_id"], "date", ["mkt_ret"], 252, 63, _logit, "a double, b double, loss double"), "a", "b", "loss")
+    """Probability of a fall given excitation: rolling-origin refits on 252 rows, ridge by blocked cross-validation, and the loss over the up to 63 rows after each."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("date").reset_index(drop=True)
+        fits = q.rolling_event_logit((g["mkt_ret"].to_numpy(float) < -0.02).astype(float), 252, 63, 0.1, (1e-4, 1e-3, 1e-2, 1e-1))
+        columns = ["source_id", "refit", "date", "a", "b", "ridge", "scored", "loss"]
+        return pd.DataFrame([{**f, "source_id": g["source_id"].iloc[0], "date": g["date"].iloc[f["at"]]} for f in fits], columns=columns)
+
+    out = _spread(returns(spark, folder), "source_id").groupBy("source_id").applyInPandas(run, "source_id string, refit int, date date, a double, b double, ridge double, scored int, loss double")
+    return _nan_to_null(out, "a", "b", "loss")
 
 
 def _hmm(g: pd.DataFrame) -> pd.DataFrame:
@@ -307,23 +313,33 @@ def monthly_sample(spark: SparkSession, folder: str) -> np.ndarray:
 
 @query()
 def i4_null_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
-    """Slope of each of 500 paths under no predictability: blocks of 12 joint residuals, the regressor rebuilt from its own recursion."""
-    x = monthly_sample(spark, folder)
-    level, y = np.cumsum(x)[:-1], x[1:]
-    rho, c = np.polyfit(level[:-1], level[1:], 1)
-    v, u = level[1:] - c - rho * level[:-1], y[1:] - y[1:].mean()
-    start, mean = float(level[0]), float(y.mean())
+    """Per feed: slope of next month's mean return on the level so far, and its p from 2,000 paths under no predictability (blocks of 12 joint residuals, the regressor rebuilt from its own recursion)."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        r = g.sort_values("month")["r"].to_numpy(float)
+        slope, p = inference.null_slope_p(np.cumsum(r), r, 2000, 12, np.random.default_rng([7, zlib.crc32(g["source_id"].iloc[0].encode())]))
+        return pd.DataFrame([(g["source_id"].iloc[0], len(r), slope, p)], columns=["source_id", "n", "slope", "p"])
+
+    months = returns(spark, folder).groupBy("source_id", F.last_day("date").alias("month")).agg(F.avg("mkt_ret").alias("r"))
+    return _nan_to_null(_spread(months, "source_id").groupBy("source_id").applyInPandas(run, "source_id string, n long, slope double, p double"), "slope", "p")
+
+
+@query()
+def i5_block_permutation(spark: SparkSession, folder: str) -> DataFrame:
+    """Per feed: correlation of market and bond, and its p from 500 orders of the bond's blocks of 21 rows."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        d = g.sort_values("date")[["mkt_ret", "bond10_ret"]].to_numpy(float)
+        d = d[np.isfinite(d).all(1)]
+        rho, p = inference.permutation_p(d[:, 0], d[:, 1], 500, 21, np.random.default_rng([11, zlib.crc32(g["source_id"].iloc[0].encode())]))
+        return pd.DataFrame([(g["source_id"].iloc[0], len(d), rho, p)], columns=["source_id", "n", "rho", "p"])
+
+    rows = daily(spark, folder, "mkt_ret", "bond10_ret").where("mkt_ret > -1 and mkt_ret < 1")
+    return _nan_to_null(_spread(rows, "source_id").groupBy("source_id").applyInPandas(run, "source_id string, n long, rho double, p double"), "rho", "p")
 
-    def slope(rng: np.random.Generator) -> float:
-        i = inference.block_index(rng, len(u), 12)
-        path = np.empty(len(i))
-        at = start
-        for t, s in enumerate(v[i]):
-            path[t] = at
-            at = c + rho * at + s
-        return float(np.polyfit(path, mean + u[i], 1)[0])
 
-    return inference.replicates(spark, 500, slope, seed=7).withColumn("value", r6(F.col("value")))
+def _sharpe(x: np.ndarray) -> float:
+    return float(np.mean(x) / max(np.std(x), 1e-12))
 
 
 @query()
@@ -336,7 +352,7 @@ def i5_bootstrap_interval(spark: SparkSession, folder: str) -> DataFrame:
     }
     out = None
     for k, (name, draw) in enumerate(ways.items()):
-        part = inference.replicates(spark, 500, lambda g, d=draw: float(np.mean(d(g)) / max(np.std(d(g)), 1e-12)), seed=k).withColumn("way", F.lit(name))
+        part = inference.replicates(spark, 500, lambda g, d=draw: _sharpe(d(g)), seed=k).withColumn("way", F.lit(name))
         out = part if out is None else out.unionByName(part)
     points = F.percentile("value", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
     return out.groupBy("way").agg(points.alias("q")).select("way", *[r6(F.col("q")[i]).alias(n) for i, n in enumerate(("low", "median", "high"))])

@@ -7,7 +7,9 @@ import datetime as dt
 import numpy as np
 
 import __spark_entry__ as entry
+from chronoplane.operators import inference
 from chronoplane.operators import sequential as q
+from chronoplane.plans import sequential_queries
 from chronoplane.sources import files
 
 FOLDER = "/root/testdata/sf0.001"
@@ -114,3 +116,73 @@ def test_half_lives_come_from_1260_rows_every_63(spark, tmp_path):
         assert out[0].date == rows[1260][1]
         fit = q.fit_garch_t(r[:1260])
         assert abs(out[0].half_life / q.half_life(fit["alpha"], fit["beta"]) - 1) < 1e-3
+
+
+# -- inference ---------------------------------------------------------------------------------------------------------
+def test_null_bootstrap_gives_a_p_per_feed(spark):
+    out = entry.queries()["i4_null_bootstrap"](spark, "/root/testdata/sf0.01").collect()
+    assert len(out) > 10 and len({x.source_id for x in out}) == len(out)
+    known = [x.p for x in out if x.p is not None]
+    assert all(abs(p * 2001 - round(p * 2001)) < 2e-2 and 0 < p <= 1 for p in known)
+
+
+def test_null_slope_p_tells_predictable_returns_from_others():
+    rng = np.random.default_rng(1)
+    r = rng.normal(0, 1, 200)
+    level = np.zeros(200)
+    bound = r.copy()
+    for t in range(1, 200):
+        level[t] = 0.5 * level[t - 1] + rng.normal()
+        bound[t] += level[t - 1]
+    slope, p = inference.null_slope_p(level, bound, 2000, 1, np.random.default_rng(0))  # longer blocks would keep what lies within them
+    assert abs(slope - np.polyfit(level[:-1], bound[1:], 1)[0]) < 1e-12 and p == 1 / 2001
+    assert inference.null_slope_p(level, r, 2000, 1, np.random.default_rng(0))[1] > 0.02
+    assert np.isnan(inference.null_slope_p(level[:26], r[:26], 10, 12, rng)[1])
+
+
+def test_block_permutation_p():
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(2, 420))
+    assert inference.permutation_p(x, x + y, 500, 21, np.random.default_rng(0))[1] == 1 / 501
+    assert inference.permutation_p(x, y, 500, 21, np.random.default_rng(0))[1] > 0.02
+
+
+def test_sharpe_replicate_is_drawn_once(spark, monkeypatch):
+    calls = []
+
+    def replicates(spark, n, statistic, seed=0, slices=None):
+        calls.append(seed)
+        first = statistic(np.random.default_rng([seed, 0]))
+        if seed == 0:
+            x = sequential_queries.monthly_sample(spark, FOLDER)
+            d = x[inference.stationary_index(np.random.default_rng([0, 0]), len(x), 12)]
+            assert abs(first - d.mean() / d.std()) < 1e-12
+        return spark.createDataFrame([(0, first)], "rep long, value double")
+
+    monkeypatch.setattr(inference, "replicates", replicates)
+    assert entry.queries()["i5_bootstrap_interval"](spark, FOLDER).columns and calls == [0, 1, 2, 3]
+
+
+def test_event_logit_is_scored_on_the_rows_after_its_window():
+    rng = np.random.default_rng(4)
+    e = (rng.random(252 + 63 + 20) < 0.1).astype(float)
+    out = q.rolling_event_logit(e, 252, 63, 0.1, (1e-3, 1e-1))
+    assert [(f["at"], f["scored"]) for f in out] == [(252, 63), (315, 20)]
+    h = np.concatenate([[np.nan], q.excitation(e, 0.1)[:-1]])
+    assert abs(out[0]["loss"] - q.bernoulli_loss(out[0]["a"] + out[0]["b"] * h[252:315], e[252:315])) < 1e-12
+    later = e.copy()
+    later[252:] = 1 - later[252:]
+    again = q.rolling_event_logit(later, 252, 63, 0.1, (1e-3, 1e-1))
+    assert (again[0]["a"], again[0]["b"], again[0]["ridge"]) == (out[0]["a"], out[0]["b"], out[0]["ridge"]) and again[0]["loss"] != out[0]["loss"]
+
+
+def test_mean_correlation_takes_all_pairs(spark, tmp_path):
+    from chronoplane.plans.panels import INDUSTRIES
+
+    x = np.random.default_rng(6).normal(0, 0.01, (70, 10)) + np.random.default_rng(7).normal(0, 0.01, (70, 1))
+    rows = [("f", dt.date(2001, 1, 1) + dt.timedelta(days=i), *map(float, v)) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "source_id string, date date, " + ", ".join(f"{c} double" for c in INDUSTRIES)).write.parquet(f"{tmp_path}/assets_daily.parquet")
+    out = [r.corr_z for r in entry.queries()["w29_mean_corr_z"](spark, str(tmp_path)).orderBy("date").collect()]
+    assert out[:63] == [None] * 63
+    c = np.corrcoef(x[6:69].T)
+    assert abs(out[69] - np.arctanh(c[np.triu_indices(10, 1)].mean())) < 1e-4

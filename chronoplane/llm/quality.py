@@ -47,9 +47,13 @@ SHAPES = [
 ]
 ALNUM = re.compile(r"[^\W_]")
 DIGIT = re.compile(r"\d")
-#: No line of code or of a listing is longer; of longer lines only the shapes that are found in one pass are sought.
+#: Longer lines are tested against the same shapes, those that may backtrack over the whole line as a start and an end.
 LONG_LINE = 1_000
-LONG_SHAPES = [SHAPES[0], SHAPES[2], SHAPES[4]]
+LONG_SHAPES = [p for i, p in enumerate(SHAPES) if i not in (5, 6, 7, 9)]
+CODE_START = re.compile(r"\s*(?:def \w+\(|import [\w.]+|from [\w.]+ import|return [^ ]*[()=\[\]]|return \w+\s*$|(?:else|try|finally):|print\(|#include|(?:var|let|const|function|public|private|static)\b.*[=({;]|SELECT .*FROM|INSERT INTO|UPDATE \w+ SET)")
+CLAUSE = re.compile(r"\s*(?:(class \w+|except\b)|(?:if|elif|for|while|with) )")
+OPERATOR = re.compile(r"[()=<>\[\]]")
+CALL = re.compile(r"\s*@?\w+\(")
 MARKUP = re.compile(r"<[^<>]*>|&\w+;")
 VOWEL = re.compile(r"[aeiouy]")
 CLUSTER = re.compile(r"[^aeiouy\W]{6,}")
@@ -59,6 +63,22 @@ JUNK_SYMBOL = re.compile(r"[#@&*^~|$§¦�<>{}\[\]\\=_`¤¢£¥¬±×÷º¹²³
 # ----------------------------------------------------------------------------------------------------------------------
 
 
+def shaped_long(line: str) -> bool:
+    """Whether a line has one of ``SHAPES``, in time proportional to its length."""
+    end = line.rstrip()
+    if any(p.match(line) for p in LONG_SHAPES) or CODE_START.match(line):
+        return True
+    if len(end) > 1 and end[-1] in ";{}" and not (end[-2].isspace() or end[-2] == "_" or end[-2].isalnum()):
+        return True
+    if (m := CALL.match(end)) and end.endswith((")", "):")) and len(end) - 1 - end.endswith(":") >= m.end():
+        return True
+    if (m := CLAUSE.match(end)) and end[-1] in ":{":
+        if m[1] and end[-1] == ":" or not m[1] and OPERATOR.search(end, m.end(), len(end) - 1):
+            return True
+    blank = len(line) - len(line.lstrip())  # of which at most 40 can be part of a name
+    return bool(SHAPES[5].match(line[max(0, blank - 41) :]))
+
+
 def lines_of(text: str) -> list[str]:
     return text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
 
@@ -235,7 +255,7 @@ def assess(text: str | None, common: frozenset) -> dict | None:
         if not s:
             continue
         words = WORD.findall(s)
-        shaped = any(p.match(line) for p in (SHAPES if len(line) <= LONG_LINE else LONG_SHAPES)) and not (SENTENCE_END.search(s) and len(words) > 8 and s[0] not in "{[<")
+        shaped = (any(p.match(line) for p in SHAPES) if len(line) <= LONG_LINE else shaped_long(line)) and not (SENTENCE_END.search(s) and len(words) > 8 and s[0] not in "{[<")
         marks = len(MARKUP.findall(s))
         if aligned[i] or shaped or marks >= 2 or _pairs(s):
             other[i] = True

@@ -1,0 +1,28 @@
+"""Lines of every length are tested against all shapes."""
+
+import random
+import time
+
+from chronoplane.llm import quality as ql
+
+PARTS = ["for ", "if ", "class A", "except ", "return ", "x", "(", ")", ":", ";", "{", "}", "=", " ", "  ", "\t", "_", ".", "1", "<b>", "word ", "@", "SELECT ", "FROM ", "[", "]", "2020-01-01 10:00"]
+
+
+def test_long_shapes_are_the_shapes():
+    rng = random.Random(0)
+    for _ in range(100_000):
+        line = "".join(rng.choices(PARTS, k=rng.randint(1, 9)))
+        assert ql.shaped_long(line) == any(p.match(line) for p in ql.SHAPES), repr(line)
+
+
+def test_long_lines_keep_their_shape():
+    for line in ("2020-01-01 10:00 " + "word " * 400, "total = " + "word " * 400, "call " * 400 + "();", "for x in (" + "word " * 400 + "):", "<p>" + "word " * 400):
+        assert len(line) > ql.LONG_LINE and ql.shaped_long(line)
+    assert not ql.shaped_long("word " * 400)
+
+
+def test_long_lines_take_time_in_proportion():
+    began = time.process_time()
+    for line in ("for " + "(x " * 100_000, " " * 300_000 + "x", "class A" + ": " * 100_000 + "x", "f(" + ") " * 100_000 + "x", "};" * 100_000 + "x"):
+        ql.shaped_long(line)
+    assert time.process_time() - began < 10

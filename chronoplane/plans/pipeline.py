@@ -72,7 +72,7 @@ def daily_readings(spark: SparkSession, folder: str, fields: list[str]) -> DataF
 
 def p4_flags(spark: SparkSession, folder: str) -> DataFrame:
     readings = daily_readings(spark, folder, ["mkt_ret", "bond10_ret"])
-    return phase_space.flag_readings(readings, ["source_id", "field"], "date", "value", F.year("date"), lower=-1.0)
+    return phase_space.flag_readings(readings, ["source_id", "field"], "date", "value", lower=-1.0)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -78,7 +78,20 @@ x AS (SELECT source_id, date, 'mkt_ret' AS field, mkt_ret AS v FROM r WHERE mkt_
       UNION ALL SELECT source_id, date, 'bond10_ret', bond10_ret FROM r WHERE bond10_ret IS NOT NULL)
 """
 
-# spikes by the value axis alone: the robust deviation of the readings that are neither impossible nor spikes of a first pass
+
+def _round(k: int) -> str:
+    """One repetition of the phase-space test: ``t{k}`` from ``t{k - 1}``. Differences to the nearest readings not out, scales from these; medians in the first round, fourth moments after it."""
+    o = "OVER (PARTITION BY source_id, field ORDER BY date ROWS BETWEEN"
+    scale = (lambda c: f"median(abs({c})) FILTER (NOT out) / 0.6745") if k == 1 else (lambda c: f"pow(avg(pow({c}, 4)) FILTER (NOT out) / 3, 0.25)")
+    return f"""
+b{k} AS (SELECT source_id, field, date, v, out, last_value(CASE WHEN NOT out THEN v END IGNORE NULLS) {o} UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, first_value(CASE WHEN NOT out THEN v END IGNORE NULLS) {o} 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS a FROM t{k - 1}),
+m{k} AS (SELECT source_id, field, median(v) FILTER (NOT out) AS m, sqrt(2 * ln(count(*))) AS reach FROM t{k - 1} GROUP BY ALL),
+c{k} AS (SELECT *, v - m AS u, coalesce((a - b) / 2, 0) AS d1, coalesce(a - 2 * v + b, 0) AS d2 FROM b{k} JOIN m{k} USING (source_id, field)),
+s{k} AS (SELECT source_id, field, {scale('u')} AS su, {scale('d1')} AS s1, {scale('d2')} AS s2 FROM c{k} GROUP BY ALL),
+t{k} AS (SELECT source_id, field, date, v, coalesce(pow(u / nullif(su, 0), 2) + coalesce(pow(d1 / nullif(s1, 0), 2), 0) + coalesce(pow(d2 / nullif(s2, 0), 2), 0) > pow(2.8 * reach, 2), false) AS out FROM c{k} JOIN s{k} USING (source_id, field))"""
+
+
+# a spike lies outside the ellipsoid over value, first and second difference; four rounds, of which the sources here need two
 _FLAGS = (
     "WITH "
     + _READ
@@ -86,14 +99,14 @@ _FLAGS = (
 g AS (SELECT *, sum(CASE WHEN v IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY source_id, field ORDER BY date) AS run
       FROM (SELECT *, lag(v) OVER (PARTITION BY source_id, field ORDER BY date) AS before FROM x)),
 h AS (SELECT *, count(*) OVER (PARTITION BY source_id, field, run) AS len FROM g),
-q1 AS (SELECT source_id, field, median(v) AS m, (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.349 AS s FROM x WHERE v > -1 GROUP BY ALL),
-q2 AS (SELECT x.source_id, x.field, median(v) AS m, (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.349 AS s
-       FROM x JOIN q1 USING (source_id, field) WHERE v > -1 AND abs(v - m) <= 12 * s GROUP BY ALL),
-f AS (SELECT h.source_id, h.date, h.field, h.v AS value, v > -1 AND abs(v - m) > 12 * s AS spike, len >= 6 AS stuck, v <= -1 AS impossible
-      FROM h LEFT JOIN q2 USING (source_id, field))
+t0 AS (SELECT source_id, field, date, v, false AS out FROM x WHERE v > -1),"""
+    + ",".join(_round(k) for k in (1, 2, 3, 4))
+    + """,
+f AS (SELECT h.source_id, h.date, h.field, h.v AS value, coalesce(t4.out, false) AS spike, len >= 6 AS stuck, h.v <= -1 AS impossible
+      FROM h LEFT JOIN t4 USING (source_id, field, date))
 """
 )
-SQL["p4_flags"] = _FLAGS + "SELECT source_id, field, date, value, coalesce(spike, false) AS spike, stuck, impossible FROM f"
+SQL["p4_flags"] = _FLAGS + "SELECT source_id, field, date, value, spike, stuck, impossible FROM f"
 SQL["p4_found"] = _FLAGS + "SELECT source_id, strftime(date, '%Y-%m-%d') AS obs_date, field FROM f WHERE spike OR stuck OR impossible"
 
 _LATE = """

@@ -3,8 +3,10 @@
 import datetime as dt
 import math
 import random
+import statistics
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,8 +180,8 @@ def test_halo_is_the_same_for_any_shard_length(spark):
 
 
 # -- spikes ----------------------------------------------------------------------------------------------------------------
-def flags(df, shard):
-    return {(r.k, r.d): (r.spike, r.stuck, r.impossible) for r in phase_space.flag_readings(df, ["k"], "d", "v", shard, lower=-1.0).collect()}
+def flags(df):
+    return {(r.k, r.d): (r.spike, r.stuck, r.impossible) for r in phase_space.flag_readings(df, ["k"], "d", "v", lower=-1.0).collect()}
 
 
 def test_phase_space(spark):
@@ -199,12 +201,48 @@ def test_phase_space(spark):
         rows[at[("wild", d)]][2] = 0.01
     rows += [["flat", d, 0.0] for d in range(20)] + [["one", 1, 5.0]]
     df = spark.createDataFrame([tuple(r) for r in rows], "k string, d int, v double")
-    for length in (10, 97, 100_000):
-        got = flags(df, F.floor(F.col("d") / length))
+    for parts in (1, 7):
+        got = flags(df.repartition(parts))
         assert {x for x, f in got.items() if f[0]} == {("calm", 50), ("calm", 51), ("calm", 400), ("calm", 599), ("wild", 90)}
         assert {x for x, f in got.items() if f[1]} == {("calm", d) for d in range(95, 101)} | {("flat", d) for d in range(20)}
         assert {x for x, f in got.items() if f[2]} == {("wild", 300), ("wild", 301)}
-    assert flags(df.where("false"), F.lit(0)) == {}
+    assert flags(df.where("false")) == {}
+    clash = df.withColumns({"spike": F.lit("x"), "_shard": F.lit(1)})
+    assert flags(clash) == got
+
+
+def test_differences_decide_in_a_smooth_source():
+    rng = np.random.default_rng(1)
+    x = np.sin(np.arange(800) / 40) + rng.normal(0, 0.002, 800)
+    x[300] += 0.9  # less than the source's own range
+    x[500:503] += (0.8, -0.7, 0.9)
+    deviations = np.abs(x - np.median(x)) / (np.median(np.abs(x - np.median(x))) / 0.6745)
+    assert deviations.max() < 12
+    assert set(np.flatnonzero(phase_space.spikes(x))) == {300, 500, 501, 502}  # and none of their neighbours
+    assert not phase_space.spikes(x, axes=(0,)).any() and not phase_space.spikes(x, axes=(0, 1)).any()
+
+
+def test_spikes_are_those_outside_the_ellipsoid_of_the_rest():
+    rng = np.random.default_rng(2)
+    for n in (2, 3, 40, 700):
+        x = rng.standard_t(4, n) * 0.01
+        if n > 3:
+            x[rng.integers(0, n, n // 20)] *= 60
+        out = phase_space.spikes(x)
+        kept = [float(v) for v in x[~out]]
+        rows = []
+        for i in range(n):
+            before = [float(x[j]) for j in range(i) if not out[j]][-1:]
+            after = [float(x[j]) for j in range(i + 1, n) if not out[j]][:1]
+            both = bool(before and after)
+            rows.append((float(x[i]) - statistics.median(kept), (after[0] - before[0]) / 2 if both else 0.0, after[0] - 2 * float(x[i]) + before[0] if both else 0.0))
+        scales = [(sum(r[k] ** 4 for r, o in zip(rows, out) if not o) / len(kept) / 3) ** 0.25 for k in range(3)]
+        reach = phase_space.MARGIN * math.sqrt(2 * math.log(n))
+        if all(scales):
+            assert [sum((r[k] / scales[k]) ** 2 for k in range(3)) > reach**2 for r in rows] == out.tolist()
+    assert phase_space.spikes(np.array([])).tolist() == [] and phase_space.spikes(np.array([3.0])).tolist() == [False]
+    assert phase_space.spikes(np.array([0.1, math.inf, 0.2, 0.1, -math.inf])).tolist() == [False, True, False, False, True]
+    assert not phase_space.spikes(np.full(50, 0.3)).any()
 
 
 # -- late windows ----------------------------------------------------------------------------------------------------------

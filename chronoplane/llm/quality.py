@@ -1,171 +1,123 @@
 """Per-document text statistics, and which documents are not natural prose.
 
-Every line of a document is classed. Tables, dumps and lists show in the shape of neighbouring lines: delimiters or column
-edges in the same places (vertical alignment), a repeating pattern of indents and markers (periodicity), line lengths that
-repeat at a lag (autocorrelation). Lines without such a shape join into paragraphs, judged by their words: ratios of
-words, symbols, digits and punctuation, repetition, common words and their order. The document is not prose if most of its
-visible characters lie in parts that are not.
+Counts and ratios (words, symbols, digits, punctuated lines, frequent words) are built-in expressions. What is prose is
+judged from the layout of the lines first and from ratios of what the layout leaves open:
+
+* vertical delimiter alignment: neighbouring lines with the same number of delimiters are rows of a table;
+* indentation periodicity: marked lines whose indents and markers repeat are a list, if they end like items, not sentences;
+* line-length autocorrelation: a block of lines whose lengths repeat at a short lag, without sentence ends, is a
+  fixed-width table or a dump;
+* the other lines join into paragraphs, which are prose unless their symbols, letters, frequent words, sentence marks or
+  repetitions are those of no sentence.
+
+A document is not prose if most of its visible characters lie in parts that are not.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 MOST = 0.5
+#: A block of so many lines shows its layout; what is shorter is judged by ratios alone.
+BLOCK = 4
 
 # --- fixed values -----------------------------------------------------------------------------------------------------
-#: English function words by what can't follow them. Two in a row that no sentence has betray words without order.
-DETERMINERS = frozenset("the a an their its no this".split())
-PREPOSITIONS = frozenset("of to in for on with by at from into over than as".split())
-FINITE = frozenset("is are was were has have had can".split())
-LINKS = frozenset("and or but if so which that when not than as".split())
-NON_FINITE = frozenset("be been".split())
-#: Common function words beside those of the given table (Italian, Portuguese, Dutch).
+#: Frequent words beside those of the given table (Italian, Portuguese, Dutch).
 MORE_COMMON = frozenset("il che di è non per una del della dei le gli con come più ma se nel alla dal questo sono ha ogni della o os da em um uma não com het een van ik dat niet op te".split())
-
-BULLET = re.compile(r"^\s*(?:[-*•·–—+‣◦▪]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)]|\[[ xX]?\]|\(\w{1,3}\))\s+(?=\S)")
-SENTENCE_END = re.compile(r"[.!?…]['\"”’»)\]]*\s*$")
+BULLET = re.compile(r"\s*(?:[-*•·–—+‣◦▪]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)]|\[[ xX]?\]|\(\w{1,3}\))\s+(?=\S)")
+WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+#: Separators that are no line ends, and tokenizers' special tokens.
+NOISE = re.compile(r"<\|[a-z_]+\|>|\[UNK\]|</?s>|[­​-‏  ⁠﻿]")
 INNER_END = re.compile(r"[.!?…]['\"”’»)\]]*(?=\s|$)")
-WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
-SHAPES = [
-    re.compile(r"^\s*[0-9a-fA-F]{4,16}:?\s+(?:[0-9a-fA-F]{2,4}\s+){3,}"),  # hex dump
-    re.compile(r"^\s*\[?\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"),  # log line
-    re.compile(r"^\s*[\[{].*[\]}],?\s*$"),  # record of a data format
-    re.compile(r"^[^.\n]{0,80}(?:\.{4,}|(?:\. ){4,}) ?\d+\s*$"),  # dot leaders
-    re.compile(r"^[\s|+\-=_*~#:.]{3,}$"),  # rules
-    re.compile(r"^\s*[\w .\-]{1,40}\s*[=]\s*[-+\d.]+\s*\S{0,3}$"),
-    re.compile(r"^\s*(?:def \w+\(|class \w+.*:\s*$|import [\w.]+|from [\w.]+ import|return [^ ]*[()=\[\]]|return \w+\s*$|(?:if|elif|for|while|with) .*[()=<>\[\]].*[:{]\s*$|(?:else|try|finally):|except\b.*:\s*$|print\(|#include|(?:var|let|const|function|public|private|static)\b.*[=({;]|SELECT .*FROM|INSERT INTO|UPDATE \w+ SET)"),
-    re.compile(r"^.*[^\s\w][;{}]\s*$"),  # end of a statement
-    re.compile(r"^\s*[\w.\[\]]+\s*[-+*/]?=\s*\S+"),  # assignment
-    re.compile(r"^\s*@?\w+\(.*\):?\s*$"),
-    re.compile(r"^\s*</?\w[^>]*>"),  # markup
-]
-ALNUM = re.compile(r"[^\W_]")
-DIGIT = re.compile(r"\d")
-#: Longer lines are tested against the same shapes, those that may backtrack over the whole line as a start and an end.
-LONG_LINE = 1_000
-LONG_SHAPES = [p for i, p in enumerate(SHAPES) if i not in (5, 6, 7, 9)]
-CODE_START = re.compile(r"\s*(?:def \w+\(|import [\w.]+|from [\w.]+ import|return [^ ]*[()=\[\]]|return \w+\s*$|(?:else|try|finally):|print\(|#include|(?:var|let|const|function|public|private|static)\b.*[=({;]|SELECT .*FROM|INSERT INTO|UPDATE \w+ SET)")
-CLAUSE = re.compile(r"\s*(?:(class \w+|except\b)|(?:if|elif|for|while|with) )")
-OPERATOR = re.compile(r"[()=<>\[\]]")
-CALL = re.compile(r"\s*@?\w+\(")
-MARKUP = re.compile(r"<[^<>]*>|&\w+;")
-VOWEL = re.compile(r"[aeiouy]")
-CLUSTER = re.compile(r"[^aeiouy\W]{6,}")
+LINE_END = re.compile(r"[.!?…:]['\"”’»)\]]*\Z")
+HEADING = re.compile(r"\s*#+\s")
+QUOTED = re.compile(r"\s*(?:>\s*)+")
+NON_ASCII = re.compile(r"[^\x00-\x7f]+")
+BLANKS = b" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
+DIGITS = b"0123456789"
+LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
+PUNCTUATION = b".,;:!?'\"()-"
+WIDE_PUNCTUATION = frozenset("“”‘’…«»–—¿¡„‚‹›。、，！？：；（）")
+NO_VOWELS = str.maketrans("", "", "aeiouyAEIOUY")
+CLUSTER = re.compile(r"[^aeiouy]{6}")
 MIXED_CASE = re.compile(r"[a-z][A-Z].*[a-z][A-Z]|[A-Z]{2,}[a-z]+[A-Z]")
-NOISE = re.compile(r"<\|[a-z_]+\|>|\[UNK\]|</?s>|[­​-‏  ⁠﻿]")
-JUNK_SYMBOL = re.compile(r"[#@&*^~|$§¦�<>{}\[\]\\=_`¤¢£¥¬±×÷º¹²³¼½¾°¶¨¸´ªžœ™Ÿ¿Þßâ�€\u0080-\u009f]")
 # ----------------------------------------------------------------------------------------------------------------------
 
 
-def shaped_long(line: str) -> bool:
-    """Whether a line has one of ``SHAPES``, in time proportional to its length."""
-    end = line.rstrip()
-    if any(p.match(line) for p in LONG_SHAPES) or CODE_START.match(line):
-        return True
-    if len(end) > 1 and end[-1] in ";{}" and not (end[-2].isspace() or end[-2] == "_" or end[-2].isalnum()):
-        return True
-    if (m := CALL.match(end)) and end.endswith((")", "):")) and len(end) - 1 - end.endswith(":") >= m.end():
-        return True
-    if (m := CLAUSE.match(end)) and end[-1] in ":{":
-        if m[1] and end[-1] == ":" or not m[1] and OPERATOR.search(end, m.end(), len(end) - 1):
-            return True
-    blank = len(line) - len(line.lstrip())  # of which at most 40 can be part of a name
-    return bool(SHAPES[5].match(line[max(0, blank - 41) :]))
-
-
 def lines_of(text: str) -> list[str]:
     return text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
 
 
-def visible(text: str) -> int:
-    return sum(map(len, text.split()))
-
-
-def _signature(line: str) -> dict[str, int]:
-    """Counts of each delimiter, and of wide gaps between cells."""
+def characters(text: str) -> tuple[int, int, int, int]:
+    """Visible characters, letters (beyond ASCII also digits), plain punctuation and other symbols of a text."""
+    seen = letters = plain = marks = 0
+    if not text.isascii():
+        wide = "".join("".join(NON_ASCII.findall(text)).split())
+        text = NON_ASCII.sub("", text)
+        seen, letters = len(wide), sum(map(str.isalnum, wide))
+        plain = sum(map(WIDE_PUNCTUATION.__contains__, wide))
+        marks = seen - letters - plain
+    b = text.encode()
+    shown = len(b.translate(None, BLANKS))
+    no_letters = len(b.translate(None, BLANKS + LETTERS))
+    symbols = len(b.translate(None, BLANKS + LETTERS + DIGITS))
+    odd = len(b.translate(None, BLANKS + LETTERS + DIGITS + PUNCTUATION))
+    return seen + shown, letters + shown - no_letters, plain + symbols - odd, marks + odd
+
+
+def _delimiters(line: str) -> tuple[int, int, int, int, int]:
+    """Tabs between cells, bars, semicolons and commas without a blank after them, equals signs."""
     s = line.strip()
-    return {
-        "\t": s.count("\t"),
-        "|": s.count("|"),
-        ";": len(re.findall(r";(?=\S)", s)),
-        ",": len(re.findall(r",(?=\S)|,$", s)) if "," in s[:-1] and ", " not in s else 0,
-        "gap": len(re.findall(r"\S {2,}(?=\S)", s)),
-    }
-
-
-def _column_edges(line: str) -> set[int]:
-    """Where cells of a fixed-width line end."""
-    return {m.start() + 1 for m in re.finditer(r"\S(?= {2,}|$)", line)}
+    return s.count("\t"), s.count("|"), s.count(";") - s.count("; ") - s.endswith(";"), s.count(",") if "," in s[:-1] and ", " not in s else 0, s.count("=")
 
 
 def alignment(lines: list[str]) -> list[bool]:
-    """Vertical delimiter alignment: which lines share a delimiter count, or column edges, with a neighbour."""
-    signs, edges = [_signature(x) for x in lines], [_column_edges(x) for x in lines]
+    """Vertical delimiter alignment: which lines have as many delimiters of a kind as a neighbour."""
     out = [False] * len(lines)
-    for i in range(len(lines) - 1):
-        a, b = signs[i], signs[i + 1]
-        if not lines[i].strip() or not lines[i + 1].strip():
-            continue
-        same = any(a[d] == b[d] >= least for d, least in (("\t", 1), ("|", 1), (";", 2), (",", 1)))
-        wide = a["gap"] >= 1 and b["gap"] >= 1 and (len(edges[i] & edges[i + 1]) >= 2 or a["gap"] == b["gap"] >= 2)
-        if same or wide:
-            out[i] = out[i + 1] = True
-    # a fixed-width row with empty cells still lies between rows of the table
-    for i in range(1, len(lines) - 1):
-        if not out[i] and (out[i - 1] or out[i + 1]) and (signs[i]["gap"] >= 1 or lines[i][:4] == "    ") and edges[i] & (edges[i - 1] | edges[i + 1]):
-            out[i] = True
+    before = None
+    for i, line in enumerate(lines):
+        here = _delimiters(line) if line.strip() else None
+        if here and before and any(a == b >= least for a, b, least in zip(before, here, (1, 1, 2, 1, 2))):
+            out[i - 1] = out[i] = True
+        before = here
     return out
 
 
 def periodicity(lines: list[str]) -> float:
     """Share of lines whose indent and marker are those of the line one to four before, at the best such lag."""
-    kinds = [(len(x) - len(x.lstrip()), bool(BULLET.match(x))) for x in lines if x.strip()]
-    if len(kinds) < 3 or not any(k[1] or k[0] for k in kinds):
+    kinds = [(len(x) - len(x.lstrip()), BULLET.match(x) is not None) for x in lines if x.strip()]
+    if len(kinds) < 3 or not any(indent or marked for indent, marked in kinds):
         return 0.0
-    return max(sum(kinds[i] == kinds[i - lag] for i in range(lag, len(kinds))) / (len(kinds) - lag) for lag in range(1, min(5, len(kinds))))
+    return max(sum(map(tuple.__eq__, kinds[lag:], kinds)) / (len(kinds) - lag) for lag in range(1, min(5, len(kinds))))
 
 
-def length_autocorrelation(lines: list[str]) -> float:
-    """Highest autocorrelation of line lengths at lags one to four; 1 where all lengths are equal."""
+def length_autocorrelation(lines: list[str], slack: int = 2) -> float:
+    """How far line lengths repeat at the best lag of one to four, in lines that are not blank.
+
+    The greater of the autocorrelation and the share of lengths that are within ``slack`` of the one before at that lag:
+    where all lengths are nearly equal, there is no variance left to correlate.
+    """
     n = [len(x.rstrip()) for x in lines if x.strip()]
-    if len(n) < 4:
+    if len(n) < BLOCK:
         return 0.0
     mean = sum(n) / len(n)
-    spread = sum((x - mean) ** 2 for x in n)
-    if spread == 0:
-        return 1.0
-    return max(sum((n[i] - mean) * (n[i - lag] - mean) for i in range(lag, len(n))) / spread for lag in range(1, min(5, len(n))))
-
-
-PAIR = re.compile(r"[\w.\-]{1,40}[=:][\w.+\-%]{1,40}[,;]?")
-
+    d = [x - mean for x in n]
+    spread = sum(x * x for x in d)
+    best = 0.0
+    for lag in range(1, min(5, len(n))):
+        near = sum(abs(x - y) <= slack for x, y in zip(n[lag:], n)) / (len(n) - lag)
+        best = max(best, near, sum(x * y for x, y in zip(d[lag:], d)) / spread if spread else 1.0)
+    return best
 
-def _pairs(line: str) -> bool:
-    """key=value fields and little else."""
-    fields = line.split()
-    return len(fields) >= 2 and sum(PAIR.fullmatch(x) is not None for x in fields) >= 0.6 * len(fields)
 
-
-def _fragment(text: str) -> bool:
-    """A list item that is no sentence."""
-    return not SENTENCE_END.search(text) or len(WORD.findall(text)) < 3
-
-
-def _item_list(text: str, common: frozenset) -> bool:
-    """One line (or wrapped lines) that only strings short items together."""
-    for sep in (r"\s*\|\s*", r"\s*[,;]\s+", r"\s*/\s*", r"\s*[›»>]\s*", r"\s*·\s*"):
-        items = [x for x in re.split(sep, text.strip().rstrip(".,;")) if x]
-        if len(items) >= 4:
-            short = sum(len(x.split()) <= 3 and not any(w.lower() in common for w in WORD.findall(x)) for x in items)
-            if short >= 0.8 * len(items) and not INNER_END.search(text.strip()[:-1]):
-                return True
-    return False
+def _fixed_width(block: list[str]) -> bool:
+    """Whether the lines of a block have lengths that repeat and hardly a sentence end."""
+    return len(block) >= BLOCK and sum(len(INNER_END.findall(x)) for x in block) < len(block) / 4 and length_autocorrelation(block) >= 0.7
 
 
 def _repeats(words: list[str]) -> float:
@@ -175,170 +127,170 @@ def _repeats(words: list[str]) -> float:
     bad = whole = 0
     for i in range(0, len(words), 60):
         w = words[i : i + 60] if len(words) - i >= 20 or i == 0 else words[-20:]
-        triples = len(w) - 2
         whole += 1
-        bad += len(set(zip(w, w[1:], w[2:]))) <= 0.4 * triples
+        bad += len(set(zip(w, w[1:], w[2:]))) <= 0.4 * (len(w) - 2)
     return bad / whole
 
 
-def _disorder(words: list[str]) -> float:
-    """Share of neighbouring words that no English sentence has."""
-    bad = 0
-    for a, b in zip(words, words[1:]):
-        bad += (
-            a == b
-            or (a in DETERMINERS and (b in PREPOSITIONS or b in FINITE or b in LINKS or b in NON_FINITE or b in DETERMINERS) and (a, b) not in {("this", "is"), ("this", "was"), ("this", "has"), ("this", "as"), ("no", "than"), ("this", "in"), ("this", "for")})
-            or (a in PREPOSITIONS and (b in FINITE or b in {"but", "and", "or", "so", "if"}) and (a, b) not in {("as", "was"), ("as", "if"), ("than", "is"), ("in", "and"), ("than", "if"), ("as", "is"), ("as", "has"), ("as", "are"), ("than", "was"), ("as", "so")})
-            or (a in FINITE and (b in FINITE or b in LINKS - {"not", "that", "so", "as", "when", "if", "and", "or", "but"}) and (a, b) not in {("can", "have"), ("is", "which")})
-            or (a in PREPOSITIONS and b in PREPOSITIONS and (a, b) not in {("as", "of"), ("as", "to"), ("as", "in"), ("as", "at"), ("as", "for"), ("as", "by"), ("from", "over"), ("than", "in"), ("than", "at"), ("than", "for"), ("than", "on"), ("in", "to"), ("on", "to"), ("as", "with"), ("from", "on"), ("by", "over"), ("of", "over"), ("than", "by"), ("to", "over"), ("for", "over"), ("in", "by"), ("in", "at"), ("in", "from"), ("in", "as"), ("on", "by"), ("over", "to"), ("on", "from"), ("to", "as"), ("by", "at"), ("in", "over"), ("over", "as")})
-            or (a in NON_FINITE and (b in FINITE or b in {"if", "than", "and", "or", "but"}))
-        )
-    return bad / max(1, len(words) - 1)
+def _crowded(words: list[str], common: frozenset, run: int = 5) -> float:
+    """Share of words in runs of frequent words: sentences put other words between them."""
+    inside = here = 0
+    for w in words:
+        if w in common:
+            here += 1
+            continue
+        inside += here if here >= run else 0
+        here = 0
+    return (inside + (here if here >= run else 0)) / max(1, len(words))
 
 
 def _odd_words(words: list[str]) -> float:
-    """Share of Latin words that can't be pronounced: long ones with hardly a vowel, or case and digits mixed."""
+    """Share of Latin words that can't be pronounced: hardly a vowel, a long run of consonants, or letter case mixed."""
     long = [w for w in words if len(w) >= 4 and w.isascii()]
     return sum(map(_odd_word, long)) / len(long) if long else 0.0
 
 
 @lru_cache(maxsize=200_000)
 def _odd_word(w: str) -> bool:
-    low = w.lower()
-    vowels = len(VOWEL.findall(low))
-    return vowels <= len(w) / 6 or CLUSTER.search(low) is not None or MIXED_CASE.search(w) is not None
+    return len(w) - len(w.translate(NO_VOWELS)) <= len(w) / 6 or CLUSTER.search(w.lower()) is not None or MIXED_CASE.search(w) is not None
 
 
-def judge_paragraph(text: str, common: frozenset) -> bool:
-    """True for running sentences, false for junk and strings of words."""
-    clean = " ".join(NOISE.sub("", text).split())  # long runs of blanks would cost the patterns below their square
-    seen = visible(clean)
+def natural(lines: list[str], common: frozenset) -> tuple[bool, int]:
+    """Whether a paragraph is running sentences, and its visible characters."""
+    text = " ".join(" ".join(lines).split())
+    seen, letters, _, marks = characters(text)
     if not seen:
-        return True
-    letters = sum(map(str.isalpha, clean))
-    if len(JUNK_SYMBOL.findall(clean)) > 0.10 * seen or letters < 0.5 * seen:
-        return False
-    longest = max(map(len, clean.split()), default=0)
-    if longest > 60 and longest > 0.3 * seen and re.search(r"[A-Za-z0-9+/=]{40}", clean):
-        return False
-    words = [w.lower() for w in WORD.findall(clean.replace("-", " "))]
+        return True, 0
+    if marks > 0.10 * seen or (letters < 0.5 * seen and len(lines) < BLOCK):
+        return False, seen
+    words = WORD.findall(text)
     if not words:
-        return False
-    share = sum(w in common for w in words) / len(words)
-    if _repeats(words) > 0.5 or (len(words) >= 4 and _odd_words(WORD.findall(clean)) > 0.35):
-        return False
-    if len(words) >= 8 and len(re.findall(r"\w_\w", clean)) > 0.15 * len(words) and share < 0.15:
-        return False
-    ends = len(INNER_END.findall(clean))
-    if len(words) >= 6 and ends < len(words) / 25 and not re.search(r"[,;:]\s", clean) and (share >= 0.58 or _disorder(words) > 0.05):
-        return False
-    if _item_list(clean, common):
-        return False
-    return not (len(words) >= 6 and share < 0.08 and not ends)
+        return False, seen
+    low = [w.lower() for w in words]
+    share = sum(map(common.__contains__, low)) / len(low)
+    ends = len(INNER_END.findall(text))
+    if _repeats(low) > 0.5 or (len(words) >= 4 and _odd_words(words) > 0.35):
+        return False, seen
+    unmarked = ends < len(words) / 25 and not any(x in text for x in (", ", "; ", ": "))
+    # words without order: too many frequent ones, in long runs, or more words without any mark than a sentence has
+    if len(words) >= 6 and unmarked and (share >= 0.58 or _crowded(low, common) > 0.25 or text.count("_") > 0.15 * len(words) or (len(words) >= 32 and not ends)):
+        return False, seen
+    # bare names in a column: short lines that are no sentences
+    if len(lines) >= 3 and len(words) <= 4.5 * len(lines) and sum(LINE_END.search(x.rstrip()) is not None for x in lines) < len(lines) / 3:
+        return False, seen
+    return not (len(words) >= 6 and share < 0.08 and not ends), seen
 
 
 def assess(text: str | None, common: frozenset) -> dict | None:
-    """Statistics of one text; ``prose_chars`` and ``other_chars`` are the visible characters of its parts. None for null and blank texts."""
+    """``aligned_lines``, ``indent_period``, ``length_autocorrelation`` (of the whole text) and the visible characters of its prose and of its other parts; None for null and blank texts."""
     if text is None or not text.strip():
         return None
-    # separators that are no line ends, and strings of tokenizers' special tokens, are noise wherever they stand
-    lines = [NOISE.sub("", x) for x in lines_of(text)]
+    lines = lines_of(NOISE.sub("", text) if "<" in text or "[" in text or not text.isascii() else text)
     aligned = alignment(lines)
-    full = [x for x in lines if x.strip()]
-    indented = periodicity(lines)
-    echo = length_autocorrelation(lines)
-    other = [False] * len(lines)
-    bullets = [bool(BULLET.match(x)) or bool(x[:1] == "\t" and x.strip()) for x in lines]
-    listed = sum(bullets) >= 2 and indented >= 0.5
-    for i, line in enumerate(lines):
-        s = line.strip()
-        if not s:
-            continue
-        words = WORD.findall(s)
-        shaped = (any(p.match(line) for p in SHAPES) if len(line) <= LONG_LINE else shaped_long(line)) and not (SENTENCE_END.search(s) and len(words) > 8 and s[0] not in "{[<")
-        marks = len(MARKUP.findall(s))
-        if aligned[i] or shaped or marks >= 2 or _pairs(s):
-            other[i] = True
-        elif bullets[i] and listed:
-            body = BULLET.sub("", line).strip()
-            other[i] = _fragment(body)
-    # a nested list: its headings carry no mark of their own but the period of the indents
-    for i in range(1, len(lines) - 1):
-        s = lines[i].strip()
-        if s and not other[i] and other[i - 1] and other[i + 1] and not SENTENCE_END.search(s) and len(WORD.findall(s)) <= 8:
-            other[i] = True
+    period = periodicity(lines)
+    bullets = [BULLET.match(x) for x in lines]
+    listed = period >= 0.5 and len(lines) - bullets.count(None) >= 2
+    several = sum(bool(x.strip()) for x in lines) > 1
+    other = list(aligned)
+    start = 0
+    for end in range(len(lines) + 1):
+        if end == len(lines) or not lines[end].strip():
+            if _fixed_width(lines[start:end]):
+                other[start:end] = [True] * (end - start)
+            start = end + 1
     prose = rest = 0
     paragraph: list[str] = []
 
     def close() -> None:
-        nonlocal prose, rest, paragraph
-        if not paragraph:
-            return
-        whole = " ".join(" ".join(paragraph).split())
-        n = visible(whole)
-        counts = [len(WORD.findall(x)) for x in paragraph]
-        stub = len(paragraph) >= 3 and sum(counts) / len(counts) <= 4.5 and not SENTENCE_END.search(whole) and len(INNER_END.findall(whole)) < len(paragraph) / 3
-        heading = len(paragraph) == 1 and counts[0] <= 6 and not INNER_END.search(whole) and re.match(r"^(#+\s|[A-ZÀ-Ý])", whole) and len(full) > 1
-        if heading:
-            pass
-        elif stub or not judge_paragraph(whole, common):
-            rest += n
-        else:
-            prose += n
-        paragraph = []
-
-    for line, odd in zip(lines, other):
-        if odd:
+        nonlocal prose, rest
+        if paragraph:
+            first = paragraph[0].strip()
+            heading = len(paragraph) == 1 and several and first.count(" ") < 6 and first[0].isupper() and not LINE_END.search(first)
+            ok, seen = natural(paragraph, common)
+            if not heading:
+                prose, rest = prose + seen * ok, rest + seen * (not ok)
+            paragraph.clear()
+
+    for line, odd, bullet in zip(lines, other, bullets):
+        s = line.strip()
+        if not s or HEADING.match(line):
             close()
-            rest += visible(line)
-        elif not line.strip() or re.match(r"^\s*#+\s", line):
+            continue
+        seen, letters, plain, marks = characters(s)
+        if not odd:
+            odd = marks > 0.10 * seen or plain + marks > 0.22 * seen
+            # the rest of a wrapped sentence may be a date or a number
+            odd = odd and not (paragraph and len(s) < 30 and LINE_END.search(s))
+        if not odd and listed and bullet:
+            body = line[bullet.end() :].rstrip()
+            odd = body.count(" ") < 2 or not LINE_END.search(body)
+        if odd:
             close()
+            rest += seen
         else:
-            paragraph.append(re.sub(r"^\s*(?:>\s*)+", "", line) if line.lstrip()[:1] == ">" else line)
+            paragraph.append(QUOTED.sub("", line, count=1) if s[0] == ">" else line)
     close()
-    words = WORD.findall(text)
-    seen = visible(text)
     if not prose + rest:  # headings only
-        rest = seen
-    low = [w.lower() for w in words]
+        rest = characters(text)[0]
     return {
-        "words": len(words),
-        "mean_word_length": sum(map(len, words)) / len(words) if words else 0.0,
-        "symbol_ratio": (seen - len(ALNUM.findall(text))) / max(1, seen),
-        "digit_ratio": len(DIGIT.findall(text)) / max(1, seen),
-        "punctuated_lines": sum(bool(SENTENCE_END.search(x)) for x in full) / max(1, len(full)),
-        "common_words": sum(w in common for w in low) / len(low) if low else 0.0,
-        "distinct_words": len(set(low)) / len(low) if low else 0.0,
-        "aligned_lines": sum(aligned) / max(1, len(full)),
-        "indent_period": indented,
-        "length_autocorrelation": echo,
-        "prose_chars": prose,
-        "other_chars": rest,
+        "aligned_lines": sum(aligned) / max(1, len(lines)), "indent_period": period, "length_autocorrelation": length_autocorrelation(lines),
+        "prose_chars": prose, "other_chars": rest,
     }
 
 
-STATISTICS = (
-    "words long, mean_word_length double, symbol_ratio double, digit_ratio double, punctuated_lines double, common_words double, distinct_words double, "
-    "aligned_lines double, indent_period double, length_autocorrelation double, prose_chars long, other_chars long"
-)
+LAYOUT = "aligned_lines double, indent_period double, length_autocorrelation double, prose_chars long, other_chars long"
+
+
+BLANK, FILLED = r"[ \t\n\x0B\f\r]", r"[^ \t\n\x0B\f\r]"
+
+
+def statistics(text: Column, common_words: frozenset) -> dict[str, Column]:
+    """Built-in expressions for the counts and ratios of a text; null where it is null or has nothing but ASCII blanks.
+
+    A word is a run of letters with inner apostrophes. Symbols are visible characters that are no letters or numbers.
+    Lines end at line feeds, carriage returns or both; of those that aren't blank, a line counts as punctuated if only
+    closing quotes and brackets follow its last sentence mark. The frequent words are those of the given table.
+    """
+    filled = F.when(F.regexp_like(text, F.lit(FILLED)), text)
+    words = F.regexp_extract_all(filled, F.lit(r"\p{L}+(?:['’]\p{L}+)*"), 0)
+    low = F.transform(words, F.lower)
+    n, seen = F.size(words), F.length(F.regexp_replace(filled, BLANK, ""))
+    lines = F.filter(F.split(F.regexp_replace(filled, "\r\n?", "\n"), "\n"), lambda x: F.regexp_like(x, F.lit(FILLED)))
+    ended = F.filter(lines, lambda x: F.regexp_like(x, F.lit(rf"[.!?…]['\"”’»)\]]*{BLANK}*$")))
+    frequent = sorted(common_words)
+    share = lambda part, whole: F.when(filled.isNotNull(), F.coalesce(part / F.nullif(whole, F.lit(0)), F.lit(0.0)))
+    return {
+        "words": F.when(filled.isNotNull(), n.cast("long")),
+        "mean_word_length": share(F.length(F.array_join(words, "")), n),
+        "symbol_ratio": share(seen - F.length(F.regexp_replace(filled, r"[^\p{L}\p{N}]", "")), seen),
+        "digit_ratio": share(F.length(F.regexp_replace(filled, "[^0-9]", "")), seen),
+        "punctuated_lines": share(F.size(ended), F.size(lines)),
+        "common_words": share(F.size(F.filter(low, lambda w: w.isin(frequent))), n),
+        "distinct_words": share(F.size(F.array_distinct(low)), n),
+    }
+
+
+def layout(text: Column, common_words: frozenset) -> Column:
+    """Struct of ``LAYOUT`` per text, null for null and blank texts, judged in Arrow batches."""
+    common = frozenset(common_words) | MORE_COMMON
+    names = [x.split()[0] for x in LAYOUT.split(", ")]
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = [assess(t if isinstance(t, str) else None, common) or dict.fromkeys(names) for t in texts]
+        return pd.DataFrame(rows, columns=names, dtype=object)
+
+    # not moved below a repartitioning that spreads the work
+    return F.pandas_udf(run, LAYOUT).asNondeterministic()(text)
 
 
 def text_quality(documents: DataFrame, key: str, text: str, common_words: frozenset) -> DataFrame:
-    """Key, the statistics of ``STATISTICS`` and ``is_prose``, one row per input row.
+    """Key, the statistics, ``LAYOUT`` and ``is_prose``, one row per input row; what a query doesn't read isn't computed.
 
     Null, empty and blank texts have null statistics and null ``is_prose``: there is nothing to judge. Each text is judged
     whole and by itself, so the work is spread as the rows are and nothing is shuffled. Other columns are ignored.
     """
-    common = frozenset(common_words) | MORE_COMMON
-    names = [x.split()[0] for x in STATISTICS.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [assess(t if isinstance(t, str) else None, common) or dict.fromkeys(names) for t in batch["text"]]
-            out = pd.DataFrame(rows, columns=names, dtype=object)
-            out.insert(0, "key", batch["key"].to_numpy())
-            yield out
-
-    kind = documents.schema[key].dataType.simpleString()
-    judged = documents.selectExpr(f"`{key}` as key", f"`{text}` as text").mapInPandas(run, f"key {kind}, {STATISTICS}")
-    return judged.selectExpr(f"key as `{key}`", *names, f"prose_chars >= {MOST} * (prose_chars + other_chars) as is_prose")
+    stats = statistics(F.col("text"), common_words)
+    rows = documents.selectExpr(f"`{key}` as key", f"`{text}` as text").withColumn("layout", layout(F.col("text"), common_words))
+    names = [x.split()[0] for x in LAYOUT.split(", ")]
+    prose, other = F.col("layout.prose_chars"), F.col("layout.other_chars")
+    return rows.select(F.col("key").alias(key), *[c.alias(n) for n, c in stats.items()], *[F.col(f"layout.{n}") for n in names], (prose >= MOST * (prose + other)).alias("is_prose"))

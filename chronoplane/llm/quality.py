@@ -132,16 +132,10 @@ def _repeats(words: list[str]) -> float:
     return bad / whole
 
 
-def _crowded(words: list[str], common: frozenset, run: int = 5) -> float:
-    """Share of words in runs of frequent words: sentences put other words between them."""
-    inside = here = 0
-    for w in words:
-        if w in common:
-            here += 1
-            continue
-        inside += here if here >= run else 0
-        here = 0
-    return (inside + (here if here >= run else 0)) / max(1, len(words))
+def _side_by_side(words: list[str], common: frozenset) -> float:
+    """Share of neighbouring words that are both frequent: sentences put other words between them."""
+    frequent = [w in common for w in words]
+    return sum(map(bool.__and__, frequent, frequent[1:])) / max(1, len(words) - 1)
 
 
 def _odd_words(words: list[str]) -> float:
@@ -171,10 +165,12 @@ def natural(lines: list[str], common: frozenset) -> tuple[bool, int]:
     ends = len(INNER_END.findall(text))
     if _repeats(low) > 0.5 or (len(words) >= 4 and _odd_words(words) > 0.35):
         return False, seen
-    unmarked = ends < len(words) / 25 and not any(x in text for x in (", ", "; ", ": "))
-    # words without order: too many frequent ones, in long runs, or more words without any mark than a sentence has
-    if len(words) >= 6 and unmarked and (share >= 0.58 or _crowded(low, common) > 0.25 or text.count("_") > 0.15 * len(words) or (len(words) >= 32 and not ends)):
-        return False, seen
+    if len(words) >= 6 and ends < len(words) / 25 and not any(x in text for x in (", ", "; ", ": ")):
+        # words without order: too many frequent ones, too near one another, or more words without any mark than a sentence has
+        if not ends and (len(words) >= 32 or share + _side_by_side(low, common) >= 0.82):
+            return False, seen
+        if text.count("_") > 0.15 * len(words):
+            return False, seen
     # bare names in a column: short lines that are no sentences
     if len(lines) >= 3 and len(words) <= 4.5 * len(lines) and sum(LINE_END.search(x.rstrip()) is not None for x in lines) < len(lines) / 3:
         return False, seen

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from chronoplane.llm import bpe, packing, quality
 
 VOCABULARY = bpe.default_vocabulary()
-COMMON = frozenset("the of and a to in is that it for was on as with be by at this from or are not but which have had has its".split())
+COMMON = frozenset("the of and a to in is that it for was on as with be by at this from or are not but which have had has its before their into been other when than".split())
 
 
 @pytest.fixture(scope="module")

@@ -8,16 +8,15 @@ rest; only they are split.
 
 from __future__ import annotations
 
-import bisect
-from collections import defaultdict
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY = 2_048
 SHARD_ITEMS = 20_000
-ROUNDS = 6
+#: Bound of the passes over all givers; the search ends by itself long before it on the sizes of the tests.
+ROUNDS = 1_000
 
 
 def first_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -46,90 +45,72 @@ def first_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:
 def local_search(bins: list[list[int]], sizes: list[int], capacity: int, rounds: int = ROUNDS) -> list[list[int]]:
     """Empties underfull bins by moves, one-for-one and two-for-one swaps that increase the sum of squared fills.
 
-    The emptiest bins give, fuller bins take: a move raises the squared fill of the taker by more than the giver loses.
-    Takers are found by size, so a round costs about one sorted search per item of the underfull bins.
+    The emptiest bins give, fuller ones take, whichever of all bins with room gains most. Every exchange takes effect at
+    once. The search ends when no exchange of the three kinds helps, when as few bins are left as the sizes need, or after
+    ``rounds`` passes over all givers. A full bin neither gives nor takes, so only items of underfull bins are looked at.
     """
-    fill = [sum(sizes[i] for i in b) for b in bins]
+    fill = np.array([sum(sizes[i] for i in b) for b in bins], dtype=np.int64)
+    least = -(-int(fill.sum()) // capacity)
+    members = [list(b) for b in bins]
+    loose = np.array([i for b, m in enumerate(members) if fill[b] < capacity for i in m], dtype=np.int64)
+    place = {int(i): k for k, i in enumerate(loose)}
+    size = np.array([sizes[i] for i in loose], dtype=np.int64)
+    home = np.array([b for b, m in enumerate(members) if fill[b] < capacity for _ in m], dtype=np.int64)
+
+    def shift(item: int, to: int) -> None:
+        k = place[item]
+        members[home[k]].remove(item)
+        members[to].append(item)
+        fill[home[k]] -= size[k]
+        fill[to] += size[k]
+        home[k] = to
+
+    def best(amount: int, giver: int) -> int | None:
+        """The item for which a bin would best take so much from the giver: its bin has the room and ends fuller than the giver is."""
+        grow = amount - size
+        there = fill[home]
+        fits = (grow > 0) & (there + grow <= capacity) & (there + grow > fill[giver]) & (home != giver)
+        if not fits.any():
+            return None
+        return int(loose[np.argmax(np.where(fits, grow * (there - fill[giver] + grow), 0))])
+
+    def give(giver: int) -> bool:
+        """One exchange that helps, if there is one."""
+        mine = sorted(members[giver], key=lambda i: (-sizes[i], i))
+        room = np.where(fill > 0, capacity - fill, -1)
+        room[giver] = -1
+        for i in mine:
+            takers = np.flatnonzero((room >= sizes[i]) & (fill + sizes[i] > fill[giver]))
+            if len(takers):
+                shift(i, int(takers[np.argmin(room[takers])]))
+                return True
+        for k, i in enumerate(mine):
+            if (k == 0 or sizes[i] != sizes[mine[k - 1]]) and (j := best(sizes[i], giver)) is not None:
+                to = int(home[place[j]])
+                shift(i, to)
+                shift(j, giver)
+                return True
+        tried = set()
+        for x, i in enumerate(mine):
+            for other in mine[x + 1 :]:
+                both = sizes[i] + sizes[other]
+                if both not in tried and (j := best(both, giver)) is not None:
+                    to = int(home[place[j]])
+                    shift(i, to)
+                    shift(other, to)
+                    shift(j, giver)
+                    return True
+                tried.add(both)
+        return False
+
     for _ in range(rounds):
-        under = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: fill[b])
-        if len(under) < 2:
-            break
         changed = False
-        # the items of takers by size, and takers by free room
-        rooms = sorted((capacity - fill[b], b) for b in under)
-        holders: dict[int, list[int]] = defaultdict(list)
-        for b in under:
-            for i in bins[b]:
-                holders[sizes[i]].append(b)
-        ladder = sorted(holders)
-        for giver in under[: max(1, len(under) // 2)]:
-            for i in sorted(bins[giver], key=lambda x: -sizes[x]):
-                if i not in bins[giver]:
-                    continue
-                size = sizes[i]
-                # move: the tightest bin with room, fuller than the giver would be without the item
-                at = bisect.bisect_left(rooms, (size, -1))
-                taken = False
-                for _, b in rooms[at : at + 8]:
-                    if b != giver and capacity - fill[b] >= size and fill[b] > fill[giver] - size:
-                        bins[giver].remove(i)
-                        bins[b].append(i)
-                        fill[giver] -= size
-                        fill[b] += size
-                        taken = changed = True
-                        break
-                if taken:
-                    continue
-                # swap: the giver's item for a smaller one of a fuller bin that then has less room left
-                at = bisect.bisect_left(ladder, size) - 1
-                for smaller in reversed(ladder[max(0, at - 12) : at + 1]):
-                    grow = size - smaller
-                    for b in holders[smaller][:4]:
-                        if b == giver or fill[b] <= fill[giver] or capacity - fill[b] < grow:
-                            continue
-                        j = next((x for x in bins[b] if sizes[x] == smaller), None)
-                        if j is None:
-                            continue
-                        bins[giver].remove(i)
-                        bins[b].remove(j)
-                        bins[giver].append(j)
-                        bins[b].append(i)
-                        fill[giver] -= grow
-                        fill[b] += grow
-                        taken = changed = True
-                        break
-                    if taken:
-                        break
-            # two for one: two of the giver's items for one of a fuller bin, if they fill its room better
-            mine = sorted(bins[giver], key=lambda x: sizes[x])
-            done = False
-            for x in range(min(len(mine), 8)):
-                for y in range(x + 1, min(len(mine), 8)):
-                    both = sizes[mine[x]] + sizes[mine[y]]
-                    at = bisect.bisect_left(ladder, both) - 1
-                    for one in reversed(ladder[max(0, at - 4) : at + 1]):
-                        grow = both - one
-                        for b in holders[one][:4]:
-                            if b == giver or fill[b] <= fill[giver] or capacity - fill[b] < grow or grow <= 0:
-                                continue
-                            j = next((k for k in bins[b] if sizes[k] == one), None)
-                            if j is None:
-                                continue
-                            bins[giver] = [k for k in bins[giver] if k not in (mine[x], mine[y])] + [j]
-                            bins[b] = [k for k in bins[b] if k != j] + [mine[x], mine[y]]
-                            fill[giver] -= grow
-                            fill[b] += grow
-                            done = changed = True
-                            break
-                        if done:
-                            break
-                    if done:
-                        break
-                if done:
-                    break
+        for giver in sorted(np.flatnonzero((fill > 0) & (fill < capacity)).tolist(), key=lambda b: (fill[b], b)):
+            while 0 < fill[giver] < capacity and np.count_nonzero(fill) > least and give(giver):
+                changed = True
         if not changed:
             break
-    return [b for b in bins if b]
+    return [b for b in members if b]
 
 
 def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
@@ -140,31 +121,31 @@ def pack(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 def pack_items(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """Key, ``part`` (0, or its number where an item was cut), ``container``, ``tokens`` of the part in that container.
 
-    Items of null, zero or negative size take no room and are in no container. Equal keys are items of their own only if
-    their sizes differ; repeated rows count once. The number of shards follows from a count of the items, so a shard's
-    group stays near ``shard_items`` whatever the data.
+    Every row is an item, also where keys or whole rows repeat: rows that can't be told apart are counted, and each copy is
+    packed. Items of null, zero or negative size take no room and are in no container; a null key is a key. The number of
+    shards follows from a count of the items, so a shard's group stays near ``shard_items`` whatever the data.
     """
     kind = items.schema[key].dataType.simpleString()
-    whole = items.selectExpr(f"`{key}` as key", f"cast(`{size}` as long) as size").where("size > 0").distinct()
-    n = whole.agg(F.sum(F.ceil(F.col("size") / capacity))).first()[0] or 0
+    whole = items.selectExpr(f"`{key}` as key", f"cast(`{size}` as long) as size").where("size > 0").groupBy("key", "size").agg(F.count(F.lit(1)).alias("copies"))
+    n = whole.agg(F.sum(F.ceil(F.col("size") / capacity) * F.col("copies"))).first()[0] or 0
     shards = max(1, -(-int(n) // shard_items))
+    whole = whole.select("key", "size", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
     pieces = whole.withColumn("cuts", F.ceil(F.col("size") / capacity).cast("int")).select(
-        "key", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("part"), "size"
+        "key", "size", "copy", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("part")
     ).withColumn("tokens", F.least(F.lit(capacity), F.col("size") - F.col("part") * capacity).cast("long"))
     full = pieces.where(F.col("tokens") == capacity)
-    rest = pieces.where(F.col("tokens") < capacity).withColumn("shard", F.pmod(F.xxhash64("key", "part"), F.lit(shards)).cast("int"))
+    rest = pieces.where(F.col("tokens") < capacity).withColumn("shard", F.pmod(F.xxhash64("key", "size", "copy"), F.lit(shards)).cast("int"))
 
     def first(group: pd.DataFrame) -> pd.DataFrame:
         # the order of a group's rows depends on how it arrived; the result must not
-        group = group.sort_values(["tokens", "key", "part"]).reset_index(drop=True)
-        bins = pack(group["tokens"].tolist(), capacity)
-        number = pd.Series(-1, index=group.index)
-        for b, members in enumerate(bins):
-            number.iloc[members] = b
+        group = group.sort_values(["tokens", "key", "size", "copy"]).reset_index(drop=True)
+        number = np.full(len(group), -1)
+        for b, members in enumerate(pack(group["tokens"].tolist(), capacity)):
+            number[members] = b
         return pd.DataFrame({"key": group["key"], "part": group["part"], "tokens": group["tokens"], "shard": group["shard"], "bin": number})
 
-    packed = rest.select("key", "part", "tokens", "shard").groupBy("shard").applyInPandas(first, f"key {kind}, part int, tokens long, shard int, bin int")
-    container = lambda *c: F.concat_ws("-", *c)
-    return full.select(F.col("key").alias(key), "part", container(F.lit("f"), F.col("key").cast("string"), F.col("part").cast("string")).alias("container"), "tokens").unionByName(
-        packed.select(F.col("key").alias(key), "part", container(F.lit("s"), F.col("shard").cast("string"), F.col("bin").cast("string")).alias("container"), "tokens")
+    packed = rest.groupBy("shard").applyInPandas(first, f"key {kind}, part int, tokens long, shard int, bin int")
+    named = lambda *c: F.concat_ws("-", *[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in c])
+    return full.select(F.col("key").alias(key), "part", F.concat(F.lit("f-"), named("key", "size", "copy", "part")).alias("container"), "tokens").unionByName(
+        packed.select(F.col("key").alias(key), "part", F.concat(F.lit("s-"), named("shard", "bin")).alias("container"), "tokens")
     )

@@ -27,6 +27,20 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_items(lengths, "doc_id", "tokens")
 
 
+def p8_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the containers: how many documents lie in them, and no container overfull, no document of at most a container's length cut, none with tokens missing or twice."""
+    docs = table(spark, folder, "documents").select("doc_id", "text").where("text <> ''")
+    lengths = materialise(bpe.encode_corpus(spread(docs), "doc_id", "text", lengths_only=True), "token-lengths")
+    packed = materialise(packing.pack_items(lengths, "doc_id", "tokens"), "containers")
+    each = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts"), F.sum("tokens").alias("packed")).join(lengths, "doc_id", "full")
+    documents = each.agg(
+        F.count("packed").alias("documents"), F.count_if((F.col("tokens") <= packing.CAPACITY) & (F.col("parts") > 1)).alias("cut"), F.count_if(~F.col("packed").eqNullSafe(F.col("tokens"))).alias("other_length")
+    )
+    fills = packed.groupBy("container").agg(F.sum("tokens").alias("fill")).agg(F.count_if(F.col("fill") > packing.CAPACITY).alias("overfull"))
+    both = documents.unionByName(fills, allowMissingColumns=True)
+    return both.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("documents", "cut", "other_length", "overfull")])
+
+
 def _quality(spark: SparkSession, folder: str) -> DataFrame:
     # a fixed table of frequent words, some 170 rows at every scale
     words = frozenset(r[0] for r in table(spark, folder, "common_words").select(F.lower("word")).where("word is not null").distinct().collect())
@@ -47,9 +61,9 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return _quality(spark, folder).where("not is_prose").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_containers, p9_found, p9_quality, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p7_ids, p8_containers, p8_checks, p9_found, p9_quality, p9_statistics)}
 #: Encoding, packing and judging the layout of texts can't be written in SQL: they are tested against brute force, bounds and fixtures.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"p8_checks": "SELECT count(*) AS documents, 0 AS cut, 0 AS other_length, 0 AS overfull FROM documents WHERE text <> ''"}
 
 SQL["p9_statistics"] = r"""
 WITH t AS (SELECT doc_id, CASE WHEN regexp_matches(text, '[^ \t\n\x0B\f\r]') THEN text END AS text FROM documents),

@@ -81,7 +81,10 @@ def test_pack_items(spark):
     rows = [(1, 10), (2, 5000), (3, None), (4, 0), (5, 2048), (6, 2047), (1, 10), (7, 4096)] + [(k, 100 + k % 300) for k in range(10, 300)]
     df = spark.createDataFrame(rows, "k long, n int")
     out = packing.pack_items(df, "k", "n", shard_items=100).collect()
-    wanted = {k: n for k, n in rows if n}
+    wanted = {}
+    for k, n in rows:  # a repeated row is an item of its own
+        if n:
+            wanted[k] = wanted.get(k, 0) + n
     got = {}
     for r in out:
         got[r.k] = got.get(r.k, 0) + r.tokens
@@ -91,11 +94,43 @@ def test_pack_items(spark):
         fills[r.container] = fills.get(r.container, 0) + r.tokens
     assert max(fills.values()) <= 2048
     assert {(r.k, r.part) for r in out if wanted[r.k] <= 2048} == {(k, 0) for k, n in wanted.items() if n <= 2048}
+    assert sum(r.k == 1 for r in out) == 2
     assert packing.pack_items(df.where("false"), "k", "n").collect() == []
     again = packing.pack_items(df.repartition(7), "k", "n", shard_items=100).collect()
     assert sorted(map(tuple, again)) == sorted(map(tuple, out))
 
 
+def test_equal_keys_and_rows_are_items_of_their_own(spark):
+    rows = [(5, 5000), (5, 3000), (5, 100), (5, 100), (None, 3000), (None, 7), (5, 5000)]
+    out = packing.pack_items(spark.createDataFrame(rows, "k long, n long").selectExpr("*", "1 as size", "2 as copy"), "k", "n").collect()
+    fills = {}
+    for r in out:
+        fills[r.container] = fills.get(r.container, 0) + r.tokens
+    assert sum(fills.values()) == sum(n for _, n in rows) and max(fills.values()) <= 2048
+    assert sum(r.tokens for r in out if r.k is None) == 3007
+
+
+def test_search_beats_first_fit_where_that_is_not_at_the_bound():
+    rng = random.Random(1)
+    sizes = [rng.randint(500, 900) for _ in range(1000)]
+    first = packing.first_fit_decreasing(sizes, 2048)
+    bins = packing.local_search([b[:] for b in first], sizes, 2048)
+    assert sorted(i for b in bins for i in b) == list(range(1000)) and all(sum(sizes[i] for i in b) <= 2048 for b in bins)
+    assert len(bins) <= 0.96 * len(first)
+    # no move, swap or two-for-one of the emptiest bin is left that would raise the squared fill
+    fill = [sum(sizes[i] for i in b) for b in bins]
+    giver = min(range(len(bins)), key=fill.__getitem__)
+    for b in range(len(bins)):
+        if b == giver:
+            continue
+        for x, i in enumerate(bins[giver]):
+            assert not (fill[b] + sizes[i] <= 2048 and fill[b] + sizes[i] > fill[giver])
+            for j in bins[b]:
+                for amount in [sizes[i], *(sizes[i] + sizes[k] for k in bins[giver][x + 1 :])]:
+                    grow = amount - sizes[j]
+                    assert not (grow > 0 and fill[b] + grow <= 2048 and fill[b] + grow > fill[giver])
+
+
 PROSE = [
     "The first 82 observations were dropped, and the rest were ranked.",
     "Gate passed, 348 rows checked. Window full since 1975-01-19. Why? Units changed.",

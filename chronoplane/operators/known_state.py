@@ -2,7 +2,8 @@
 
 The as-known state of an entity at an instant is the best record available by then. "Best" is a maximum, so a periodic
 snapshot is the running maximum over the records of all earlier periods, and the state at an event is the maximum of the
-preceding snapshot and the changes between the snapshot and the event. Snapshots, changes and events meet in one shuffle
+preceding snapshot and the changes between the snapshot and the event. Snapshots and change log are written tables of the
+shared folder. Snapshots, changes and events meet in one shuffle
 by entity and period; within a period they are replayed in time order by a running maximum. No event is paired with every
 record of its entity, and a hot entity is spread over its periods.
 """
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoplane.functions.instants import MICROS_PER_DAY
+from chronoplane.session import materialise
 
 PERIOD_DAYS = 91
 
@@ -50,11 +52,12 @@ def as_known_at(
     """
     entity, event_id = list(entity), list(event_id)
     whole = " and ".join(f"{k} is not null" for k in entity)
-    log = change_log(records.where(whole), entity, available, best, period_days)
+    # written: read for the snapshots and again for the replay, and kept should an executor be lost
+    log = materialise(change_log(records.where(whole), entity, available, best, period_days), "change-log")
     kind = log.schema["best"].dataType
     asked = events.where(whole).select(*entity, event_at.alias("at"), *event_id).where("at is not null")
     asked = asked.withColumn("period", F.floor(F.col("at") / F.lit(period_days * MICROS_PER_DAY)).cast("int"))
-    snapshots = as_known_snapshots(log, asked, entity)
+    snapshots = materialise(as_known_snapshots(log, asked, entity), "as-known-snapshots")
 
     no_id = [F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in event_id]
     keys = [*entity, "period"]

@@ -73,7 +73,7 @@ def snapshot_changes(
     key of its own; an empty table gives no rows. Further columns of the input are ignored, whatever their names.
     """
     if fanout_bits is None:  # a count of Parquet rows reads footers only
-        fanout_bits = min(10, max(4, math.ceil(math.log2(max(1, df.count() / LEAF_ROWS)) / LEVELS)))
+        fanout_bits = min(15, max(4, math.ceil(math.log2(max(1, df.count() / LEAF_ROWS)) / LEVELS)))  # leaf numbers are ints: up to 2**30 leaves of an entity
     names = list(values)
     rows = df.select(
         F.col(entity).alias("entity"), F.col(snapshot).alias("snapshot"), _never_null(df, delivered).alias("delivered"), F.col(key).alias("key"),

@@ -9,7 +9,7 @@ from chronoplane.functions.instants import day_number, instant_micros, nan_to_nu
 from chronoplane.operators import late_windows, phase_space, regular_grid, value_counts
 from chronoplane.operators.known_state import as_known_at
 from chronoplane.operators.snapshot_diff import canonical_day, canonical_digest, snapshot_changes
-from chronoplane.session import scratch_folder
+from chronoplane.session import materialise, scratch_folder
 from chronoplane.tables import table
 
 
@@ -125,7 +125,8 @@ def p6_grid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p6_grid(spark, folder).where(F.col("status") != regular_grid.OBSERVED).select("source_id", "field", "period")
+    """The periods of the written grid, values and all, that have no reading of their own."""
+    return materialise(p6_grid(spark, folder), "grid").where(F.col("status") != regular_grid.OBSERVED).select("source_id", "field", "period")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_profile, p4_found, p4_flags, p5_found, p5_aggregates, p5_dropped, p6_found, p6_grid)}

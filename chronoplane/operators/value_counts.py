@@ -1,11 +1,12 @@
 """Column profiles from maintained value-count tables.
 
-The state is one table of counts: part (the load), column, value, count. A load is applied as a signed delta of counts
-(+ to add it, - to take it back); counts that reach zero disappear. Everything a profile needs follows exactly from the
-counts: nulls, distinct values, ranges, malformed and impossible shares, median, entropy.
+The state is one table of counts: part (the load), column, value, count. Every load is a signed delta of its own (+ to add
+it, - to take it back, both to correct it), kept in a folder of its own; counts that sum to zero disappear. Everything a
+profile needs follows exactly from the counts: nulls, distinct values, ranges, malformed and impossible shares, median,
+entropy.
 
 A value is kept as ``kind`` (null, good, malformed, impossible), ``measure`` (the number behind it, if it has one) and,
-where the text itself matters, a 128-bit digest of it, so long texts never travel.
+where the measure doesn't tell the value, a 128-bit digest of its text, so long texts never travel.
 """
 
 from __future__ import annotations
@@ -15,13 +16,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronoplane.session import materialise
+
 NULL, GOOD, MALFORMED, IMPOSSIBLE = 0, 1, 2, 3
 _BIN_BITS = 12
 
 
 @dataclass(frozen=True)
 class Profiled:
-    """One column: how a non-null value is classed and measured (a non-negative whole number), and whether its text counts for distinctness."""
+    """One column: how a non-null value is classed and measured (a non-negative whole number), and whether equal measures are equal values."""
 
     column: str
     malformed: Column | None = None
@@ -29,6 +32,7 @@ class Profiled:
     measure: Column | None = None
     checks: frozenset = field(default_factory=frozenset)
     shift_days: int | None = None
+    measured_only: bool = False
 
 
 def load_delta(df: DataFrame, part: str, columns: list[Profiled], sign: int = 1) -> DataFrame:
@@ -42,50 +46,73 @@ def load_delta(df: DataFrame, part: str, columns: list[Profiled], sign: int = 1)
         bad = F.coalesce(c.malformed, F.lit(False)) if c.malformed is not None else F.lit(False)
         odd = F.coalesce(c.impossible, F.lit(False)) if c.impossible is not None else F.lit(False)
         kind = F.when(value.isNull(), NULL).when(bad, MALFORMED).when(odd, IMPOSSIBLE).otherwise(GOOD)
-        text = value.cast("string")
+        # a good value that its measure tells needs no digest
+        text = F.when(~(F.lit(c.measured_only) & (kind == GOOD)), value.cast("string"))
         cells.append(F.struct(
             F.lit(i).cast("tinyint").alias("col"), kind.cast("tinyint").alias("kind"),
             F.when(kind == GOOD, c.measure.cast("long") if c.measure is not None else F.lit(None).cast("long")).alias("measure"),
-            F.when(value.isNotNull(), F.xxhash64(F.lit(1), text)).alias("h1"), F.when(value.isNotNull(), F.xxhash64(F.lit(2), text)).alias("h2"),
+            F.when(text.isNotNull(), F.xxhash64(F.lit(1), text)).alias("h1"), F.when(text.isNotNull(), F.xxhash64(F.lit(2), text)).alias("h2"),
         ))
     flat = df.select(F.col(part).alias("part"), F.inline(F.array(*cells)))
     return flat.groupBy("part", "col", "kind", "measure", "h1", "h2").agg((F.count(F.lit(1)) * F.lit(sign)).alias("n"))
 
 
-def apply_delta(state: DataFrame, delta: DataFrame) -> DataFrame:
-    """The maintained table after a signed delta; values whose count reaches zero leave it."""
-    keys = ["part", "col", "kind", "measure", "h1", "h2"]
-    return state.unionByName(delta).groupBy(*keys).agg(F.sum("n").alias("n")).where("n <> 0")
+KEYS = ["part", "col", "kind", "measure", "h1", "h2"]
+
+
+def merged(deltas: DataFrame) -> DataFrame:
+    """The counts that signed deltas add up to; values whose count is zero are in no load."""
+    return deltas.groupBy(*KEYS).agg(F.sum("n").alias("n")).where("n <> 0")
 
 
 class CountStore:
-    """The persistent count table: one folder of signed deltas, merged when read, folded into one part by ``compact``.
+    """A lasting count table: signed deltas in a folder per load and tag, merged when read, folded into one delta by ``compact``.
 
-    A delta is written under its tag, over what an earlier try left there, so applying a load twice changes nothing.
+    Writing a load's delta again under the same tag replaces it, so a load that is applied twice, or after a failed try,
+    counts once. A store lives as long as its folder and is opened by naming it.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, part_type: str = "bigint"):
+        self.spark, self.path, self.part_type = spark, path.rstrip("/"), part_type
 
-    def tags(self) -> list[str]:
+    def _folders(self, *below: str) -> list[str]:
         jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.path}/counts")
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return sorted(f.getPath().getName().partition("=")[2] for f in fs.listStatus(root) if f.isDirectory()) if fs.exists(root) else []
-
-    def apply(self, delta: DataFrame, tag: str) -> None:
-        delta.write.mode("overwrite").parquet(f"{self.path}/counts/tag={tag}")
+        at = jvm.org.apache.hadoop.fs.Path("/".join([self.path, "counts", *below]))
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted(f.getPath().getName() for f in fs.listStatus(at) if f.isDirectory()) if fs.exists(at) else []
+
+    def loads(self) -> list[str]:
+        """The loads with a delta, as texts; the load without a number is called by the name of Spark's null folder."""
+        return [f.partition("=")[2] for f in self._folders() if f.startswith("load=")]
+
+    def apply(self, delta: DataFrame, tag: str = "load") -> None:
+        """Keep the delta of each load it holds under the tag. Small loads share a task, a large load is split over several."""
+        rows = delta.withColumns({"load": F.col("part"), "tag": F.lit(tag)}).hint("rebalance", "load")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("load", "tag").parquet(f"{self.path}/counts")
+
+    def refresh(self, df: DataFrame, part: str, columns: list[Profiled]) -> None:
+        """Apply the loads of the table that the store hasn't seen, each as a delta of its own; the others aren't counted again."""
+        known = self.loads()
+        new = df.where(~F.coalesce(F.col(part).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")).isin(known)) if known else df
+        self.apply(load_delta(new, part, columns))
+
+    def withdraw(self, loads: list, tag: str = "withdrawn") -> None:
+        """Take loads back: a delta with the opposite of all that the store holds of them."""
+        held = self.state().where(F.col("part").isin(loads)).withColumn("n", -F.col("n"))
+        self.apply(materialise(held, "withdrawn"), tag)
 
     def state(self) -> DataFrame:
-        """Current counts. A single delta has every value once already; several are summed."""
-        rows = self.spark.read.option("basePath", f"{self.path}/counts").parquet(f"{self.path}/counts").drop("tag")
-        return rows if len(self.tags()) == 1 else apply_delta(rows, rows.limit(0))
+        """Current counts: all deltas, merged."""
+        schema = f"part {self.part_type}, col tinyint, kind tinyint, measure bigint, h1 bigint, h2 bigint, n bigint"
+        if not self.loads():
+            return self.spark.createDataFrame([], schema)
+        return merged(self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.path}/counts"))
 
     def compact(self, tag: str) -> None:
-        """Fold all deltas into one part of a new folder and use that from now on."""
-        fresh = f"{self.path}-{tag}"
-        self.state().write.mode("overwrite").parquet(f"{fresh}/counts/tag={tag}")
-        self.path = fresh
+        """Fold all deltas into one per load in a new folder and use that from now on."""
+        fresh = CountStore(self.spark, f"{self.path}-{tag}", self.part_type)
+        fresh.apply(self.state(), tag)
+        self.path = fresh.path
 
 
 def profile(state: DataFrame) -> DataFrame:

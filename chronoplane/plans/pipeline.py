@@ -10,6 +10,7 @@ from chronoplane.operators import late_windows, phase_space, regular_grid, value
 from chronoplane.operators.known_state import as_known_at
 from chronoplane.operators.snapshot_diff import canonical_day, canonical_digest, snapshot_changes
 from chronoplane.session import materialise, scratch_folder
+from chronoplane.streaming.late_upsert import LateUpsert
 from chronoplane.tables import table
 
 
@@ -36,18 +37,18 @@ def manifest_columns() -> list[value_counts.Profiled]:
     c, real = F.col, lambda n: day_number(F.col(n))
     return [
         value_counts.Profiled("sha256", malformed=~c("sha256").rlike(r"^[0-9a-f]{64}\z"), checks=frozenset({"nulls", "pattern", "distinct"})),
-        *[value_counts.Profiled(n, impossible=c(n) < 1, measure=c(n), checks=frozenset({"nulls", "range", "distinct", "shift"})) for n in ("bytes", "rows")],
-        value_counts.Profiled("first", malformed=real("first").isNull(), impossible=c("first") < "1800", measure=real("first") + since_year_one, checks=frozenset({"nulls", "pattern", "range", "shift"}), shift_days=1095),
-        value_counts.Profiled("last", malformed=real("last").isNull(), impossible=real("last") > utc_day(c("loaded_at")), measure=real("last") + since_year_one, checks=frozenset({"nulls", "pattern", "range", "shift"}), shift_days=1095),
+        *[value_counts.Profiled(n, impossible=c(n) < 1, measure=c(n), checks=frozenset({"nulls", "range", "distinct", "shift"}), measured_only=True) for n in ("bytes", "rows")],
+        value_counts.Profiled("first", malformed=real("first").isNull(), impossible=c("first") < "1800", measure=real("first") + since_year_one, checks=frozenset({"nulls", "pattern", "range", "shift"}), shift_days=1095, measured_only=True),
+        value_counts.Profiled("last", malformed=real("last").isNull(), impossible=real("last") > utc_day(c("loaded_at")), measure=real("last") + since_year_one, checks=frozenset({"nulls", "pattern", "range", "shift"}), shift_days=1095, measured_only=True),
         value_counts.Profiled("column_spans", malformed=~c("column_spans").rlike(rf"^{_SPAN}(?:;{_SPAN})*\z"), measure=F.length("column_spans") - F.length(F.replace(c("column_spans"), F.lit(";"), F.lit(""))) + 1, checks=frozenset({"nulls", "pattern", "shift"})),
     ]
 
 
 def _manifest_profile(spark: SparkSession, folder: str) -> tuple[DataFrame, list[value_counts.Profiled]]:
+    """Profiles from a store that has been brought up to date with the table; the store lasts as long as the driver."""
     columns = manifest_columns()
-    counts = value_counts.load_delta(table(spark, folder, "panel_manifest"), "load_id", columns)
     store = value_counts.CountStore(spark, scratch_folder(spark, "manifest-counts"))
-    store.apply(counts, "all-loads")
+    store.refresh(table(spark, folder, "panel_manifest"), "load_id", columns)
     return value_counts.profile(store.state()), columns
 
 
@@ -86,11 +87,21 @@ def late_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, late_windows
     return late_windows.arrivals(log, ["region", "signal"], day, instant_micros(F.col("available_at")), F.col("record_id"), F.col("reading.value"), windows), windows
 
 
-def p5_aggregates(spark: SparkSession, folder: str) -> DataFrame:
+#: Micro-batches the log is replayed in, in the order in which its records became available.
+BATCHES = 4
+
+
+def _late_sink(spark: SparkSession, folder: str) -> LateUpsert:
     rows, windows = late_rows(spark, folder)
-    out = late_windows.window_aggregates(late_windows.merge_state(rows, ["region", "signal"], windows), ["region", "signal"])
+    sink = LateUpsert(spark, scratch_folder(spark, "late-windows"), ["region", "signal"], windows)
+    sink.replay(rows, BATCHES)
+    return sink
+
+
+def p5_aggregates(spark: SparkSession, folder: str) -> DataFrame:
+    """The months as the last update of each left them."""
     number = lambda c: F.col(c).cast("double").alias(c)
-    return out.select("region", "signal", F.date_format("window", "yyyy-MM").alias("period"), "count_closed", number("sum_closed"), "count_final", number("sum_final"), "corrected")
+    return _late_sink(spark, folder).aggregates().select("region", "signal", F.date_format("window", "yyyy-MM").alias("period"), "count_closed", number("sum_closed"), "count_final", number("sum_final"), "corrected")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,9 +109,8 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_dropped(spark: SparkSession, folder: str) -> DataFrame:
-    """Records that came after their month's cut-off."""
-    rows, windows = late_rows(spark, folder)
-    return late_windows.dropped_late(rows, windows).select(F.col("turn").alias("record_id"), "region", "signal", F.date_format("window", "yyyy-MM").alias("period"), "days_late").distinct()
+    """Records that came after their month's cut-off, as the batches diverted them."""
+    return _late_sink(spark, folder).late().select(F.col("turn").alias("record_id"), "region", "signal", F.date_format("window", "yyyy-MM").alias("period"), "days_late").distinct()
 
 
 MAX_FILL_DAYS, MAX_FILL_MONTHS = 5, 3

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoplane.functions.instants import day_number, instant_micros
 from chronoplane.operators import late_windows
+from chronoplane.plans.pipeline import late_rows
 from chronoplane.plans.pipeline_sql import _LATE_AGG
 from chronoplane.plans.registry import query
 from chronoplane.session import scratch_folder as scratch
@@ -52,15 +52,14 @@ def st4_stateful_level(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(_LATE_AGG + "SELECT *, count_closed <> count_final OR sum_closed <> sum_final AS corrected FROM u")
 def st5_late_upserts(spark: SparkSession, folder: str) -> DataFrame:
-    """The log as a stream of files: month aggregates at the close and at the cut-off from the upserted state."""
-    entity, windows = ["region", "signal"], late_windows.MonthWindows()
+    """The log as a stream of files in the order of arrival: several micro-batches, each with the watermark its files carry; months as their last update left them."""
+    entity = ["region", "signal"]
+    rows, windows = late_rows(spark, folder)
+    landing = scratch(spark, "late-landing")
+    bounds = [0, *late_windows.arrival_bounds(rows, 3), 2**62]
+    for low, high in zip(bounds, bounds[1:]):  # what arrives in a stretch is delivered before the next one begins
+        rows.where(F.col("arrived").between(low, high - 1)).withColumn("since", F.lit(low).cast("long")).write.mode("append").parquet(landing)
     sink = LateUpsert(spark, scratch(spark, "late"), entity, windows)
-
-    def prepare(df: DataFrame) -> DataFrame:
-        day = F.date_from_unix_date(day_number(F.col("as_of")))
-        return late_windows.arrivals(df, entity, day, instant_micros(F.col("available_at")), F.col("record_id"), F.col("reading.value"), windows)
-
-    sink.run(sw.open_stream(spark, f"{folder}/observation_log.parquet"), prepare)
-    out = late_windows.window_aggregates(sink.state(), entity)
+    sink.run(sw.open_stream(spark, landing), lambda df: df.drop("since"), lambda df: df.agg(F.max("since")).first()[0])
     number = lambda c: F.col(c).cast("double").alias(c)
-    return out.select(*entity, F.date_format("window", "yyyy-MM").alias("period"), "count_closed", number("sum_closed"), "count_final", number("sum_final"), "corrected")
+    return sink.aggregates().select(*entity, F.date_format("window", "yyyy-MM").alias("period"), "count_closed", number("sum_closed"), "count_final", number("sum_final"), "corrected")

@@ -122,27 +122,53 @@ def test_value_counts_profile_and_deltas(spark):
         assert s.entropy == pytest.approx(-sum(words.count(w) / len(words) * math.log(words.count(w) / len(words)) for w in set(words)))
     # adding a load and taking it back leaves the state as it was
     part = df.where("part = 1")
-    back = value_counts.apply_delta(value_counts.apply_delta(state, value_counts.load_delta(part, "part", columns())), value_counts.load_delta(part, "part", columns(), sign=-1))
+    added, taken = (value_counts.load_delta(part, "part", columns(), sign=sign) for sign in (1, -1))
+    back = value_counts.merged(state.unionByName(added).unionByName(taken))
     assert sorted(map(str, back.collect())) == sorted(map(str, state.collect()))
-    gone = value_counts.apply_delta(state, value_counts.load_delta(part, "part", columns(), sign=-1))
+    gone = value_counts.merged(state.unionByName(taken))
     assert {r.part for r in gone.select("part").distinct().collect()} == {2, None}
     assert value_counts.profile(value_counts.load_delta(df.where("false"), "part", columns())).count() == 0
 
 
-def test_count_store(spark, tmp_path):
-    rows = [(p, t, n) for p in (1, 2) for t in ("a", "b", None) for n in (1, 5)]
+def recount(df):
+    return sorted(map(str, value_counts.profile(value_counts.load_delta(df, "part", columns())).collect()))
+
+
+def test_count_store_equals_a_recount_after_every_load(spark, tmp_path):
+    rows = [(p, t, n) for p in (1, 2, 3, None) for t in ("a", "b", None, "9") for n in (1, 5, -1, (p or 9) * 7)]
     df = spark.createDataFrame(rows, "part int, t string, n long")
-    store = value_counts.CountStore(spark, str(tmp_path / "s"))
-    whole = sorted(map(str, value_counts.load_delta(df, "part", columns()).collect()))
-    assert store.tags() == []
-    for p in (1, 2):
-        for _ in range(2):  # a load that is applied again
-            store.apply(value_counts.load_delta(df.where(f"part = {p}"), "part", columns()), f"load{p}")
-    assert sorted(map(str, store.state().collect())) == whole and store.tags() == ["load1", "load2"]
-    store.apply(value_counts.load_delta(df.where("part = 2"), "part", columns(), sign=-1), "back2")
-    assert {r.part for r in store.state().collect()} == {1}
+    profile = lambda store: sorted(map(str, value_counts.profile(store.state()).collect()))
+    store = value_counts.CountStore(spark, str(tmp_path / "s"), "int")
+    assert store.loads() == [] and store.state().collect() == []
+    store.refresh(df.where("part < 3"), "part", columns())
+    assert store.loads() == ["1", "2"] and profile(store) == recount(df.where("part < 3"))
+    # opened again by name; only the loads it hasn't seen are counted
+    store = value_counts.CountStore(spark, str(tmp_path / "s"), "int")
+    changed = df.withColumn("t", F.when(F.col("part") == 1, "zz").otherwise(F.col("t")))
+    store.refresh(changed, "part", columns())
+    assert len(store.loads()) == 4 and profile(store) == recount(df)
+    for _ in range(2):  # a delta that is applied again counts once
+        store.apply(value_counts.load_delta(df.where("part = 2"), "part", columns()))
+    assert profile(store) == recount(df)
+    # a correction is what the load was, taken away, and what it is
+    was, now = (value_counts.load_delta(x.where("part = 1"), "part", columns(), sign=sign) for x, sign in ((df, -1), (changed, 1)))
+    store.apply(was.unionByName(now), "corrected")
+    assert profile(store) == recount(changed)
+    store.withdraw([2, 3])
+    left = changed.where("part = 1 or part is null")
+    assert profile(store) == recount(left)
     store.compact("c")
-    assert {r.part for r in store.state().collect()} == {1} and store.tags() == ["c"]
+    assert profile(store) == recount(left) and len(store.loads()) == 2
+
+
+def test_a_delta_of_withdrawals_alone_is_negative(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", 1), (1, "a", 1)], "part int, t string, n long")
+    store = value_counts.CountStore(spark, str(tmp_path / "s"), "int")
+    store.apply(value_counts.load_delta(df, "part", columns(), sign=-1), "early")
+    assert {r.n for r in store.state().collect()} == {-2}
+    store.refresh(spark.createDataFrame([], df.schema), "part", columns())
+    store.apply(value_counts.load_delta(df, "part", columns()))
+    assert store.state().collect() == []
 
 
 def test_out_of_order_issues(spark):
@@ -273,23 +299,73 @@ def test_late_windows(spark):
     assert late_windows.window_aggregates(none, ["region", "signal"]).collect() == []
 
 
-def test_late_windows_merge_in_any_order(spark, tmp_path):
+def test_late_batches_in_any_order(spark, tmp_path):
     df = spark.createDataFrame(ROWS, LATE)
     rows, windows = late_arrivals(df)
     keys = ["region", "signal"]
     want = sorted(map(str, late_windows.window_aggregates(late_windows.merge_state(rows, keys, windows), keys).collect()))
-    for seed in range(3):
+    for seed in range(2):
         shuffled = ROWS[:]
         random.Random(seed).shuffle(shuffled)
-        sink = LateUpsert(spark, f"{tmp_path}/{seed}", keys, windows)
-        for n in range(0, len(shuffled), 4):
-            part, _ = late_arrivals(spark.createDataFrame(shuffled[n : n + 4], LATE))
+        sink = LateUpsert(spark, f"{tmp_path}/{seed}", keys, windows, compact_every=3)
+        for n, at in enumerate(range(0, len(shuffled), 3)):
+            part, _ = late_arrivals(spark.createDataFrame(shuffled[at : at + 3], LATE))
             sink.batch(part, n)
-            sink.batch(part, n)  # a batch that is tried again
-        assert sorted(map(str, late_windows.window_aggregates(sink.state(), keys).collect())) == want
+            if n % 3 != 2:
+                sink.batch(part, n)  # a batch that is tried again
+        assert sorted(map(str, sink.aggregates().collect())) == want
         assert [r.turn for r in sink.late().collect()] == [5]
         sink.compact(99)
-        assert sorted(map(str, late_windows.window_aggregates(sink.state(), keys).collect())) == want
+        assert sorted(map(str, sink.aggregates().collect())) == want
+
+
+def test_windows_are_let_go_after_their_cutoff(spark, tmp_path):
+    keys = ["region", "signal"]
+    record = lambda i, day, at, v: ("r", "s", day, at, i, v, "x")
+    batches = [
+        ([record(1, "2020-01-10", "2020-01-11T00:00:00Z", 1.0), record(2, "2019-01-01", "2020-01-12T00:00:00Z", 9.0)], "2020-01-20"),
+        ([record(3, "2020-01-11", "2020-06-01T00:00:00Z", 2.0), record(4, "2020-05-01", "2020-06-01T00:00:00Z", 5.0)], "2020-06-02"),
+        ([record(5, "2020-05-02", "2020-09-01T00:00:00Z", 7.0), record(6, "2020-01-12", "2020-09-01T00:00:00Z", 8.0)], "2020-09-02"),
+        ([record(7, "2020-01-13", "2020-03-01T00:00:00Z", 3.0), record(8, "2020-05-03", "2020-09-03T00:00:00Z", 1.0)], "2020-09-04"),
+    ]
+    micros = lambda day: int(dt.datetime.fromisoformat(day + "T00:00:00+00:00").timestamp()) * 10**6
+    windows = late_windows.MonthWindows()
+    sink = LateUpsert(spark, str(tmp_path / "w"), keys, windows, compact_every=0)
+    held, updated = [], []
+    for n, (rows, mark) in enumerate(batches):
+        part, _ = late_arrivals(spark.createDataFrame(rows, LATE))
+        sink.batch(part, n, micros(mark))
+        sink.batch(part, n, micros(mark))
+        held.append({str(r.window)[:7] for r in sink.state().collect()})
+        updated.append({str(r.window)[:7] for r in spark.read.parquet(f"{tmp_path}/w/updates/batch={n}").collect()})
+    assert held == [{"2020-01"}, {"2020-01", "2020-05"}, {"2020-05"}, {"2020-05"}]
+    assert updated == [{"2020-01"}, {"2020-01", "2020-05"}, {"2020-05"}, {"2020-05"}]
+    # 7 was in time, but came after the watermark had let its window go
+    assert {(r.turn, r.days_late > 0) for r in sink.late().collect()} == {(2, True), (6, True), (7, False)}
+    got = {str(r.window)[:7]: (r.count_closed, float(r.sum_closed), r.count_final, float(r.sum_final), r.corrected) for r in sink.aggregates().collect()}
+    assert got == {"2019-01": (0, 0.0, 0, 0.0, False), "2020-01": (1, 1.0, 2, 3.0, True), "2020-05": (1, 5.0, 3, 13.0, True)}
+
+
+def test_replay_equals_one_pass(spark, tmp_path):
+    rng = random.Random(4)
+    days = [f"20{19 + i // 12}-{i % 12 + 1:02d}-{rng.randint(1, 28):02d}" for i in range(30)]
+    rows = []
+    for i in range(400):
+        day = rng.choice(days)
+        at = dt.datetime.fromisoformat(day) + dt.timedelta(days=rng.choice([1, 3, 40, 90, 200, 230]), hours=rng.randint(0, 50))
+        rows.append((rng.choice("ab"), "s", day, at.isoformat() + "Z", i, rng.choice([1.5, 2.25, None]), "x"))
+    arrivals, windows = late_arrivals(spark.createDataFrame(rows, LATE))
+    keys = ["region", "signal"]
+    want = sorted(map(str, late_windows.window_aggregates(late_windows.merge_state(arrivals, keys, windows), keys).collect()))
+    late = sorted(r.turn for r in late_windows.dropped_late(arrivals, windows).collect())
+    for batches in (1, 5):
+        sink = LateUpsert(spark, f"{tmp_path}/{batches}", keys, windows, compact_every=2)
+        sink.replay(arrivals, batches)
+        assert sorted(map(str, sink.aggregates().collect())) == want
+        assert sorted(r.turn for r in sink.late().collect()) == late
+    none = LateUpsert(spark, f"{tmp_path}/none", keys, windows)
+    none.replay(arrivals.where("false"), 3)
+    assert none.aggregates().collect() == [] and none.late().collect() == []
 
 
 # -- grid ------------------------------------------------------------------------------------------------------------------

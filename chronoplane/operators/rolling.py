@@ -34,13 +34,14 @@ def rolling_correlations(df: DataFrame, keys: Sequence[str], order: str, pairs:
     """Adds the correlation of each pair of columns over the last ``k`` rows under the pair's name.
 
     Null unless all ``k`` rows hold every column of the pairs, and where a column has no spread in the window. Columns
-    are taken about the series' mean, which keeps the moments well scaled.
+    are taken about the series' first value, which keeps the moments scaled and never depends on later rows: a value is
+    the same to the last bit whatever follows it.
     """
     keys = list(keys)
     columns = sorted({c for p in pairs.values() for c in p})
     whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
-    level = Window.partitionBy(*keys)
-    mid = {c: F.when(whole, F.col(c) - F.coalesce(F.percentile(c, F.lit(0.5)).over(level), F.lit(0.0))) for c in columns}
+    so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    mid = {c: F.when(whole, F.col(c) - F.first(c, ignorenulls=True).over(so_far)) for c in columns}
     rows = df.withColumns({f"_m_{c}": v for c, v in mid.items()})
     m = lambda c: F.col(f"_m_{c}")
     terms = {"_n": whole.cast("double")} | {f"_s_{c}": m(c) for c in columns} | {f"_q_{c}": m(c) * m(c) for c in columns} | {f"_x_{p}": m(a) * m(b) for p, (a, b) in pairs.items()}

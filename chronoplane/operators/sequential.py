@@ -52,7 +52,9 @@ def windowed_refits(df: DataFrame, keys: Sequence[str], order: str, columns: Seq
     rows = df.select(*keys, order, *columns).withColumn("_i", F.row_number().over(along) - 1)
     at = rows.where((F.col("_i") >= window) & ((F.col("_i") - window) % step == 0)).select(*keys, ((F.col("_i") - window) / step).cast("int").alias("refit"), F.col(order).alias("_at"))
     first = F.greatest(F.ceil((F.col("_i") - window + 1) / step), F.lit(0))
-    copies = rows.withColumn("refit", F.explode(F.sequence(first.cast("int"), F.floor(F.col("_i") / step).cast("int"))))
+    last = F.floor(F.col("_i") / step)
+    # where the step is wider than the window, some rows lie in no window; a sequence from a greater to a lesser number would run backwards
+    copies = rows.where(first <= last).withColumn("refit", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
     if spread:
         copies = copies.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "refit")
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keys)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,10 @@ from chronoplane.functions import windows as w
 from chronoplane.functions.instants import day_number, instant_micros
 from chronoplane.operators import bitemporal as bi
 from chronoplane.operators import sequential as seq
+from chronoplane.plans import signals
 from chronoplane.plans.panels import bonds, bonds_sql, daily, daily_sql
 from chronoplane.plans.registry import query, r6, s6
+from chronoplane.session import materialise
 from chronoplane.session import scratch_folder as scratch
 from chronoplane.sources import files, text_panels
 from chronoplane.tables import table
@@ -151,19 +155,11 @@ def b13_settled_deciles(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where((F.col("i") > 24) & (F.col("month") <= F.last_day(F.add_months("z", -12)))).select("source_id", "month", F.least(F.floor(F.round("p", 12) * 10), F.lit(9)).cast("int").alias("decile"))
 
 
-@query("""WITH a AS (SELECT file, max(sha256) AS s FROM panel_manifest WHERE load_id = 1 GROUP BY ALL), b AS (SELECT file, max(sha256) AS s FROM panel_manifest WHERE load_id = 2 GROUP BY ALL)
-SELECT coalesce(a.file, b.file) AS file, CASE WHEN a.file IS NULL THEN 'added' WHEN b.file IS NULL THEN 'gone' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.file = b.file WHERE a.file IS NULL OR b.file IS NULL OR a.s IS DISTINCT FROM b.s""")
-def b14_manifest_changes(spark: SparkSession, folder: str) -> DataFrame:
-    p = table(spark, folder, "panel_manifest")
-    side = lambda n: p.where(f"load_id = {n}").groupBy("file").agg(F.max("sha256").alias("sha256"))
-    return files.manifest_changes(side(1), side(2), ["file"], "sha256")
-
-
 @query("""WITH m AS (SELECT load_id, file, max(sha256) AS s FROM panel_manifest WHERE load_id IS NOT NULL GROUP BY ALL), l AS (SELECT load_id AS prior, lead(load_id) OVER (ORDER BY load_id) AS load_id FROM (SELECT DISTINCT load_id FROM m)),
 a AS (SELECT l.load_id, file, s FROM m JOIN l ON m.load_id = l.prior WHERE l.load_id IS NOT NULL), b AS (SELECT m.load_id, file, s FROM m JOIN l ON m.load_id = l.load_id)
 SELECT coalesce(a.load_id, b.load_id) AS load_id, coalesce(a.file, b.file) AS file, CASE WHEN a.load_id IS NULL THEN 'added' WHEN b.load_id IS NULL THEN 'gone' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.load_id = b.load_id AND a.file IS NOT DISTINCT FROM b.file WHERE a.load_id IS NULL OR b.load_id IS NULL OR a.s IS DISTINCT FROM b.s""")
-def b14_manifest_changes_by_load(spark: SparkSession, folder: str) -> DataFrame:
-    """Every load against the one before it (``b14_manifest_changes`` is the pair of its SQL, loads 1 and 2)."""
+def b14_manifest_changes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every load against the one before it."""
     return files.manifest_changes_by_load(table(spark, folder, "panel_manifest"), "load_id", ["file"], "sha256")
 
 
@@ -203,15 +199,39 @@ def b19_axis_history(spark: SparkSession, folder: str) -> DataFrame:
     return u.groupBy(*SERIES).agg(F.sum("length").alias("observations"), F.round(F.sum(F.coalesce(inside, F.lit(0))) / F.sum("length"), 4).alias("share_inside"), F.count_if("f").alias("spells"), F.percentile(inside, F.lit(0.5)).alias("median_length"), F.max(inside).alias("longest"), F.max(F.when(F.col("f"), F.col("end"))).alias("last_inside"))
 
 
-@query("SELECT 0::BIGINT AS changed_rows")
+def guarded_builds() -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """Every signal as a build over one daily panel (series, date, four columns): what differs between signals is the panel."""
+    first = lambda p: p.groupBy("series", F.last_day("date").alias("month"))
+    closes = lambda p: first(p).agg(*[F.max_by(c, "date").alias(c) for c in ("x", "y", "u", "v")], F.max("date").alias("date"))
+    # a month is known at its last reading
+    by_month = lambda out, p: out.join(closes(p).select("series", "month", "date"), ["series", "month"]).drop("month")
+    entities = lambda p: closes(p).select("series", "month", F.inline(F.array(*[F.struct(F.lit(c).alias("entity"), (F.abs(F.col(c)) + 0.01).alias("value")) for c in ("x", "y", "u", "v")])))
+    known = lambda p: closes(p).select("series", "month", F.col("x").alias("ebp"))
+    return {
+        "volatility": lambda p: signals.volatility(p.select("series", "date", F.col("x").alias("mkt_ret")), burn_in=63, window=126, step=252),
+        "stock_bond_daily": lambda p: signals.stock_bond_daily(p.select("series", "date", F.col("x").alias("eq"), F.col("y").alias("bond"))),
+        "stock_bond_monthly": lambda p: by_month(signals.stock_bond_monthly(closes(p).select("series", "month", F.col("x").alias("eq"), F.col("y").alias("bond")), 12, 24), p),
+        "valuation": lambda p: by_month(signals.valuation(closes(p).select("series", "month", (2 + F.col("x")).alias("price"), (2 + F.col("y")).alias("earnings"), (2 + F.col("u")).alias("cpi")), 12, 24), p),
+        "concentration": lambda p: by_month(signals.concentration(entities(p), 24), p),
+        "credit": lambda p: by_month(signals.credit(known(p), 24).drop("as_of").withColumnRenamed("obs_month", "month"), p),
+        "tail": lambda p: signals.tail(p.select("series", "date", (100 + 1000 * F.col("x")).alias("skew"))),
+        "cross_section": lambda p: signals.cross_section(p, ["x", "y", "u", "v"]),
+        "informativeness": lambda p: signals.informativeness(signals.tail(p.select("series", "date", (100 + 1000 * F.col("x")).alias("skew"))), "date", "rn_skew_pctile"),
+    }
+
+
+@query("SELECT build, 0::BIGINT AS changed_rows FROM (VALUES " + ", ".join(f"('{n}')" for n in sorted(signals.SIGNALS)) + ") t(build)")
 def b21_look_ahead_guard(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of the volatility build that change when the future is replaced: none."""
-    a = w.Along("source_id", "date")
-    build = lambda p: p.select("source_id", "date", a.realized_vol(F.col("mkt_ret")).alias("vol"), a.expanding_z(F.col("mkt_ret"), 63).alias("z"))
-    import datetime
-
-    changed = bi.look_ahead(build, daily(spark, folder, "mkt_ret"), ["source_id"], "date", ["mkt_ret"], datetime.date(2010, 6, 30))
-    return changed.agg(F.count(F.lit(1)).alias("changed_rows"))
+    """Rows of each of the nine signals that change, to the last bit, when all after a day is replaced by noise: none."""
+    columns = {"mkt_ret": "x", "bond10_ret": "y", "ind_nodur": "u", "ind_hlth": "v"}
+    panel = daily(spark, folder, *columns).where("mkt_ret > -1 and mkt_ret < 1").withColumnsRenamed({"source_id": "series", **columns})
+    panel = materialise(panel, "guarded-panel")  # every build reads it twice
+    cut = panel.agg(F.date_from_unix_date(F.percentile_approx(F.unix_date("date"), F.lit(0.7))).alias("d")).first()["d"]
+    out = None
+    for name, build in guarded_builds().items():
+        changed = bi.look_ahead(build, panel, ["series"], "date", list(columns.values()), cut).agg(F.lit(name).alias("build"), F.count(F.lit(1)).alias("changed_rows"))
+        out = changed if out is None else out.unionByName(changed)
+    return out
 
 
 # -- sources and sinks -------------------------------------------------------------------------------------------------
@@ -305,6 +325,15 @@ def sc13_file_digests(spark: SparkSession, folder: str) -> DataFrame:
     return files.file_digests(spark, folder)
 
 
+@query("SELECT n_name AS name, length(n_name) + 1 AS bytes, sha256(n_name || chr(10)) AS sha256 FROM nation")
+def sc13_known_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    """A file for every nation, of its name and a line feed, digested."""
+    path = scratch(spark, "bytes")
+    table(spark, folder, "nation").select("n_name", F.col("n_name").alias("value")).repartition("n_name").write.partitionBy("n_name").text(path)
+    rows = files.file_digests(spark, path).where("file like 'n_name=%'")
+    return rows.select(F.url_decode(F.regexp_extract("file", "^n_name=([^/]*)/", 1)).alias("name"), "bytes", "sha256")
+
+
 @query("WITH c AS (SELECT lower(trim(sha256)) AS sha256, wayback_timestamp, series FROM vintage_manifest WHERE sha256 IS NOT NULL), k AS (SELECT sha256, min(struct_pack(wayback_timestamp := wayback_timestamp, series := series)) AS r FROM c GROUP BY ALL) SELECT sha256, r.wayback_timestamp, r.series FROM k")
 def sc14_archive_index(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "vintage_manifest").withColumn("sha256", F.lower(F.trim("sha256")))

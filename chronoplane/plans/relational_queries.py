@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoplane.functions import windows as w
+from chronoplane.functions.instants import nan_to_null
 from chronoplane.operators import calendar
 from chronoplane.plans.panels import ASSETS, INDUSTRIES, bonds, bonds_sql, daily, daily_sql
 from chronoplane.plans.registry import query, r6, s6
@@ -29,10 +30,10 @@ def pf2_column_arithmetic(spark: SparkSession, folder: str) -> DataFrame:
     return daily(spark, folder, "mkt_ret", "rf", "bond10_ret").select("source_id", "date", r6(m - rf, 9).alias("excess"), r6((m + rf) / 100, 9).alias("scaled"), r6(m / F.nullif(b, F.lit(0.0)) - 1).alias("ratio"))
 
 
-@query("SELECT DISTINCT source_id, date, load_id, mkt_ret FROM assets_daily WHERE date BETWEEN DATE '2008-01-01' AND DATE '2010-12-31'")
+@query("SELECT DISTINCT source_id, date, load_id, CASE WHEN NOT isnan(mkt_ret) THEN mkt_ret END AS mkt_ret FROM assets_daily WHERE date BETWEEN DATE '2008-01-01' AND DATE '2010-12-31'")
 def pf3_date_slice(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "assets_daily").where(F.col("date").between("2008-01-01", "2010-12-31"))
-    return rows.select("source_id", "date", "load_id", "mkt_ret").distinct()
+    return rows.select("source_id", "date", "load_id", nan_to_null(F.col("mkt_ret")).alias("mkt_ret")).distinct()
 
 
 @query("SELECT load_id, file, CASE WHEN bytes < 0 THEN NULL ELSE bytes END AS bytes, nullif(rows, 0) AS rows, nullif(sha256, '') AS sha256 FROM (SELECT DISTINCT load_id, file, bytes, rows, sha256 FROM panel_manifest)")
@@ -221,13 +222,8 @@ def j12_nearest_prior_crossing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # -- sorts, limits, sets -----------------------------------------------------------------------------------------------
-@query("SELECT r_regionkey, r_name FROM region ORDER BY r_name")
-def s1_s4_order(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "region").select("r_regionkey", "r_name").orderBy("r_name")
-
-
 @query("SELECT region, signal, as_of, available_at, record_id FROM observation_log ORDER BY ALL")
-def s1_s4_log_order(spark: SparkSession, folder: str) -> DataFrame:
+def s1_s4_order(spark: SparkSession, folder: str) -> DataFrame:
     """The whole log in one order."""
     columns = ["region", "signal", "as_of", "available_at", "record_id"]
     return table(spark, folder, "observation_log").select(*columns).orderBy(*columns)
@@ -249,16 +245,10 @@ def s5_intersection(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "observation_log").select("region", "signal").intersect(table(spark, folder, "vintage_capture").select("region", "signal"))
 
 
-@query("SELECT file FROM (SELECT file FROM panel_manifest WHERE load_id = 1 EXCEPT SELECT file FROM panel_manifest WHERE load_id = 2)")
-def s6_difference(spark: SparkSession, folder: str) -> DataFrame:
-    p = table(spark, folder, "panel_manifest")
-    return p.where("load_id = 1").select("file").exceptAll(p.where("load_id = 2").select("file")).distinct().join(p.where("load_id = 2").select("file"), "file", "left_anti")
-
-
 @query("""WITH l AS (SELECT load_id AS prior, lead(load_id) OVER (ORDER BY load_id) AS load_id FROM (SELECT DISTINCT load_id FROM panel_manifest WHERE load_id IS NOT NULL))
 SELECT l.load_id, file FROM panel_manifest p JOIN l ON p.load_id = l.prior WHERE l.load_id IS NOT NULL EXCEPT SELECT load_id, file FROM panel_manifest""")
-def s6_difference_by_load(spark: SparkSession, folder: str) -> DataFrame:
-    """Files that the load before each load had and it hasn't (``s6_difference`` is the pair of its SQL, loads 1 and 2)."""
+def s6_difference(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that the load before each load had and it hasn't."""
     p = table(spark, folder, "panel_manifest").select("load_id", "file")
     had = p.join(consecutive_loads(p, "load_id"), "load_id").where("following is not null").select(F.col("following").alias("load_id"), "file")
     return had.subtract(p)

@@ -49,7 +49,10 @@ def test_query_equals_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
 def test_query_runs(spark, name):
-    assert entry.queries()[name](spark, FOLDER).columns
+    df = entry.queries()[name](spark, FOLDER)
+    rows = df.collect()
+    assert rows and all(len(r) == len(df.columns) for r in rows)
+    assert len(set(df.columns)) == len(df.columns) and any(any(v is not None for v in r) for r in rows)
 
 
 def test_no_case_comes_twice(spark):

@@ -26,13 +26,13 @@ def test_every_load_is_compared_with_the_one_before(spark):
 def test_load_queries_reach_the_last_load(spark, tmp_path):
     rows = [(n, f, f"{f}{n // 3}") for n in range(1, 7) for f in "abcd" if (n, f) not in {(6, "a"), (3, "c")}]
     spark.createDataFrame(rows, "load_id long, file string, sha256 string").write.parquet(f"{tmp_path}/panel_manifest.parquet")
-    changes = {tuple(r) for r in entry.queries()["b14_manifest_changes_by_load"](spark, str(tmp_path)).collect()}
+    changes = {tuple(r) for r in entry.queries()["b14_manifest_changes"](spark, str(tmp_path)).collect()}
     assert {(6, "a", "gone"), (3, "c", "gone"), (4, "c", "added"), (3, "b", "changed"), (6, "b", "changed")} <= changes
-    assert {tuple(r) for r in entry.queries()["s6_difference_by_load"](spark, str(tmp_path)).collect()} == {(6, "a"), (3, "c")}
+    assert {tuple(r) for r in entry.queries()["s6_difference"](spark, str(tmp_path)).collect()} == {(6, "a"), (3, "c")}
 
 
 def test_log_is_sorted_whole(spark):
-    rows = entry.queries()["s1_s4_log_order"](spark, FOLDER).collect()
+    rows = entry.queries()["s1_s4_order"](spark, FOLDER).collect()
     key = lambda r: [(x is not None, x) for x in r]
     assert len(rows) > 100 and rows == sorted(rows, key=key)
 

@@ -131,7 +131,7 @@ def p6_grid(spark: SparkSession, folder: str) -> DataFrame:
     monthly = monthly.select("source_id", "p", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields]))).where("value is not null")
     months = regular_grid.onto_grid(monthly, ["source_id", "field"], "p", "value", 120, MAX_FILL_MONTHS)
     months = months.withColumn("period", F.date_format(regular_grid.month_date(F.col("p")), "yyyy-MM"))
-    return days.unionByName(months).select("source_id", "field", "period", "value", "status")
+    return days.unionByName(months).select("source_id", "field", "period", (F.round("value", 9) + F.lit(0.0)).alias("value"), "status")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:

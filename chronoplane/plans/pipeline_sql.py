@@ -138,3 +138,34 @@ SELECT source_id, 'mkt_ret' AS field, strftime(date, '%Y-%m-%d') AS period FROM
 UNION ALL
 SELECT mg.source_id, mg.field, strftime(mg.mo, '%Y-%m') FROM mg LEFT JOIN m USING (source_id, field, mo) WHERE m.mo IS NULL
 """
+
+
+def _edge_sql(h0: str, h1: str, s0: str, s1: str) -> str:
+    """Three-point slope at an end, held to the shape; the secant where there is no second interval."""
+    d = f"(((2 * {h0} + {h1}) * {s0} - {h0} * {s1}) / ({h0} + {h1}))"
+    return f"CASE WHEN {h1} IS NULL THEN {s0} WHEN sign({d}) <> sign({s0}) THEN 0 WHEN sign({s0}) <> sign({s1}) AND abs({d}) > 3 * abs({s0}) THEN 3 * {s0} ELSE {d} END"
+
+
+def _inner_sql(h0: str, h1: str, s0: str, s1: str) -> str:
+    return f"CASE WHEN {s0} * {s1} <= 0 THEN 0 ELSE 3 * ({h0} + {h1}) / ((2 * {h1} + {h0}) / {s0} + ({h1} + 2 * {h0}) / {s1}) END"
+
+
+# positions are weekdays or months counted on; a weekend day lies between Friday and Monday
+SQL["p6_grid"] = f"""
+WITH d AS (SELECT source_id, date, max(mkt_ret) AS v FROM assets_daily WHERE mkt_ret IS NOT NULL AND NOT isnan(mkt_ret) GROUP BY ALL),
+w AS (SELECT source_id, date, v, (date - DATE '1969-12-29')::BIGINT AS n FROM d),
+dp AS (SELECT source_id, 'mkt_ret' AS field, n // 7 * 5 + least(n % 7, 4) + CASE WHEN n % 7 > 4 THEN 0.5 ELSE 0 END AS p, max_by(v, date) AS v, 5 AS fill FROM w GROUP BY ALL),
+b AS (SELECT source_id, 'jp_bond10_ret' AS field, date, jp_bond10_ret AS v FROM intl_bonds_monthly UNION ALL SELECT source_id, 'de_bond10_ret', date, de_bond10_ret FROM intl_bonds_monthly),
+mp AS (SELECT source_id, field, year(date) * 12 + month(date) - 1 AS p, max(struct_pack(d := date, v := v)).v AS v, 3 AS fill FROM b WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY ALL),
+r AS (SELECT source_id, field, p::DOUBLE AS p, v, fill FROM dp UNION ALL SELECT source_id, field, p::DOUBLE, v, fill FROM mp),
+x AS (SELECT *, lag(p) OVER o AS pb, lag(v) OVER o AS vb, lead(p) OVER o AS pa, lead(v) OVER o AS va, lead(p, 2) OVER o AS pc, lead(v, 2) OVER o AS vc FROM r WINDOW o AS (PARTITION BY source_id, field ORDER BY p)),
+h AS (SELECT *, pa - p AS h, (va - v) / (pa - p) AS s, ceil(pa) - floor(p) - 1 > fill AS gap, CASE WHEN ceil(p) - floor(pb) - 1 <= fill THEN p - pb END AS hb, CASE WHEN ceil(pc) - floor(pa) - 1 <= fill THEN pc - pa END AS hc FROM x),
+s AS (SELECT *, (v - vb) / hb AS sb, (vc - va) / hc AS sc FROM h),
+k AS (SELECT *, CASE WHEN hb IS NOT NULL THEN {_inner_sql('hb', 'h', 'sb', 's')} ELSE {_edge_sql('h', 'hc', 's', 'sc')} END AS d0, CASE WHEN hc IS NOT NULL THEN {_inner_sql('h', 'hc', 's', 'sc')} ELSE {_edge_sql('h', 'hb', 's', 'sb')} END AS d1 FROM s),
+g AS (SELECT *, unnest(generate_series(ceil(p)::BIGINT, CASE WHEN pa IS NULL THEN floor(p) ELSE ceil(pa) - 1 END::BIGINT)) AS q FROM k),
+t AS (SELECT *, (q - p) / h AS t FROM g),
+y AS (SELECT source_id, field, q, CASE WHEN q = p THEN 'observed' WHEN gap THEN 'gap' ELSE 'filled' END AS status,
+        CASE WHEN q = p THEN v WHEN NOT gap THEN (1 + 2 * t) * (1 - t) ** 2 * v + t * (1 - t) ** 2 * h * d0 + t * t * (3 - 2 * t) * va + t * t * (t - 1) * h * d1 END AS value FROM t)
+SELECT source_id, field, CASE WHEN field = 'mkt_ret' THEN strftime(DATE '1969-12-29' + (q // 5 * 7 + q % 5)::INT, '%Y-%m-%d') ELSE strftime(make_date(q // 12, q % 12 + 1, 1), '%Y-%m') END AS period,
+       round(value, 9) + 0.0 AS value, status FROM y
+"""

@@ -15,7 +15,7 @@ from chronoplane.operators import inference, linalg
 from chronoplane.operators import sequential as q
 from chronoplane.plans.panels import bonds, bonds_sql, daily, daily_sql
 from chronoplane.plans.registry import query, r6, s6
-from chronoplane.plans.window_queries import SEQ, A, ahead, guarded
+from chronoplane.plans.window_queries import EVER, SEQ, A, ahead, guarded
 
 ORDERED = f"n AS (SELECT source_id, date, mkt_ret, row_number() {SEQ} AS i FROM p WHERE mkt_ret > -1 AND mkt_ret < 1)"
 
@@ -141,7 +141,12 @@ def r7_walk_forward(spark: SparkSession, folder: str) -> DataFrame:
     return q.along_series(returns(spark, folder), ["source_id"], "date", ["mkt_ret"], _walk, "state int")
 
 
-@query()
+@query(f"""WITH RECURSIVE {daily_sql('mkt_ret')}, {ORDERED}, x AS (SELECT source_id, date, i, exp(sum(ln(1 + mkt_ret)) {SEQ}) AS px FROM n),
+w AS (SELECT source_id, i, true AS rising, 1::BIGINT AS best, px AS top, NULL::BIGINT AS since, NULL::INT AS phase FROM x WHERE i = 1
+UNION ALL SELECT w.source_id, x.i, CASE WHEN turn THEN NOT rising ELSE rising END, CASE WHEN better OR turn THEN x.i ELSE best END, CASE WHEN better OR turn THEN px ELSE top END, CASE WHEN turn THEN best + 1 END, CASE WHEN turn THEN rising::INT END
+FROM (SELECT w.*, x.i AS j, x.px AS v, (x.px > top) = rising AND x.px <> top AS better, CASE WHEN rising THEN x.px / top - 1 <= -0.2 ELSE x.px / top - 1 >= 0.2 END AS turn FROM w JOIN x ON x.source_id = w.source_id AND x.i = w.i + 1) w JOIN x ON x.source_id = w.source_id AND x.i = w.j),
+t AS (SELECT source_id, since, phase FROM w WHERE since IS NOT NULL)
+SELECT x.source_id, x.date, coalesce(max_by(t.phase, t.since), 0) AS phase FROM x LEFT JOIN t ON t.source_id = x.source_id AND t.since <= x.i GROUP BY ALL""")
 def r8_bull_bear(spark: SparkSession, folder: str) -> DataFrame:
     return q.along_series(returns(spark, folder), ["source_id"], "date", ["mkt_ret"], lambda g: {"phase": q.bull_bear(np.cumprod(1 + g["mkt_ret"].to_numpy(float)))}, "phase int")
 
@@ -182,7 +187,13 @@ def _hmm(g: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([{"source_id": g["source_id"].iloc[0], "loglik": q.hmm_log_likelihood(log, sticky, np.array([0.5, 0.5])), "wide_share": float((log.argmax(1) == 1).mean())}])
 
 
-@query()
+@query(f"""WITH RECURSIVE {daily_sql('mkt_ret')}, {ORDERED}, m AS (SELECT source_id, avg(mkt_ret) AS m, coalesce(nullif(stddev_pop(mkt_ret), 0), 1) AS s FROM n GROUP BY ALL),
+d AS (SELECT source_id, i, -0.5 * (pow((mkt_ret - m) / (0.7 * s), 2) + ln(2 * pi())) - ln(0.7 * s) AS a, -0.5 * (pow((mkt_ret - m) / (1.8 * s), 2) + ln(2 * pi())) - ln(1.8 * s) AS b FROM n JOIN m USING (source_id)),
+e AS (SELECT source_id, i, greatest(a, b) AS top, exp(a - greatest(a, b)) AS p, exp(b - greatest(a, b)) AS q, b > a AS wide FROM d),
+h AS (SELECT source_id, i, ln(0.5 * p + 0.5 * q) + top AS total, p / (p + q) AS x, q / (p + q) AS y FROM e WHERE i = 1
+UNION ALL SELECT h.source_id, e.i, h.total + ln((0.98 * x + 0.05 * y) * p + (0.02 * x + 0.95 * y) * q) + top, (0.98 * x + 0.05 * y) * p / ((0.98 * x + 0.05 * y) * p + (0.02 * x + 0.95 * y) * q), (0.02 * x + 0.95 * y) * q / ((0.98 * x + 0.05 * y) * p + (0.02 * x + 0.95 * y) * q)
+FROM h JOIN e ON e.source_id = h.source_id AND e.i = h.i + 1)
+SELECT source_id, {s6('max_by(total, i)')} AS loglik, {s6('w')} AS wide_share FROM h JOIN (SELECT source_id, avg(wide::INT) AS w FROM e GROUP BY ALL) USING (source_id) GROUP BY source_id, w""")
 def r12_hidden_states(spark: SparkSession, folder: str) -> DataFrame:
     """Log likelihood under a fixed sticky two-state model, and the share of rows nearer the wide state by emission alone."""
     return _nan_to_null(returns(spark, folder).groupBy("source_id").applyInPandas(_hmm, "source_id string, loglik double, wide_share double"), "loglik", "wide_share")
@@ -232,7 +243,17 @@ def r16_vol_target(spark: SparkSession, folder: str) -> DataFrame:
     return _nan_to_null(q.along_series(returns(spark, folder), ["source_id"], "date", ["mkt_ret"], lambda g: {"weight": q.vol_target(g["mkt_ret"].to_numpy(float))}, "weight double"), "weight", digits=5)
 
 
-@query()
+def _deepest(k: int) -> str:
+    """The deepest fall ``t{k}`` of what earlier ones left, from its peak to the return there, and what it leaves (``l{k}``)."""
+    return f""", m{k} AS (SELECT source_id, min_by(i, struct_pack(f := fall, i := i)) AS low, min(fall) AS depth FROM l{k - 1} GROUP BY source_id HAVING min(fall) < 0),
+a{k} AS (SELECT m.*, l.pk AS was FROM m{k} m JOIN l{k - 1} l ON l.source_id = m.source_id AND l.i = m.low),
+t{k} AS (SELECT a.source_id, low, depth, max(i) FILTER (i <= low AND eq = was) AS top, coalesce(min(i) FILTER (i >= low AND eq >= was), max(i)) AS fin FROM a{k} a JOIN l{k - 1} l ON l.source_id = a.source_id GROUP BY a.source_id, low, depth),
+l{k} AS (SELECT l.source_id, l.date, l.i, l.eq, l.pk, CASE WHEN l.i BETWEEN t.top AND t.fin THEN 0 ELSE l.fall END AS fall FROM l{k - 1} l LEFT JOIN t{k} t ON t.source_id = l.source_id)"""
+
+
+@query(f"""WITH {daily_sql('mkt_ret')}, {ORDERED}, e AS (SELECT source_id, date, i, exp(sum(ln(1 + mkt_ret)) {SEQ}) AS eq FROM n), l0 AS (SELECT *, eq / pk - 1 AS fall FROM (SELECT *, max(eq) {SEQ} AS pk FROM e)){''.join(map(_deepest, range(1, 6)))},
+u AS ({' UNION ALL '.join(f'SELECT * FROM t{k}' for k in range(1, 6))})
+SELECT u.source_id, row_number() OVER (PARTITION BY u.source_id ORDER BY depth, low)::INT AS place, a.date AS peak, b.date AS trough, c.date AS end, {s6('depth')} AS depth FROM u JOIN n a ON a.source_id = u.source_id AND a.i = u.top JOIN n b ON b.source_id = u.source_id AND b.i = u.low JOIN n c ON c.source_id = u.source_id AND c.i = u.fin""")
 def w18_drawdown_episodes(spark: SparkSession, folder: str) -> DataFrame:
     """The five deepest falls of each feed."""
 
@@ -244,7 +265,9 @@ def w18_drawdown_episodes(spark: SparkSession, folder: str) -> DataFrame:
     return _nan_to_null(returns(spark, folder).groupBy("source_id").applyInPandas(run, "source_id string, place int, peak date, trough date, end date, depth double"), "depth")
 
 
-@query()
+@query(f"""WITH {daily_sql('mkt_ret')}, {ORDERED}, v AS (SELECT source_id, date, {guarded('stddev_samp', 'mkt_ret', 20)} AS v FROM n), r AS (SELECT source_id, date, CASE WHEN count(v) {EVER} >= 20 THEN (v > avg(v) {EVER})::INT::DOUBLE END AS raw FROM v),
+g AS (SELECT *, sum(c) {SEQ} AS run FROM (SELECT *, CASE WHEN raw IS DISTINCT FROM lag(raw) {SEQ} THEN 1 ELSE 0 END AS c FROM r)), l AS (SELECT source_id, date, raw, row_number() OVER (PARTITION BY source_id, run ORDER BY date) AS k FROM g)
+SELECT source_id, date, coalesce(last_value(CASE WHEN k >= 5 THEN raw END IGNORE NULLS) {EVER}, first_value(raw IGNORE NULLS) {EVER}) AS held FROM l""")
 def w25_hysteresis(spark: SparkSession, folder: str) -> DataFrame:
     """High-volatility flag that changes only after five rows in a row."""
     rows = returns(spark, folder).withColumn("v", A.std(F.col("mkt_ret"), 20)).withColumn("raw", (F.col("v") > A.expanding(F.avg, F.col("v"), 20)).cast("double"))
@@ -361,7 +384,13 @@ def i5_bootstrap_interval(spark: SparkSession, folder: str) -> DataFrame:
 _XS = ["smb", "hml", "mom"]
 
 
-@query()
+@query(f"""WITH {daily_sql('mkt_ret', *_XS)}, r AS (SELECT source_id, mkt_ret AS y, smb AS a, hml AS b, mom AS c FROM p WHERE mkt_ret > -1 AND mkt_ret < 1 AND smb IS NOT NULL AND hml IS NOT NULL AND mom IS NOT NULL),
+q AS (SELECT source_id, count(*) AS n, avg(y) AS y, avg(a) AS a, avg(b) AS b, avg(c) AS c, var_pop(y) AS yy, var_pop(a) AS aa, var_pop(b) AS bb, var_pop(c) AS cc, covar_pop(a, b) AS ab, covar_pop(a, c) AS ac, covar_pop(b, c) AS bc, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_, covar_pop(c, y) AS cy FROM r GROUP BY ALL),
+d AS (SELECT *, nullif(aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac), 0) AS det, nullif(aa * bb - ab * ab, 0) AS two FROM q),
+s AS (SELECT *, (ay * (bb * cc - bc * bc) - ab * (by_ * cc - bc * cy) + ac * (by_ * bc - bb * cy)) / det AS b1, (aa * (by_ * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - by_ * ac)) / det AS b2, (aa * (bb * cy - by_ * bc) - ab * (ab * cy - by_ * ac) + ay * (ab * bc - bb * ac)) / det AS b3,
+  ((ay * bb - by_ * ab) * ay + (by_ * aa - ay * ab) * by_) / two / nullif(yy, 0) AS part FROM d)
+SELECT source_id, n, {', '.join(s6(f'CASE WHEN n > 4 THEN {x} END') + f' AS b{i}' for i, x in enumerate(('y - b1 * a - b2 * b - b3 * c', 'b1', 'b2', 'b3')))},
+  {s6('CASE WHEN n > 4 THEN (b1 * ay + b2 * by_ + b3 * cy) / nullif(yy, 0) END')} AS r2_full, {s6('CASE WHEN n > 4 THEN (b1 * ay + b2 * by_ + b3 * cy) / nullif(yy, 0) - part END')} AS gain FROM s""")
 def i6_i8_multivariate_ols(spark: SparkSession, folder: str) -> DataFrame:
     """Market return on three factors per feed, with and without the last: R2 of both and the gain."""
     rows = daily(spark, folder, "mkt_ret", *_XS).where("mkt_ret > -1 and mkt_ret < 1")

@@ -128,7 +128,22 @@ def b9_validate_records(spark: SparkSession, folder: str) -> DataFrame:
     return bi.validate(raw_records(spark, folder), "record_id", "text")
 
 
-@query()
+_STRUCTS = {
+    "assessment": ("evidence_maturity", "investment_usefulness", "measurement_validity", "mechanism"), "rarity": ("basis", "level_percentile", "window"), "reading": ("estimator", "undefined_reason", "units", "value"),
+}
+
+
+def _canonical_sql() -> str:
+    """The canonical text: keys in order, no blanks, nulls written out."""
+    cell = lambda name, at: f"""'"{name}":' || coalesce(to_json({at})::VARCHAR, 'null')"""
+    parts = []
+    for name in ("as_of", "assessment", "assumption_monitored", "available_at", "clock", "maturity", "rarity", "reading", "signal", "spec_version", "supersedes"):
+        inner = " || ',' || ".join(cell(f, f'{name}."{f}"') for f in _STRUCTS.get(name, ()))
+        parts.append(f"""'"{name}":' || CASE WHEN {name} IS NULL THEN 'null' ELSE '{{' || {inner} || '}}' END""" if inner else cell(name, name))
+    return "'{' || " + " || ',' || ".join(parts) + " || '}'"
+
+
+@query(f"SELECT DISTINCT record_id, sha256({_canonical_sql()}) AS sha256 FROM observation_log")
 def b6_canonical_hash(spark: SparkSession, folder: str) -> DataFrame:
     return raw_records(spark, folder).select("record_id", bi.sha256_of_json(F.col("text")).alias("sha256"))
 

@@ -115,7 +115,7 @@ def _jump(g: pd.DataFrame) -> dict:
     x = _features(r)[burn:] if len(r) > 2 * burn else np.empty((0, 3))
     if len(x) and np.isfinite(x).all() and (x.std(0) > 0).all():
         z = (x - x.mean(0)) / x.std(0)
-        state[burn:] = q.fit_jump_model(z, 2, 25.0, starts=4)["path"]
+        state[burn:] = q.fit_jump_model(z, 2, 25.0, starts=10)["path"]
     return {"state": state}
 
 
@@ -125,19 +125,23 @@ def r6_jump_model(spark: SparkSession, folder: str) -> DataFrame:
     return q.along_series(returns(spark, folder), ["source_id"], "date", ["mkt_ret"], _jump, "state double").withColumn("state", F.when(~F.isnan("state"), F.col("state").cast("int")))
 
 
+#: Penalties, rows before the first refit, rows between refits, rows held out to choose the penalty, starts of each fit.
+PENALTIES, FIRST, REFIT, HELD_OUT, STARTS = (10.0, 25.0, 50.0, 100.0, 200.0, 400.0, 800.0), 1_260, 252, 1_008, 5
+
+
 def _walk(g: pd.DataFrame) -> dict:
     r = g["mkt_ret"].to_numpy(float)
     state = np.full(len(r), -1)
-    if len(r) > 63 + 400:
+    if len(r) > 63 + FIRST:
         x = _features(r)
         if np.isfinite(x[63:]).all():
-            state, _ = q.walk_forward(r, x, 63, 400, 252, (5.0, 25.0, 100.0), 126)
+            state, _ = q.walk_forward(r, x, 63, FIRST, REFIT, PENALTIES, HELD_OUT, starts=STARTS)
     return {"state": state}
 
 
 @query()
 def r7_walk_forward(spark: SparkSession, folder: str) -> DataFrame:
-    """Out-of-sample states with expanding refits and a penalty chosen on held-out rows; -1 before the first refit."""
+    """Out-of-sample states with yearly refits on the expanding history and a penalty chosen on the last 1,008 rows of it; -1 before the first refit, and so for all rows of feeds up to 1,323 rows."""
     return q.along_series(returns(spark, folder), ["source_id"], "date", ["mkt_ret"], _walk, "state int")
 
 
@@ -253,7 +257,7 @@ l{k} AS (SELECT l.source_id, l.date, l.i, l.eq, l.pk, CASE WHEN l.i BETWEEN t.to
 
 @query(f"""WITH {daily_sql('mkt_ret')}, {ORDERED}, e AS (SELECT source_id, date, i, exp(sum(ln(1 + mkt_ret)) {SEQ}) AS eq FROM n), l0 AS (SELECT *, eq / pk - 1 AS fall FROM (SELECT *, max(eq) {SEQ} AS pk FROM e)){''.join(map(_deepest, range(1, 6)))},
 u AS ({' UNION ALL '.join(f'SELECT * FROM t{k}' for k in range(1, 6))})
-SELECT u.source_id, row_number() OVER (PARTITION BY u.source_id ORDER BY depth, low)::INT AS place, a.date AS peak, b.date AS trough, c.date AS end, {s6('depth')} AS depth FROM u JOIN n a ON a.source_id = u.source_id AND a.i = u.top JOIN n b ON b.source_id = u.source_id AND b.i = u.low JOIN n c ON c.source_id = u.source_id AND c.i = u.fin""")
+SELECT u.source_id, row_number() OVER (PARTITION BY u.source_id ORDER BY depth, low)::INT AS place, a.date AS peak, b.date AS trough, c.date AS end, {s6('depth', 9)} AS depth FROM u JOIN n a ON a.source_id = u.source_id AND a.i = u.top JOIN n b ON b.source_id = u.source_id AND b.i = u.low JOIN n c ON c.source_id = u.source_id AND c.i = u.fin""")
 def w18_drawdown_episodes(spark: SparkSession, folder: str) -> DataFrame:
     """The five deepest falls of each feed."""
 
@@ -262,7 +266,7 @@ def w18_drawdown_episodes(spark: SparkSession, folder: str) -> DataFrame:
         rows = q.drawdown_episodes(g["date"].tolist(), g["mkt_ret"].to_numpy(float))
         return pd.DataFrame([(g["source_id"].iloc[0], i + 1, *e) for i, e in enumerate(rows)], columns=["source_id", "place", "peak", "trough", "end", "depth"])
 
-    return _nan_to_null(returns(spark, folder).groupBy("source_id").applyInPandas(run, "source_id string, place int, peak date, trough date, end date, depth double"), "depth")
+    return _nan_to_null(returns(spark, folder).groupBy("source_id").applyInPandas(run, "source_id string, place int, peak date, trough date, end date, depth double"), "depth", digits=9)
 
 
 @query(f"""WITH {daily_sql('mkt_ret')}, {ORDERED}, v AS (SELECT source_id, date, {guarded('stddev_samp', 'mkt_ret', 20)} AS v FROM n), r AS (SELECT source_id, date, CASE WHEN count(v) {EVER} >= 20 THEN (v > avg(v) {EVER})::INT::DOUBLE END AS raw FROM v),

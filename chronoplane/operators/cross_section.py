@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,3 +73,38 @@ def with_prices(df: DataFrame, keys: Sequence[str], order: str, columns: Sequenc
     """Adds ``_p_`` columns: compounded prices, null where the return is null."""
     along = Along(keys, order)
     return df.withColumns({f"_p_{c}": F.when(F.col(c) > -1, F.exp(F.sum(F.log1p(F.when(F.col(c) > -1, F.col(c)))).over(along.ever()))) for c in columns})
+
+
+def silhouettes(df: DataFrame, keys: Sequence[str], order: str, features: Sequence[str], label: str) -> DataFrame:
+    """Keys, ``n`` and mean ``silhouette`` of the labelled rows; null where a key has one label only, 0 for a row alone in its label.
+
+    Distances are Euclidean and taken in blocks of 256 rows, so a key needs memory for its rows times 256; a key has at
+    most one row a day. Features and label have no nulls.
+    """
+    keys = list(keys)
+    rows = df.select(*keys, order, *features, F.col(label).alias("_label"))
+    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c in keys)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        x = group[list(features)].to_numpy(float)
+        names, at = np.unique(group["_label"].to_numpy(), return_inverse=True)
+        count = np.bincount(at)
+        value = np.nan
+        if len(names) > 1:
+            member = (at[:, None] == np.arange(len(names))).astype(float)
+            total = 0.0
+            for begin in range(0, len(x), 256):
+                part = slice(begin, begin + 256)
+                distance = np.sqrt(((x[part, None, :] - x[None]) ** 2).sum(-1)) @ member
+                mine = at[part]
+                here = np.arange(len(mine))
+                own = distance[here, mine] / np.maximum(count[mine] - 1, 1)
+                mean = distance / count
+                mean[here, mine] = np.inf
+                other = mean.min(1)
+                most = np.maximum(own, other)
+                total += float(np.where((count[mine] > 1) & (most > 0), (other - own) / np.where(most > 0, most, 1), 0.0).sum())
+            value = total / len(x)
+        return pd.DataFrame([[*(group[k].iloc[0] for k in keys), len(x), value]], columns=[*keys, "n", "silhouette"])
+
+    return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, n long, silhouette double")

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronoplane.functions.windows import corr
+from chronoplane.operators.linalg import ridge_cv
+
 
 def chi2_tail(statistic: float) -> float:
     """Tail probability of chi-squared with one degree of freedom."""
@@ -89,6 +93,85 @@ def normal_equations(df: DataFrame, keys: Sequence[str], y: str, x: Sequence[str
     return sums.mapInPandas(solve, f"{kinds}, n long, beta array<double>, r2 double")
 
 
+def variance_inflation(df: DataFrame, keys: Sequence[str], x: Sequence[str]) -> DataFrame:
+    """Per key ``n`` and ``vif``, for each column the inverse of the share of its variance that all others leave; null where they leave none. Moments are aggregates; only a small matrix per key is inverted."""
+    rows = df.dropna(subset=list(x))
+    cells = [corr(F.col(a), F.col(b)) for i, a in enumerate(x) for b in x[i + 1 :]]
+    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array(*cells).alias("r"))
+    k = len(x)
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for r in b["r"]:
+                m = np.eye(k)
+                m[np.triu_indices(k, 1)] = np.asarray(r, float)
+                m = np.triu(m) + np.triu(m, 1).T
+                out.append(np.diag(np.linalg.inv(m)).tolist() if np.isfinite(m).all() and np.linalg.matrix_rank(m) == k else None)
+            yield b.drop(columns="r").assign(vif=out)
+
+    kinds = ", ".join(f"{c} {sums.schema[c].dataType.simpleString()}" for c in keys)
+    return sums.mapInPandas(solve, f"{kinds}, n long, vif array<double>")
+
+
+def _r2(y: np.ndarray, x: np.ndarray) -> float:
+    d = np.column_stack([np.ones(len(y)), x])
+    e = y - d @ np.linalg.lstsq(d, y, rcond=None)[0]
+    total = ((y - y.mean()) ** 2).sum()
+    return float(1 - (e @ e) / total) if total > 0 else float("nan")
+
+
+def placebo_gain(y: np.ndarray, base: np.ndarray, extra: np.ndarray, n: int, rng: np.random.Generator) -> tuple[float, float]:
+    """Gain in R2 by ``extra`` over ``base``, and its p: the share of ``n`` placebos, first-order autoregressions with the memory and spread of ``extra``, that gain as much."""
+    z = extra - extra.mean()
+    below = float(z[:-1] @ z[:-1])
+    memory = min(max(float(z[1:] @ z[:-1]) / below, -0.999), 0.999) if below > 0 else 0.0
+    spread = float((z[1:] - memory * z[:-1]).std())
+    plain = _r2(y, base)
+    gain = _r2(y, np.column_stack([base, extra])) - plain
+    hits = 0
+    for _ in range(n):
+        shock = rng.normal(0, spread, len(y))
+        shock[0] /= np.sqrt(1 - memory * memory)
+        path = np.fromiter(accumulate(shock.tolist(), lambda s, e: memory * s + e), float, len(y))
+        hits += _r2(y, np.column_stack([base, path])) - plain >= gain
+    return gain, (hits + 1) / (n + 1)
+
+
+def _hinges(x: np.ndarray, knots: np.ndarray) -> np.ndarray:
+    """Cubic spline basis that is linear beyond the outer knots."""
+    cube = lambda k: np.maximum(x - k, 0.0) ** 3
+    last, before = knots[-1], knots[-2]
+    tail = lambda k: (cube(k) - cube(last)) / (last - k)
+    return np.column_stack([x, *[tail(k) - tail(before) for k in knots[:-2]]])
+
+
+def spline_score(x: np.ndarray, y: np.ndarray, x_new: np.ndarray, y_new: np.ndarray) -> float:
+    """Mean squared error on new rows of a natural cubic spline with knots at five quantiles, penalty by leave-one-out error."""
+    knots = np.unique(np.quantile(x, (0.05, 0.275, 0.5, 0.725, 0.95)))
+    if len(knots) < 3:
+        return float(((y_new - y.mean()) ** 2).mean())
+    centre, scale = x.mean(), x.std()
+    z, k = (x - centre) / scale, (knots - centre) / scale
+    _, b = ridge_cv(_hinges(z, k), y)
+    return float(((y_new - b[0] - _hinges((x_new - centre) / scale, k) @ b[1:]) ** 2).mean())
+
+
+def logit_score(x: np.ndarray, y: np.ndarray, x_new: np.ndarray, y_new: np.ndarray, ridge: float = 1e-3) -> float:
+    """Mean negative log likelihood on new rows of a logistic regression on one standardised column."""
+    centre, scale = x.mean(), x.std()
+    d = np.column_stack([np.ones(len(x)), (x - centre) / scale])
+    b = np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-d @ b))
+        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d + ridge * len(x) * np.diag([0.0, 1.0]) + 1e-12 * np.eye(2), d.T @ (y - p) - ridge * len(x) * np.array([0.0, b[1]]))
+        b = b + step
+        if np.abs(step).max() < 1e-10:
+            break
+    u = b[0] + b[1] * (x_new - centre) / scale
+    return float(np.mean(np.maximum(u, 0) + np.log1p(np.exp(-np.abs(u))) - y_new * u))
+
+
 def replicates(spark: SparkSession, n: int, statistic: Callable[[np.random.Generator], float], seed: int = 0, slices: int | None = None) -> DataFrame:
     """``rep`` and ``value`` of a resampled statistic; the generator is seeded by replicate, so partitions don't matter.
 

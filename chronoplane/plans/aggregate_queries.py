@@ -209,11 +209,22 @@ def a26_adjusted_rand(spark: SparkSession, folder: str) -> DataFrame:
     two = lambda x: x * (x - 1) / 2
     ij = n.agg(F.sum(two(F.col("n"))).alias("ij"), two(F.sum("n")).alias("t"))
     side = lambda k, name: n.groupBy(k).agg(F.sum("n").alias("m")).agg(F.sum(two(F.col("m"))).alias(name))
-    s = ij.crossJoin(side("clock", "i")).crossJoin(side("maturity", "j"))  # three single rows
+    s = ij.unionByName(side("clock", "i"), allowMissingColumns=True).unionByName(side("maturity", "j"), allowMissingColumns=True).agg(*[F.sum(c).alias(c) for c in ("ij", "t", "i", "j")])
     by_chance = F.col("i") * F.col("j") / F.col("t")
     return s.select(r6((F.col("ij") - by_chance) / F.nullif((F.col("i") + F.col("j")) / 2 - by_chance, F.lit(0.0))).alias("ari"))
 
 
+@query(f"""WITH {daily_sql('mkt_ret', 'bond10_ret')}, q AS (SELECT source_id, date, mkt_ret * 100 AS a, bond10_ret * 100 AS b, (mkt_ret > bond10_ret)::INT AS l FROM p WHERE mkt_ret IS NOT NULL AND bond10_ret IS NOT NULL),
+d AS (SELECT x.source_id, x.date, x.l, y.l AS m, sum(sqrt(pow(x.a - y.a, 2) + pow(x.b - y.b, 2))) AS total, count(*) AS n FROM q x JOIN q y USING (source_id) GROUP BY ALL),
+s AS (SELECT source_id, date, max(CASE WHEN l = m AND n > 1 THEN total / (n - 1) END) AS own, min(CASE WHEN l <> m THEN total / n END) AS other FROM d GROUP BY ALL)
+SELECT source_id, count(*) AS n, {s6('avg(CASE WHEN own IS NULL THEN 0 ELSE (other - own) / nullif(greatest(own, other), 0) END)')} AS silhouette FROM s WHERE other IS NOT NULL GROUP BY ALL""")
+def a26_silhouette(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean silhouette of the days on which the market or the bond did better, by their two returns in per cent."""
+    rows = daily(spark, folder, "mkt_ret", "bond10_ret").where("mkt_ret is not null and bond10_ret is not null")
+    rows = rows.select("source_id", "date", (R() * 100).alias("a"), (B() * 100).alias("b"), (R() > B()).cast("int").alias("l"))
+    return xs.silhouettes(rows, ["source_id"], "date", ["a", "b"], "l").select("source_id", "n", r6(F.col("silhouette")).alias("silhouette"))
+
+
 @query(f"WITH {daily_sql('mkt_ret')}, {_EQUITY}, d AS (SELECT source_id, eq / max(eq) {EVER} - 1 AS dd FROM e) SELECT source_id, {s6('min(dd)')} AS max_drawdown FROM d GROUP BY ALL")
 def a27_max_drawdown(spark: SparkSession, folder: str) -> DataFrame:
     e = equity(daily(spark, folder, "mkt_ret")).withColumn("dd", F.col("eq") / F.max("eq").over(A.ever()) - 1)
@@ -376,3 +387,23 @@ def a10_last_of_month(spark: SparkSession, folder: str) -> DataFrame:
 def a34_cube(spark: SparkSession, folder: str) -> DataFrame:
     c, n = table(spark, folder, "customer"), table(spark, folder, "nation")
     return c.join(n, c.c_nationkey == n.n_nationkey).cube("n_name", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("long").alias("level"))
+
+
+@query("SELECT n_name, c_mktsegment, count(*) AS n, grouping_id(n_name, c_mktsegment) AS level FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_name, c_mktsegment)")
+def a34_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    c, n = table(spark, folder, "customer"), table(spark, folder, "nation")
+    return c.join(n, c.c_nationkey == n.n_nationkey).rollup("n_name", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("long").alias("level"))
+
+
+@query("SELECT c_nationkey, c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY GROUPING SETS ((c_nationkey), (c_mktsegment), ())")
+def a34_grouping_sets(spark: SparkSession, folder: str) -> DataFrame:
+    sets = [[F.col("c_nationkey")], [F.col("c_mktsegment")], []]
+    return table(spark, folder, "customer").groupingSets(sets, "c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+@query("SELECT region, count(DISTINCT sha256) AS exact, true AS near FROM observation_log GROUP BY ALL")
+def a34_approximate_distinct(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct digests per region, and whether the sketch (two per cent of deviation) comes within eight per cent or two."""
+    exact, near = F.countDistinct("sha256"), F.approx_count_distinct("sha256", 0.02)
+    out = table(spark, folder, "observation_log").groupBy("region").agg(exact.alias("exact"), near.alias("about"))
+    return out.select("region", "exact", (F.abs(F.col("about") - F.col("exact")) <= F.greatest(F.lit(2.0), 0.08 * F.col("exact"))).alias("near"))

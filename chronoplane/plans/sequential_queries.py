@@ -409,6 +409,47 @@ def a33_variance_inflation(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), r6(F.regr_slope("mkt_ret", "smb")).alias("b_smb"), r6(1 / (1 - F.pow(w.corr(F.col("smb"), F.col("hml")), 2))).alias("vif"))
 
 
+_R3 = "corr(smb, hml) AS x, corr(smb, mom) AS y, corr(hml, mom) AS z"
+
+
+@query(f"""WITH {daily_sql(*_XS)}, c AS (SELECT source_id, count(*) AS n, {_R3} FROM p WHERE smb IS NOT NULL AND hml IS NOT NULL AND mom IS NOT NULL GROUP BY ALL), d AS (SELECT *, nullif(1 - x * x - y * y - z * z + 2 * x * y * z, 0) AS det FROM c)
+SELECT source_id, n, {s6('(1 - z * z) / det')} AS vif_smb, {s6('(1 - y * y) / det')} AS vif_hml, {s6('(1 - x * x) / det')} AS vif_mom FROM d WHERE n > 4""")
+def a33_variance_inflation_each(spark: SparkSession, folder: str) -> DataFrame:
+    """Variance inflation of each of three factors, each regressed on all others."""
+    out = inference.variance_inflation(daily(spark, folder, *_XS), ["source_id"], _XS).where("n > 4")
+    return out.select("source_id", "n", *[r6(F.get("vif", F.lit(i))).alias(f"vif_{c}") for i, c in enumerate(_XS)])
+
+
+@query()
+def i6_placebo_gain(spark: SparkSession, folder: str) -> DataFrame:
+    """Gain in R2 by the last factor, and the share of 200 placebos, first-order autoregressions of its memory and spread, that gain as much."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        d = g.sort_values("date")[["mkt_ret", *_XS]].to_numpy(float)
+        d = d[np.isfinite(d).all(1)]
+        gain, p = inference.placebo_gain(d[:, 0], d[:, 1:3], d[:, 3], 200, np.random.default_rng([13, zlib.crc32(g["source_id"].iloc[0].encode())])) if len(d) > 30 else (np.nan, np.nan)
+        return pd.DataFrame([(g["source_id"].iloc[0], len(d), gain, p)], columns=["source_id", "n", "gain", "p"])
+
+    rows = daily(spark, folder, "mkt_ret", *_XS).where("mkt_ret > -1 and mkt_ret < 1")
+    return _nan_to_null(_spread(rows, "source_id").groupBy("source_id").applyInPandas(run, "source_id string, n long, gain double, p double"), "gain", "p")
+
+
+@query()
+def i7_spline_and_logistic(spark: SparkSession, folder: str) -> DataFrame:
+    """Rolling fits on the first four fifths of 252 rows, scored on the rest: spline of volatility for the size of the next return, logistic for a fall."""
+
+    def run(g: pd.DataFrame) -> dict:
+        r = g["mkt_ret"].to_numpy(float)
+        x = pd.Series(r).rolling(21).std().to_numpy()[20:-1]
+        size, fall = np.abs(r[21:]), (r[21:] < 0).astype(float)
+        cut = len(x) * 4 // 5
+        if not np.isfinite(x).all() or x[:cut].std() == 0:
+            return {"spline_mse": np.nan, "logit_loss": np.nan}
+        return {"spline_mse": inference.spline_score(x[:cut], size[:cut], x[cut:], size[cut:]), "logit_loss": inference.logit_score(x[:cut], fall[:cut], x[cut:], fall[cut:])}
+
+    return _nan_to_null(q.windowed_refits(returns(spark, folder), ["source_id"], "date", ["mkt_ret"], 252, 126, run, "spline_mse double, logit_loss double"), "spline_mse", "logit_loss", digits=9)
+
+
 @query()
 def i7_ridge_out_of_sample(spark: SparkSession, folder: str) -> DataFrame:
     """Ridge with the penalty of least leave-one-out error, rolling refits: penalty and squared error on the window's last fifth."""
@@ -454,6 +495,29 @@ def i10_mixture_and_spectrum(spark: SparkSession, folder: str) -> DataFrame:
     return _nan_to_null(daily(spark, folder, *_FOUR).groupBy("source_id").applyInPandas(run, "source_id string, bic_1 double, bic_2 double, participation double"), "bic_1", "bic_2", "participation", digits=3)
 
 
+_HALVES = "h AS (SELECT *, ntile(2) OVER (PARTITION BY source_id ORDER BY date) AS half FROM p WHERE smb IS NOT NULL AND hml IS NOT NULL AND mom IS NOT NULL), a AS (SELECT source_id, avg(smb) * 1e4 AS x, avg(hml) * 1e4 AS y, avg(mom) * 1e4 AS z FROM h WHERE half = 1 GROUP BY ALL), b AS (SELECT source_id, avg(smb) * 1e4 AS u, avg(hml) * 1e4 AS v, avg(mom) * 1e4 AS w FROM h WHERE half = 2 GROUP BY ALL)"
+_ORDERS = ", ".join("abs(x - {}) + abs(y - {}) + abs(z - {})".format(*o) for o in ("uvw", "uwv", "vuw", "vwu", "wuv", "wvu"))
+
+
+@query(f"WITH {daily_sql(*_XS)}, {_HALVES} SELECT source_id, {s6('acos(least(abs(x * u + y * v + z * w) / (sqrt(x * x + y * y + z * z) * sqrt(u * u + v * v + w * w)), 1))', 5)} AS angle, {s6(f'least({_ORDERS})', 9)} AS cost FROM a JOIN b USING (source_id)")
+def i10_angle_and_assignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean factor returns (basis points) of a feed's first and second half: the angle between them, and the least total distance when each factor of one half is matched to one of the other."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        d = g.sort_values("date")[_XS].to_numpy(float) * 1e4
+        cut = (len(d) + 1) // 2
+        if len(d) < 2:
+            return pd.DataFrame(columns=["source_id", "angle", "cost"])
+        a, b = d[:cut].mean(0), d[cut:].mean(0)
+        cost = np.abs(a[:, None] - b[None])
+        row = (float(linalg.principal_angles(a[:, None], b[:, None])[0]), float(cost[np.arange(3), linalg.assignment(cost)].sum()))
+        return pd.DataFrame([(g["source_id"].iloc[0], *row)], columns=["source_id", "angle", "cost"])
+
+    rows = daily(spark, folder, *_XS).dropna(subset=_XS)
+    out = rows.groupBy("source_id").applyInPandas(run, "source_id string, angle double, cost double")
+    return out.select("source_id", r6(F.col("angle"), 5).alias("angle"), r6(F.col("cost"), 9).alias("cost"))
+
+
 @query()
 def i11_covariance_ladder(spark: SparkSession, folder: str) -> DataFrame:
     """Equal, exponential and state-weighted covariance on trailing windows: concentration of the minimum-variance and equal-risk weights, and the loss against the last month."""

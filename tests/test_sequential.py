@@ -219,3 +219,65 @@ def test_block_sums_and_correlations(spark):
                 a, b = got[(d.k[0], i)]
                 assert (a is None) == np.isnan(s[i]) and (a is None or a == pytest.approx(s[i], abs=1e-9))
                 assert (b is None) == (c[i] is None or w < 2) and (b is None or b == pytest.approx(c[i], abs=1e-6))
+
+
+def test_variance_inflation_equals_regressions(spark):
+    from chronoplane.operators import inference
+
+    x = RNG.normal(size=(200, 3))
+    x[:, 2] += 0.8 * x[:, 0] - 0.5 * x[:, 1]
+    rows = [("k", *map(float, v)) for v in x] + [("flat", 1.0, float(i), 2.0 * i) for i in range(20)] + [("k", None, 1.0, 1.0)]
+    got = {r.k: r for r in inference.variance_inflation(spark.createDataFrame(rows, "k string, a double, b double, c double"), ["k"], ["a", "b", "c"]).collect()}
+    want = []
+    for j in range(3):
+        d = np.column_stack([np.ones(200), np.delete(x, j, 1)])
+        e = x[:, j] - d @ np.linalg.lstsq(d, x[:, j], rcond=None)[0]
+        want.append(((x[:, j] - x[:, j].mean()) ** 2).sum() / (e @ e))
+    assert got["k"].n == 200 and np.allclose(got["k"].vif, want) and got["flat"].vif is None
+
+
+def test_placebo_spline_and_logit():
+    from chronoplane.operators import inference
+
+    rng = np.random.default_rng(8)
+    base, extra = rng.normal(size=(300, 2)), np.cumsum(rng.normal(size=300)) * 0.1
+    y = base @ [0.3, -0.2] + rng.normal(size=300)
+    gain, p = inference.placebo_gain(y + extra, base, extra, 99, np.random.default_rng(0))
+    assert gain > 0.05 and p <= 0.02
+    assert inference.placebo_gain(y, base, rng.normal(size=300), 99, np.random.default_rng(0))[1] > 0.02
+    x = rng.uniform(-2, 2, 500)
+    curve = np.sin(2 * x) + rng.normal(0, 0.1, 500)
+    line = np.polyfit(x[:400], curve[:400], 1)
+    assert inference.spline_score(x[:400], curve[:400], x[400:], curve[400:]) < 0.3 * ((curve[400:] - np.polyval(line, x[400:])) ** 2).mean()
+    hit = (rng.random(500) < 1 / (1 + np.exp(-2 * x))).astype(float)
+    assert inference.logit_score(x[:400], hit[:400], x[400:], hit[400:]) < 0.55
+    assert abs(inference.logit_score(np.r_[0.0, 1.0] , np.r_[1.0, 0.0], np.r_[0.5], np.r_[1.0]) - np.log(2)) < 1e-6
+
+
+def test_silhouettes_equal_the_definition(spark):
+    from chronoplane.operators import cross_section
+
+    rng = np.random.default_rng(3)
+    x, label = rng.normal(size=(400, 2)), rng.integers(0, 3, 400)
+    x[label == 1] += 3
+    label[7] = 9  # alone
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    s = []
+    for i in range(400):
+        means = {k: d[i, (label == k) & (np.arange(400) != i)].mean() for k in set(label) if ((label == k) & (np.arange(400) != i)).any()}
+        own = means.pop(label[i], None)
+        s.append(0.0 if own is None else (min(means.values()) - own) / max(own, min(means.values())))
+    df = spark.createDataFrame([("a", i, float(p), float(q), int(k)) for i, ((p, q), k) in enumerate(zip(x, label))] + [("b", 1, 0.0, 0.0, 1)], "k string, i int, p double, q double, l int")
+    got = {r.k: r.silhouette for r in cross_section.silhouettes(df, ["k"], "i", ["p", "q"], "l").collect()}
+    assert abs(got["a"] - np.mean(s)) < 1e-9 and (got["b"] is None or np.isnan(got["b"]))
+
+
+def test_correlations_do_not_depend_on_later_rows(spark):
+    from chronoplane.operators.rolling import rolling_correlations
+
+    rows = [("k", i, float(a), float(b)) for i, (a, b) in enumerate(RNG.normal(0, 0.01, (90, 2)))]
+    build = lambda r: {x.i: x.c for x in rolling_correlations(spark.createDataFrame(r, "k string, i int, a double, b double"), ["k"], "i", {"c": ("a", "b")}, 21).collect()}
+    whole, changed = build(rows), build(rows[:60] + [(k, i, 50.0 + a, b) for k, i, a, b in rows[60:]])
+    assert all(whole[i] == changed[i] for i in range(60)) and whole[70] != changed[70]
+    window = np.array([r[2:] for r in rows[30:51]])
+    assert abs(whole[50] - np.corrcoef(window.T)[0, 1]) < 1e-12

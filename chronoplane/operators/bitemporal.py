@@ -198,14 +198,19 @@ def json_schema() -> dict:
     number, share = {"type": ["number", "null"]}, {"type": ["number", "null"], "minimum": 0, "maximum": 1}
     choice = lambda k: {"enum": sorted(CHOICES[k])}
     closed = lambda required, **fields: {"type": "object", "additionalProperties": False, "required": sorted(required), "properties": fields}
+    or_null = lambda part: {"anyOf": [{"type": "null"}, part]}
+    count, words, day = {"type": ["integer", "null"], "minimum": 0}, {"type": ["string", "null"]}, {"type": ["string", "null"], "pattern": r"^\d{4}-\d{2}-\d{2}$"}
+    episodes = closed([], current_length=count, current_start=day, length_units={"type": ["string", "null"], "minLength": 1}, major_episode_definition=words, major_episode_median_max={"type": ["array", "null"], "items": {"type": "integer", "minimum": 0}, "minItems": 2, "maxItems": 2})
     leaf = {"value": number, "units": some, "estimator": text, "undefined_reason": {"type": ["string", "null"]}}
     parts = {
         "spec_version": {"const": SPEC_VERSION}, "signal": {"type": "string", "pattern": "^[a-z][a-z0-9_]*$"}, "as_of": {"type": "string", "pattern": r"^\d{4}-\d{2}-\d{2}$"}, "available_at": {"type": "string", "pattern": "T"},
         "supersedes": {"type": ["string", "null"]}, "clock": choice("clock"), "assumption_monitored": some, "maturity": choice("maturity"),
         "assumption_state": {"anyOf": [{"type": "null"}, closed(["status", "derivation"], status=choice("status"), derivation=some)]},
         "reading": closed(["value", "units", "estimator"], **leaf, context_band=text, secondary_readings={"type": "array", "items": closed(["name", "value", "units", "estimator"], name=text, **leaf)}),
-        "rarity": closed(["level_percentile", "basis", "window"], level_percentile=share, basis=choice("basis"), window={"type": ["integer", "null"]}, calibration=text, secondary_percentiles={"type": "array"}),
-        "trend": {"type": ["object", "null"]}, "extreme_conditions": {"type": ["object", "null"]}, "cross_signal_relationships": {"type": "array", "items": text},
+        "rarity": closed(["level_percentile", "basis", "window"], level_percentile=share, basis=choice("basis"), window={"type": ["integer", "null"], "minimum": 1}, calibration=words, secondary_percentiles={"type": "array"}),
+        "trend": or_null(closed([], level_percentile_change=number, lookback_observations={"type": ["integer", "null"], "minimum": 1}, direction={"enum": ["rising", "falling", "flat", None]})),
+        "extreme_conditions": or_null(closed([], threshold_percentile=share, observations_at_or_above=count, share_of_history=share, most_recent_such_date=day, undefined_eras=words, episodes=or_null(episodes))),
+        "cross_signal_relationships": {"type": "array", "items": {"type": "string", "minLength": 1}},
         "assessment": closed(ASSESSMENT, **{k: choice(k) for k in sorted(ASSESSMENT)}),
     }
     return {"$schema": "https://json-schema.org/draft/2020-12/schema"} | closed(REQUIRED, **parts)
@@ -241,4 +246,37 @@ def look_ahead(build: Callable[[DataFrame], DataFrame], panel: DataFrame, keys:
     noise = lambda c: (F.pmod(F.xxhash64(F.lit(seed), F.lit(c), *keys, order), F.lit(2001)) / 1000.0 - 1) * 5 * float(scale[c] or 1.0)
     moved = panel.withColumns({c: F.when(F.col(order) > F.lit(cut), noise(c)).otherwise(F.col(c)) for c in inputs})
     a, b = (build(p).where(F.col(order) <= F.lit(cut)) for p in (panel, moved))
-    return a.exceptAll(b).unionByName(b.exceptAll(a))
+    # each build once: rows that don't come as often on one side as on the other
+    both = a.withColumn("_side", F.lit(1)).unionByName(b.withColumn("_side", F.lit(-1)))
+    odd = both.groupBy(*a.columns).agg(F.sum("_side").alias("_side")).where("_side <> 0")
+    return odd.withColumn("_side", F.explode(F.array_repeat(F.lit(1), F.abs("_side").cast("int")))).drop("_side")
+
+
+# -- map of axes ---------------------------------------------------------------------------------------------------------
+def axis_map(rows: DataFrame, axis: Sequence[str], order: str, percentile: str, status: str, tail: float = 0.05, lookback: int = 12) -> DataFrame:
+    """How each axis stands in its own history, and how new that is; one row per axis, at its last reading.
+
+    Standing: ``status``, ``percentile``, ``tail_mass`` (the share of history further out), ``inside`` (of the two-sided
+    tail), ``spell_now`` (readings in a row inside, up to the last), against ``median_spell`` and ``longest_spell``.
+    Novelty: ``since_status`` (readings with the present status), ``since_inside`` (readings since the last one inside, null
+    if there was none), ``moved`` (change of the percentile over ``lookback`` readings, null in a shorter history). Novelty
+    has no threshold. Rows without a percentile don't count; ``order`` is unique within an axis.
+    """
+    axis = list(axis)
+    whole, along = Window.partitionBy(*axis), Window.partitionBy(*axis).orderBy("as_of")
+    r = rows.where(F.col(percentile).isNotNull()).select(*axis, F.col(order).alias("as_of"), F.col(percentile).alias("p"), F.col(status).alias("s"))
+    mass = F.least(F.col("p"), 1 - F.col("p"))
+    r = r.withColumns({"f": mass <= tail, "i": F.row_number().over(along), "n": F.count(F.lit(1)).over(whole), "now": F.max_by("s", "as_of").over(whole)})
+    # a run of readings inside the tail: those with as many readings outside before them
+    r = r.withColumn("run", F.sum((~F.col("f")).cast("int")).over(along))
+    spells = r.where("f").groupBy(*axis, "run").agg(F.count(F.lit(1)).alias("k")).groupBy(*axis).agg(F.percentile("k", F.lit(0.5)).alias("median_spell"), F.max("k").alias("longest_spell"))
+    last = lambda test: F.max(F.when(test, F.col("i")))
+    at = lambda c: F.max_by(c, "as_of")
+    n = F.max("n")
+    out = r.groupBy(*axis).agg(
+        F.max("as_of").alias("as_of"), at("s").alias("status"), at("p").alias("percentile"), at("f").alias("inside"), n.alias("readings"),
+        (n - F.coalesce(last(~F.col("f")), F.lit(0))).alias("spell_now"), (n - last(F.col("f"))).alias("since_inside"),
+        (n - F.coalesce(last(~F.col("s").eqNullSafe(F.col("now"))), F.lit(0))).alias("since_status"),
+        (at("p") - F.max(F.when(F.col("i") == F.col("n") - lookback, F.col("p")))).alias("moved"),
+    )
+    return out.withColumn("tail_mass", F.least(F.col("percentile"), 1 - F.col("percentile"))).join(spells, axis, "left")

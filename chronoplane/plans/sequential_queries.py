@@ -466,7 +466,16 @@ def i7_ridge_out_of_sample(spark: SparkSession, folder: str) -> DataFrame:
     return _nan_to_null(q.windowed_refits(daily(spark, folder, "mkt_ret", *_XS), ["source_id"], "date", ["mkt_ret", *_XS], 252, 126, run, "penalty double, mse double"), "penalty", "mse", digits=9)
 
 
-@query()
+_STEP = "struct_pack(a := ca + caa * {0}.a + cab * {0}.b, b := cb + cba * {0}.a + cbb * {0}.b)"
+
+
+@query(f"""WITH {daily_sql('mkt_ret', 'bond10_ret')}, n AS (SELECT *, row_number() {SEQ} - 1 AS i FROM p), e AS (SELECT source_id, date, i AS at, (i - 252) // 63 AS refit FROM n WHERE i >= 252 AND (i - 252) % 63 = 0),
+w AS (SELECT e.source_id, e.refit, e.date, n.i, n.mkt_ret AS a, n.bond10_ret AS b FROM e JOIN n ON n.source_id = e.source_id AND n.i BETWEEN e.at - 252 AND e.at - 1 WHERE isfinite(n.mkt_ret) AND isfinite(n.bond10_ret)),
+l AS (SELECT *, lag(a) OVER o AS la, lag(b) OVER o AS lb, count(*) OVER (PARTITION BY source_id, refit) AS k FROM w WINDOW o AS (PARTITION BY source_id, refit ORDER BY i)),
+c AS (SELECT source_id, refit, date, k, avg(a) FILTER (la IS NOT NULL) AS ma, avg(b) FILTER (la IS NOT NULL) AS mb, avg(la) AS mla, avg(lb) AS mlb, var_pop(la) AS aa, var_pop(lb) AS bb, covar_pop(la, lb) AS ab, covar_pop(la, a) AS xa, covar_pop(lb, a) AS ya, covar_pop(la, b) AS xb, covar_pop(lb, b) AS yb, max_by(a, i) AS za, max_by(b, i) AS zb FROM l GROUP BY ALL),
+d AS (SELECT *, (xa * bb - ya * ab) / (aa * bb - ab * ab) AS caa, (ya * aa - xa * ab) / (aa * bb - ab * ab) AS cab, (xb * bb - yb * ab) / (aa * bb - ab * ab) AS cba, (yb * aa - xb * ab) / (aa * bb - ab * ab) AS cbb FROM c WHERE k > 30),
+f0 AS (SELECT *, ma - caa * mla - cab * mlb AS ca, mb - cba * mla - cbb * mlb AS cb, struct_pack(a := za, b := zb) AS z0 FROM d), {', '.join(f'f{k} AS (SELECT *, {_STEP.format(f"z{k - 1}")} AS z{k} FROM f{k - 1})' for k in range(1, 6))}
+SELECT e.source_id, e.refit::INT AS refit, e.date, {s6('z5.a', 9)} AS mkt_ahead, {s6('z5.b', 9)} AS bond_ahead FROM e LEFT JOIN f5 USING (source_id, refit)""")
 def i9_vector_autoregression(spark: SparkSession, folder: str) -> DataFrame:
     """Five rows ahead forecast of market and bond from a first-order vector autoregression on trailing windows."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoplane.functions import windows as w
-from chronoplane.operators import runs
+from chronoplane.operators import bitemporal, runs
 from chronoplane.operators import sequential as seq
 from chronoplane.plans import signals
 from chronoplane.plans.panels import NATION_MONTHS_SQL, bonds, bonds_sql, daily, daily_sql, nation_months
@@ -210,3 +210,29 @@ def validate_credit_vintages(spark: SparkSession, folder: str) -> DataFrame:
     rank = lambda c: F.rank().over(Window.partitionBy(*part).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*part, c)) - 1) / 2
     out = j.withColumns({"a": rank("rows"), "b": rank("now")}).groupBy(*part).agg(F.count(F.lit(1)).alias("n"), r6(w.corr(F.col("a"), F.col("b"))).alias("spearman"), F.round(F.max(F.abs(F.col("now") - F.col("rows"))), 6).alias("largest_revision"))
     return out.where("n >= 3")
+
+
+# -- map of axes ---------------------------------------------------------------------------------------------------------
+_MAP_VIEW = "v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY region, signal, as_of ORDER BY available_at::TIMESTAMPTZ DESC, record_id DESC) AS w FROM observation_log) WHERE w = 1)"
+
+
+@query(f"""WITH {_MAP_VIEW}, {_CON}, {rank_sql('z', 'series', 'month', 'eff_n')},
+x AS (SELECT 'admitted' AS admission, region, signal AS axis, as_of, rarity.level_percentile AS p, CASE WHEN reading.value < -0.1 THEN 'intact' WHEN reading.value > 0.1 THEN 'violated' WHEN reading.value IS NOT NULL THEN 'under_test' END AS s FROM v WHERE rarity.level_percentile IS NOT NULL
+  UNION ALL SELECT 'candidate', 'all', 'concentration', strftime(month, '%Y-%m-%d'), pctile, NULL FROM rk),
+r AS (SELECT *, least(p, 1 - p) <= 0.05 AS f, row_number() OVER o AS i, count(*) OVER q AS n, last_value(s) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS now, sum((NOT least(p, 1 - p) <= 0.05)::INT) OVER o AS run FROM x WINDOW q AS (PARTITION BY admission, region, axis), o AS (PARTITION BY admission, region, axis ORDER BY as_of)),
+sp AS (SELECT admission, region, axis, median(k) AS median_spell, max(k) AS longest_spell FROM (SELECT admission, region, axis, run, count(*) AS k FROM r WHERE f GROUP BY ALL) GROUP BY ALL),
+m AS (SELECT admission, region, axis, max(as_of) AS as_of, max(n) AS readings, any_value(now) AS status, max_by(p, as_of) AS p, max_by(f, as_of) AS inside, max(n) - coalesce(max(i) FILTER (NOT f), 0) AS spell_now, max(n) - max(i) FILTER (f) AS since_inside,
+  max(n) - coalesce(max(i) FILTER (s IS DISTINCT FROM now), 0) AS since_status, max_by(p, as_of) - max(p) FILTER (i = n - 12) AS moved FROM r GROUP BY ALL)
+SELECT admission, region, axis, as_of, status, round(p, 6) AS percentile, round(least(p, 1 - p), 6) AS tail_mass, inside, readings, spell_now, median_spell, longest_spell, since_status, since_inside, round(moved, 6) + 0.0 AS moved FROM m LEFT JOIN sp USING (admission, region, axis)""")
+def b19_axis_map(spark: SparkSession, folder: str) -> DataFrame:
+    """Standing and novelty of every axis of the log, and of the candidate that has no log of its own (concentration, built from the monthly panel)."""
+    from chronoplane.plans.bitemporal_queries import SERIES, at, log
+
+    rows = log(spark, folder).withColumns({"p": F.col("rarity.level_percentile"), "value": F.col("reading.value")})
+    view = bitemporal.current_view(rows, SERIES, at(), "record_id", ["p", "value"])
+    held = view.select(F.lit("admitted").alias("admission"), "region", F.col("signal").alias("axis"), "as_of", "p", w.sign_state(F.col("value")).alias("s"))
+    panel = nation_months(spark, folder).select(F.lit("all").alias("series"), "month", F.col("n_name").alias("entity"), F.col("revenue").alias("value"))
+    fresh = signals.concentration(panel, 24).select(F.lit("candidate").alias("admission"), F.lit("all").alias("region"), F.lit("concentration").alias("axis"), F.date_format("month", "yyyy-MM-dd").alias("as_of"), F.round("eff_n_pctile", 9).alias("p"), F.lit(None).cast("string").alias("s"))
+    out = bitemporal.axis_map(held.unionByName(fresh), ["admission", "region", "axis"], "as_of", "p", "s")
+    digits = {c: F.round(c, 6) + F.lit(0.0) for c in ("percentile", "tail_mass", "moved")}
+    return out.withColumns(digits).select("admission", "region", "axis", "as_of", "status", "percentile", "tail_mass", "inside", "readings", "spell_now", "median_spell", "longest_spell", "since_status", "since_inside", "moved")

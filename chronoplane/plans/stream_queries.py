@@ -73,7 +73,8 @@ def st6_late_dropped(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
 
 
-@query()
+@query("""WITH o AS (SELECT user_id, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE value IS NOT NULL AND NOT isnan(value))
+SELECT user_id, n, round(sum(CASE WHEN i = 1 THEN pow(0.94, n - 1) ELSE 0.06 * pow(0.94, n - i) END * x * x), 6) AS variance FROM o GROUP BY user_id, n""")
 def st4_stateful_level(spark: SparkSession, folder: str) -> DataFrame:
     """Exponentially weighted squares per user as keyed state."""
     path = scratch(spark, "level")

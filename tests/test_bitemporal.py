@@ -211,6 +211,39 @@ def test_schema_agrees_with_rules():
         assert "missing_field" in bi.violations(json.dumps({k: v for k, v in GOOD.items() if k != key}))
 
 
+def test_schema_closes_inner_objects():
+    def objects(part):
+        if isinstance(part, dict):
+            if part.get("type") == "object":
+                yield part
+            for v in part.values():
+                yield from objects(v)
+        elif isinstance(part, list):
+            for v in part:
+                yield from objects(v)
+
+    found = list(objects(bi.json_schema()))
+    assert len(found) >= 8 and all(o["additionalProperties"] is False for o in found)
+
+
+def test_axis_map(spark):
+    p = [0.5, 0.99, 0.97, 0.5, 0.02, 0.6, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.94, 0.96, 0.98]
+    status = ["intact"] * 11 + ["violated"] * 4
+    rows = [("a", i, v, s) for i, (v, s) in enumerate(zip(p, status))] + [("a", 99, None, "intact"), ("never", 1, 0.5, None), ("never", 2, 0.4, None)]
+    df = spark.createDataFrame(rows, "axis string, t int, p double, s string").selectExpr("*", "1 as n", "2 as run")
+    got = {r.axis: r for r in bi.axis_map(df, ["axis"], "t", "p", "s").collect()}
+    r = got["a"]
+    assert (r.as_of, r.status, r.percentile, r.inside, r.readings) == (14, "violated", 0.98, True, 15)
+    assert (r.spell_now, r.median_spell, r.longest_spell, r.since_inside, r.since_status) == (2, 2.0, 2, 0, 4)
+    assert r.moved == pytest.approx(0.98 - 0.97) and r.tail_mass == pytest.approx(0.02)
+    r = got["never"]
+    assert (r.inside, r.spell_now, r.since_inside, r.median_spell, r.moved, r.since_status) == (False, 0, None, None, None, 2)
+    # what is known at an instant doesn't change with what comes later
+    early = {r.axis: r for r in bi.axis_map(df.where("t < 10"), ["axis"], "t", "p", "s").collect()}
+    assert (early["a"].as_of, early["a"].since_inside, early["a"].spell_now) == (9, 5, 0)
+    assert bi.axis_map(df.where("false"), ["axis"], "t", "p", "s").collect() == []
+
+
 def test_presentation(spark):
     from chronoplane.plans import present
 

@@ -168,7 +168,15 @@ def gate_bond_vol_band(spark: SparkSession, folder: str) -> DataFrame:
     return bonds(spark, folder, "jp_bond10_ret").groupBy("source_id").agg(F.round(v, 6).alias("vol"), F.coalesce(v.between(0.01, 0.2), F.lit(False)).alias("passed"))
 
 
-@query()
+_BAND = "CASE WHEN {0} < 0.1 THEN 0 WHEN {0} < 0.3 THEN 1 WHEN {0} < 0.7 THEN 2 WHEN {0} < 0.9 THEN 3 ELSE 4 END"
+_PCTILE = "(2 * count(*) FILTER (y.{0} < x.{0}) + count(*) FILTER (y.{0} = x.{0}) + 1) / (2.0::DOUBLE * count(*))"
+
+
+@query(f"""WITH RECURSIVE {daily_sql('mkt_ret')}, n AS (SELECT source_id, date, mkt_ret, row_number() {SEQ} AS i FROM p WHERE mkt_ret > -1 AND mkt_ret < 1), s AS (SELECT source_id, var_pop(mkt_ret) AS v FROM n WHERE i <= 252 GROUP BY ALL),
+e AS (SELECT source_id, 252::BIGINT AS i, v AS a, v AS b FROM s UNION ALL SELECT e.source_id, n.i, e.a + 0.06 * (n.mkt_ret * n.mkt_ret - e.a), e.b + 0.03 * (n.mkt_ret * n.mkt_ret - e.b) FROM e JOIN n ON n.source_id = e.source_id AND n.i = e.i + 1),
+v AS (SELECT source_id, i, sqrt(a * 252) AS a, sqrt(b * 252) AS b FROM e WHERE i > 252),
+r AS (SELECT x.source_id, x.i, x.a, x.b, {_PCTILE.format('a')} AS pa, {_PCTILE.format('b')} AS pb FROM v x JOIN v y ON y.source_id = x.source_id AND y.i <= x.i GROUP BY ALL)
+SELECT source_id AS series, count(*) AS n, {s6('corr(a, b)')} AS rho, {s6(f"avg(({_BAND.format('pa')} = {_BAND.format('pb')})::INT)")} AS same_band, {s6('avg(pa)')} AS mean_percentile FROM r GROUP BY ALL""")
 def validate_volatility(spark: SparkSession, folder: str) -> DataFrame:
     """Per feed: agreement of two decay rates (correlation, share of rows in the same percentile band) and of squared-return with realised volatility."""
     rows = returns(spark, folder)

@@ -48,7 +48,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 #: Windows of these are longer than the feeds of the smallest tables.
-LONG = {"i11_covariance_ladder", "i7_ridge_out_of_sample", "i7_spline_and_logistic", "r11_event_logit", "r4_shock_half_life", "r7_walk_forward", "validate_volatility"}
+LONG = {"i11_covariance_ladder", "i7_ridge_out_of_sample", "i7_spline_and_logistic", "r11_event_logit", "r4_shock_half_life", "r7_walk_forward"}
 
 
 @pytest.fixture(scope="module")
